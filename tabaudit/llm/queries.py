@@ -17,6 +17,23 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Only for these queries; a deployment passes a key of its own.
+PII_KEY = b"example key of the queries"
+
+
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import edited_fingerprints
+
+    return edited_fingerprints(_docs(spark, sf_dir))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, pieces
+    from .store import work_dir
+
+    return pack(pieces(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json")), work_dir(spark, "packing"))
+
+
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audio import audio_features
 
@@ -32,8 +49,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(index, folder)
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_audio, op8_token_files)}
+    return {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op6_audio, op8_token_files, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
