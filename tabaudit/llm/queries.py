@@ -40,6 +40,12 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(_docs(spark, sf_dir), keep=False).drop("spans")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), width=3, percent=85)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .store import work_dir
     from .token_files import read_token_digests, write_token_files
@@ -56,7 +62,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op6_audio, op8_token_files, op10_pseudonyms)}
+    return {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op6_audio, op7_near_dedup, op8_token_files, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -32,3 +33,8 @@ def save(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marks a written table of fixed-width rows for a broadcast join if it has at most so many; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
