@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import partitions, save
-from .tokens import encode
+from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         end = np.array([end_id], np.uint32)
         for batch in batches:
             which, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encode(vocabulary, (x.as_py() for x in batch.column(1)))):
+            for i, ids in enumerate(encoder(vocabulary).column(batch.column(1))):
                 ids = np.concatenate((ids, end)).astype("<u4")
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .ordered import cut_points, slot
 from .store import partitions, save
-from .tokens import encode, tokenizer
+from .tokens import encoder, tokenizer
 
 SEQUENCE = 2048
 BATCH_ROWS = 128
@@ -137,8 +137,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, uri: str, end_id: int =
         for batch in batches:
             doc, shards = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             at, counts = [], []
-            texts = (x.as_py() for x in batch.column(1))
-            for s, ids in zip(shards.tolist(), encode(vocabulary, texts), strict=True):
+            for s, ids in zip(shards.tolist(), encoder(vocabulary).column(batch.column(1)), strict=True):
                 if s != shard:
                     if writer:
                         writer.close()

@@ -1,19 +1,29 @@
-"""Token ids of whole texts with the public tokenizers; the vocabulary file is a parameter."""
+"""Token ids of whole texts with the public tokenizers; the vocabulary file is a parameter.
+
+Byte-level and word-end BPE never merge across the start of a run of white space, so a text is cut there, and each distinct cut
+is given to the library once: a batch is dictionary-encoded, new entries are encoded, and the ids are gathered. Texts with
+other than ASCII white space, where a run may hold several kinds, go to the library whole.
+"""
 
 from __future__ import annotations
 
 import functools
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .words import SPACE, utf8
 
-#: A text is handed to the library in parts of about this many characters; see parts().
-PART = 200_000
-#: Texts are encoded together up to this many characters, since the library keeps some 100 bytes for each token.
-TOGETHER = 400_000
-_GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text that are cut and looked up together.
+TOGETHER = 8_000_000
+#: Distinct cuts that a worker remembers from task to task, some 150 bytes each; beyond it they are forgotten.
+REMEMBERED = 1_500_000
+#: White space beyond ASCII.
+OTHER_SPACE = "[\u0085   -     　]"
 
 
 @functools.cache
@@ -28,35 +38,81 @@ def tokenizer(path: str):
     return t
 
 
-def parts(text: str) -> list[str]:
-    """A very long text, cut before single blanks between other characters, where these tokenizers always begin a token."""
-    out, at = [], 0
-    while len(text) - at > PART and (m := _GAP.search(text, at + PART)):
-        out.append(text[at : m.start()])
-        at = m.start()
-    out.append(text[at:])
+def encode_whole(path: str, texts: list[str]) -> list[list[int]]:
+    """By the library alone; a few at a time, since it keeps some 100 bytes for each token."""
+    out: list[list[int]] = []
+    for i in range(0, len(texts), 512):
+        out += [e.ids for e in tokenizer(path).encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
     return out
 
 
-def encode(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """Ids of each text as uint32; null is the empty text."""
-    t = tokenizer(path)
-    group: list[str] = []
-    sizes: list[int] = []
-    held = 0
-
-    def flush() -> Iterator[np.ndarray]:
-        got = iter(t.encode_batch_fast(group, add_special_tokens=False))
-        for n in sizes:
-            ids = [np.array(next(got).ids, np.uint32) for _ in range(n)]
-            yield ids[0] if n == 1 else np.concatenate(ids)
-
-    for text in texts:
-        p = parts(text or "")
-        group += p
-        sizes.append(len(p))
-        held += len(text or "")
-        if held >= TOGETHER:
-            yield from flush()
-            group, sizes, held = [], [], 0
-    yield from flush()
+def cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All cuts of a batch as one string array over the same bytes, and the first cut of each row."""
+    space = SPACE[raw]
+    edge = np.zeros(len(raw), bool)
+    if len(raw):
+        edge[1:] = space[1:] & ~space[:-1]
+        edge[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(edge)
+    ends = np.append(starts, len(raw)).astype(np.int32)
+    array = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(raw))
+    return array, np.searchsorted(starts, offsets)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """This worker's encoder: its memory of cuts lasts for later tasks."""
+    return Encoder(path)
+
+
+class Encoder:
+    """Encodes string columns and remembers the ids of distinct cuts."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.flat, self.first, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        words = distinct.to_pylist()
+        if len(self.number) + len(words) > REMEMBERED:
+            self._reset()
+        new = [w for w in words if w not in self.number]
+        if new:
+            got = encode_whole(self.path, new)
+            self.number.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+            count = np.fromiter(map(len, got), np.int64, len(got))
+            self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(count) - count))
+            self.count = np.concatenate((self.count, count))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32)))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def _gather(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in one array, and where each row begins."""
+        raw, offsets = utf8(column)
+        cuts, row = cut(raw, offsets)
+        coded = cuts.dictionary_encode()
+        which = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        count = self.count[which]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        at = np.arange(ends[-1]) + np.repeat(self.first[which] - ends[:-1], count)
+        return self.flat[at], ends[row]
+
+    def column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text as uint32; null is the empty text."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + TOGETHER, "right")))
+            part = column.slice(a, b - a)
+            odd = pc.fill_null(pc.match_substring_regex(part, OTHER_SPACE), False).to_numpy(zero_copy_only=False)
+            whole = dict(zip(np.flatnonzero(odd).tolist(), encode_whole(self.path, part.filter(pa.array(odd)).to_pylist()), strict=True)) if odd.any() else {}
+            flat, first = self._gather(part)
+            for i in range(b - a):
+                yield np.array(whole[i], np.uint32) if i in whole else flat[first[i] : first[i + 1]]
+            a = b

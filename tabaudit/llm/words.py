@@ -16,10 +16,10 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)  # odd, so that it has an inverse modulo 2
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _SLICE = 1 << 16
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -53,51 +53,63 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """All words of a batch: hash and byte span by word; `first[i]:first[i + 1]` are the words of row i."""
+    """All words of a batch: number among the distinct words by word; `first[i]:first[i + 1]` are the words of row i."""
 
-    hashes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    codes: np.ndarray
+    distinct: pa.Array
     first: np.ndarray
 
+    @property
+    def hashes(self) -> np.ndarray:
+        """64-bit hash by word."""
+        return hash_strings(self.distinct)[self.codes]
+
 
 def batch_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of rows given as bytes. The hash of a word is a polynomial of random byte values modulo 2**64, mixed."""
-    low = _LOWER[raw]
+    """Words of rows given as bytes: the white space is dropped, and what is left is dictionary-encoded in one pass."""
     inside = np.zeros(len(raw) + 1, bool)
-    inside[:-1] = ~_SPACE[low]
-    before = np.zeros(len(raw) + 1, bool)
-    before[1:] = inside[:-1]
-    before[offsets] = False  # a word ends where its row ends
-    starts = np.flatnonzero(inside[:-1] & ~before[:-1])
-    after = inside[1:].copy()
-    cut = offsets[1:][(offsets[1:] > 0)] - 1
-    after[cut] = False
-    ends = np.flatnonzero(inside[:-1] & ~after) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    # The prefix sums run over slices, so the tables of powers stay small; words never cross a slice of their own.
+    np.logical_not(SPACE[raw], out=inside[:-1])
+    begin = inside[:-1].copy()
+    begin[1:] &= ~inside[:-2]
+    at = offsets[:-1][offsets[:-1] < len(raw)]
+    begin[at] = inside[at]  # a word begins where its row does
+    starts = np.flatnonzero(begin)
+    place = np.concatenate(([0], np.cumsum(inside[:-1], dtype=np.int64)))
+    ends = np.append(place[starts], place[-1]).astype(np.int32)
+    packed = LOWER[raw[inside[:-1]]]
+    array = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    coded = array.dictionary_encode()
+    return Words(coded.indices.to_numpy(), coded.dictionary, np.searchsorted(starts, offsets))
+
+
+def hash_strings(array: pa.Array) -> np.ndarray:
+    """A polynomial of random byte values modulo 2**64 for each string, mixed with its length; by prefix sums over slices."""
+    ends = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    data = array.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    out = np.empty(len(array), np.uint64)
     i = 0
-    while i < len(starts):
-        a = starts[i]
-        j = max(int(np.searchsorted(ends, a + _SLICE, "right")), i + 1)
-        b = ends[j - 1]
-        up, down = _tables(b - a)
+    while i < len(array):
+        a = ends[i]
+        j = max(int(np.searchsorted(ends, a + _SLICE, "right")) - 1, i + 1)
+        b = ends[j]
+        up, down = _tables(int(b - a) + 1)
         total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[low[a:b]] * up[: b - a], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        hashes[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _GOLD)
+        np.cumsum(_BYTE[raw[a:b]] * up[: b - a], out=total[1:])
+        s, e = ends[i:j] - a, ends[i + 1 : j + 1] - a
+        out[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _GOLD)
         i = j
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    return out
 
 
 _CACHED: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > _SLICE:
+    if n > _SLICE + 1:
         return _powers(_STEP, n), _powers(_BACK, n)
     if not _CACHED:
-        _CACHED.extend((_powers(_STEP, _SLICE), _powers(_BACK, _SLICE)))
+        _CACHED.extend((_powers(_STEP, _SLICE + 1), _powers(_BACK, _SLICE + 1)))
     return _CACHED[0], _CACHED[1]
 
 
@@ -114,7 +126,8 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
     """Per row the distinct hashes of its runs of `width` words, ascending; fewer words make one run, no words none."""
-    runs = run_hashes(words.hashes, width)
+    hashes = words.hashes
+    runs = run_hashes(hashes, width)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= width:
@@ -124,5 +137,5 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
             np.not_equal(x[1:], x[:-1], out=keep[1:])
             out.append(x[keep])
         else:
-            out.append(run_hashes(words.hashes[a:b], b - a) if b > a else np.empty(0, np.uint64))
+            out.append(run_hashes(hashes[a:b], b - a) if b > a else np.empty(0, np.uint64))
     return out
