@@ -55,6 +55,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(index, folder)
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(_docs(spark, sf_dir))
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
@@ -62,7 +68,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op6_audio, op7_near_dedup, op8_token_files, op10_pseudonyms)}
+    return {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op6_audio, op7_near_dedup, op8_token_files, op9_katz_scores, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
