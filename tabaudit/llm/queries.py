@@ -21,6 +21,12 @@ def _vocabulary(name: str) -> str:
 PII_KEY = b"example key of the queries"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import edited_fingerprints
 
@@ -68,7 +74,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_merkle_fingerprints, op3_packing, op6_audio, op7_near_dedup, op8_token_files, op9_katz_scores, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_merkle_fingerprints, op3_packing, op6_audio, op7_near_dedup, op8_token_files, op9_katz_scores, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
