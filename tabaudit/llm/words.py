@@ -65,8 +65,8 @@ class Words:
         return hash_strings(self.distinct)[self.codes]
 
 
-def batch_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of rows given as bytes: the white space is dropped, and what is left is dictionary-encoded in one pass."""
+def batch_words(raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
+    """Words of rows given as bytes, in lower case unless `fold` is false: the white space is dropped, and what is left is dictionary-encoded in one pass."""
     inside = np.zeros(len(raw) + 1, bool)
     np.logical_not(SPACE[raw], out=inside[:-1])
     begin = inside[:-1].copy()
@@ -76,7 +76,8 @@ def batch_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     starts = np.flatnonzero(begin)
     place = np.concatenate(([0], np.cumsum(inside[:-1], dtype=np.int64)))
     ends = np.append(place[starts], place[-1]).astype(np.int32)
-    packed = LOWER[raw[inside[:-1]]]
+    packed = raw[inside[:-1]]
+    packed = LOWER[packed] if fold else packed
     array = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
     coded = array.dictionary_encode()
     return Words(coded.indices.to_numpy(), coded.dictionary, np.searchsorted(starts, offsets))
