@@ -40,6 +40,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json")), work_dir(spark, "packing"))
 
 
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(_docs(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -81,7 +87,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_merkle_fingerprints, op3_packing, op5_quality, op6_audio, op7_near_dedup, op8_token_files, op9_katz_scores, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_merkle_fingerprints, op3_packing, op4_sampled_pieces, op5_quality, op6_audio, op7_near_dedup, op8_token_files, op9_katz_scores, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
