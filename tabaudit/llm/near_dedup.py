@@ -5,7 +5,7 @@ Each document is the set of its distinct shingle hashes; its sketch is the k sma
   1. documents with equal sets are one class, from here on stood for by its smallest doc_id;
   2. inverted lists: retained values, taken three neighbours at a time, are the keys of lists of classes, and lists connect
      classes into coarse groups. Of two sets with likeness J, each of the first t values of their union is in both with
-     probability J, so for J = 0.85 and t = 48 no three neighbours in a row are shared with a probability below 1e-9; sets of
+     probability J, so for J = 0.85 and t = 48 no three neighbours in a row are shared with a probability below 1e-9 (1e-7 for J = 0.8); sets of
      up to 50 values, whose sketches are the sets, use single values of an exact prefix instead, and lose nothing;
   3. union-sketch estimation: the share of the k smallest values of the union that both sketches have, within five standard
      deviations of the threshold, splits the coarse groups;
@@ -138,6 +138,10 @@ def _estimated(percent: int):
 
         def linked(i: int, overlap: np.ndarray, cand: np.ndarray) -> np.ndarray:
             good = 100 * np.minimum(size[cand], size[i]) >= percent * np.maximum(size[cand], size[i])
+            # All that both sketches share bounds the estimate from above; most pairs end here.
+            whole = (size[cand] <= K) & (size[i] <= K)
+            among = np.where(whole, size[cand] + size[i] - overlap, K)
+            good &= overlap >= among * (percent / 100 - np.where(whole, 0.0, 5 * (percent * (100 - percent) / 1e4 / K) ** 0.5)) - 1e-9
             for c in np.flatnonzero(good).tolist():
                 j = cand[c]
                 union = np.union1d(sk[i], sk[j])

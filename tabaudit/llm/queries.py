@@ -11,7 +11,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -37,13 +37,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, pieces
     from .store import work_dir
 
-    return pack(pieces(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json")), work_dir(spark, "packing"))
+    return pack(pieces(_docs(spark, sf_dir), vocabulary_path("word_bpe_49k.json")), work_dir(spark, "packing"))
 
 
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
-    return round_trip(_docs(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    return round_trip(_docs(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_digests, write_token_files
 
     folder = work_dir(spark, "token-files")
-    index = write_token_files(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), folder)
+    index = write_token_files(_docs(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), folder)
     return read_token_digests(index, folder)
 
 
