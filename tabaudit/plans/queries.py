@@ -1,11 +1,364 @@
-"""Queries of the audit engine, each with its SQL."""
+"""Queries of the audit engine over summaries of the example tables, each with its SQL.
+
+Detectors' queries return the statistics of every series or point with a flag, so that quiet data are compared too.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers
+from ..operators import across, detectors, reported
+from . import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
+
+
+def r(c: str, n: int = 4):
+    return F.round(c, n).alias(c)
+
+
+@query(f"""
+WITH p AS ({t.MONTHLY}),
+s AS (SELECT *, lead(x) OVER w AS x_to, lead(v) OVER w AS v_to FROM p WINDOW w AS (PARTITION BY k ORDER BY x)),
+q AS (SELECT *, abs(v_to - v) AS step, v_to - v AS sg FROM s WHERE x_to IS NOT NULL),
+a AS (SELECT *, median(step) OVER (PARTITION BY k) AS ms, median(sg) OVER (PARTITION BY k) AS mg FROM q),
+b AS (SELECT *, median(abs(step - ms)) OVER (PARTITION BY k) AS ds, median(abs(sg - mg)) OVER (PARTITION BY k) AS dg FROM a),
+c AS (SELECT *, coalesce(nullif(ds, 0), ms) AS typ FROM b),
+d AS (SELECT *, coalesce(nullif(dg, 0), typ) AS sp, greatest(v, v_to) / least(v, v_to) AS ratio FROM c),
+e AS (SELECT *, abs(sg - mg) / sp AS dev FROM d)
+SELECT k AS fixed_key, x AS x_from, x_to, round(ratio, 2) AS ratio, round(step, 3) AS step, round(typ, 3) AS typical_step, round(dev, 3) AS trend_dev, dev > 4 AND ratio >= 3 AS flagged FROM e""")
+def jump_monthly_revenue(spark, sf_dir):
+    d = detectors.numeric_jumps(t.monthly_revenue(spark, sf_dir))
+    return d.select("fixed_key", "x_from", "x_to", r("ratio", 2), r("step", 3), r("typical_step", 3), r("trend_dev", 3), "flagged")
+
+
+@query("""SELECT * FROM (VALUES ('blowup', 7.0::DOUBLE, 8.0::DOUBLE, true, true), ('turn', 7.0, 8.0, true, false), ('plateau', 1.0, 2.0, true, false), ('faster', 5.0, 6.0, true, false)) v(fixed_key, x_from, x_to, flagged, endpoint_of_climb)""")
+def jump_endpoint_of_climb(spark, sf_dir):
+    rows = [("blowup", [1, 2, 3, 4, 5, 6, 7, 10000]), ("turn", [1, 2, 3, 4, 5, 6, 7, -10000]), ("plateau", [2, 196, 209, 214, 215, 216]), ("faster", [2, 5, 11, 24, 50, 10000])]
+    df = spark.createDataFrame(rows, "k string, vs array<int>").select("k", F.posexplode("vs").alias("i", "v"))
+    d = detectors.numeric_jumps(t.series(df, "climbs", "x", F.col("k"), F.col("i") + 1, F.col("v")))
+    return d.where("flagged").select("fixed_key", "x_from", "x_to", "flagged", "endpoint_of_climb")
+
+
+@query(f"""
+WITH p AS ({t.QUANTITY}),
+s AS (SELECT *, lead(v) OVER (PARTITION BY k ORDER BY x) - v AS d, max(v) OVER (PARTITION BY k) - min(v) OVER (PARTITION BY k) AS rng, count(*) OVER (PARTITION BY k) AS n FROM p)
+SELECT k AS fixed_key, min(n) AS n, CAST(sum(CASE WHEN d < 0 AND abs(d) / rng > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS reversals,
+ round(coalesce(max(CASE WHEN d < 0 AND abs(d) / rng > 0.05 THEN abs(d) END), 0) / min(rng), 4) AS strength,
+ max(CASE WHEN d < 0 AND abs(d) / rng > 0.05 THEN 1 ELSE 0 END) = 1 AS flagged FROM s GROUP BY k""")
+def mono_quantity_price(spark, sf_dir):
+    return detectors.monotonicity(t.quantity_price(spark, sf_dir), "increasing").select("fixed_key", "n", "reversals", r("strength"), "flagged")
+
+
+@query("""
+WITH c AS (SELECT year(o_orderdate) AS y, c_mktsegment AS e, round(avg(o_totalprice), 3) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+w AS (SELECT y, e AS winner FROM c QUALIFY row_number() OVER (PARTITION BY y ORDER BY v DESC, e) = 1),
+s AS (SELECT y, winner, row_number() OVER (ORDER BY y) AS i, lag(winner) OVER (ORDER BY y) AS before FROM w),
+f AS (SELECT count(DISTINCT winner) AS d, string_agg(winner, ',' ORDER BY y) AS winners FROM s),
+b AS (SELECT count(*) AS c FROM s a WHERE a.winner <> a.before AND EXISTS (SELECT 1 FROM s b WHERE b.i <= a.i - 2 AND b.winner = a.winner) AND a.i >= 3)
+SELECT winners, CAST(d AS BIGINT) AS distinct_winners, d >= 3 OR c > 0 AS flagged FROM f, b""")
+def winrev_segment_by_year(spark, sf_dir):
+    o, c = t.read(spark, sf_dir, "orders"), t.read(spark, sf_dir, "customer")
+    g = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.year("o_orderdate").alias("y"), F.col("c_mktsegment").alias("entity")).agg(F.round(F.avg("o_totalprice"), 3).alias("v"))
+    cells = t.series(g.withColumn("z", F.lit("")), "segments", "year", F.col("z"), F.col("y"), F.col("v"), F.col("entity")).withColumn("entity", F.col("x_lab")).withColumn("entity_pos", F.col("x_lab"))
+    return detectors.win_reversals(cells, lower_is_better=False).select("winners", "distinct_winners", "flagged")
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2),
+l AS (SELECT p, lead(p) OVER (ORDER BY p) AS lo FROM (SELECT DISTINCT p FROM c)),
+j AS (SELECT l.p AS hi, l.lo, a.v AS a, b.v AS b FROM l JOIN c a ON a.p = l.p JOIN c b ON b.p = l.lo AND a.y = b.y),
+g AS (SELECT hi, lo, CAST(sum(CASE WHEN a < b THEN 1 ELSE 0 END) AS BIGINT) AS holds, CAST(sum(CASE WHEN a > b THEN 1 ELSE 0 END) AS BIGINT) AS fails FROM j GROUP BY 1, 2)
+SELECT hi, lo, holds, fails, round(holds / (holds + fails), 4) AS strength, holds + fails >= 4 AND fails > 0 AND fails <= greatest(1, (holds + fails) // 4) AS flagged FROM g""")
+def catexc_priority(spark, sf_dir):
+    g = t.read(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    cells = t.series(g, "priorities", "priority", F.col("y"), F.substring("o_orderpriority", 1, 1), F.col("v"), F.col("o_orderpriority"))
+    return detectors.category_exceptions(cells).select("hi", "lo", "holds", "fails", r("strength"), "flagged")
+
+
+@query("""
+WITH c AS (SELECT p_brand AS e, p_size // 10 AS x, round(median(p_retailprice), 0) AS v FROM part GROUP BY 1, 2)
+SELECT e AS entity, count(DISTINCT v) AS most_values, count(DISTINCT v) = 1 AS flagged FROM c GROUP BY e HAVING count(*) >= 2""")
+def flatness_median_price(spark, sf_dir):
+    g = t.read(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_size") / 10).alias("b")).agg(F.round(F.median("p_retailprice"), 0).alias("v"))
+    cells = t.series(g.withColumn("z", F.lit("")), "sizes", "size", F.col("z"), F.col("b"), F.col("v"), F.col("p_brand")).withColumn("entity", F.col("x_lab"))
+    return detectors.flat_entities(cells).select("entity", "most_values", "flagged")
+
+
+@query("""
+WITH c AS (SELECT l_suppkey AS e, year(l_shipdate) AS x, round(avg(l_discount), 3) AS v FROM lineitem GROUP BY 1, 2),
+f AS (SELECT e FROM c GROUP BY e HAVING count(*) >= 2 AND count(DISTINCT v) = 1),
+d AS (SELECT * FROM c WHERE e NOT IN (SELECT e FROM f) AND length(regexp_extract(CAST(v AS VARCHAR), '\\.(\\d+)$', 1)) >= 2)
+SELECT CAST(e AS VARCHAR) AS entity, v AS value, count(*) AS levels FROM d GROUP BY 1, 2 HAVING count(*) >= 2""")
+def duplicate_rounded_means(spark, sf_dir):
+    g = t.read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.round(F.avg("l_discount"), 3).alias("v"))
+    cells = t.series(g.withColumn("z", F.lit("")), "discounts", "year", F.col("z"), F.col("y"), F.col("v"), F.col("l_suppkey").cast("string")).withColumn("entity", F.col("x_lab"))
+    return detectors.duplicates(cells).select("entity", "value", "levels")
+
+
+def _shift_sql(source: str) -> str:
+    return f"""
+WITH p AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY x) AS i FROM ({source})),
+b AS (SELECT *, greatest(5, CAST(floor(n * 0.3) AS BIGINT)) AS nb FROM p WHERE n >= 8),
+m AS (SELECT k, median(v) AS mu, regr_slope(v, x) AS sl, regr_intercept(v, x) AS ic, var_pop(v) AS vv, max(x) AS bx, max(x) - min(x) AS wd FROM b WHERE i <= nb GROUP BY k),
+m2 AS (SELECT b.k, median(abs(v - mu)) * 1.4826::DOUBLE AS mad, sqrt(avg((v - ic - sl * x) * (v - ic - sl * x))) AS rs FROM b JOIN m USING (k) WHERE i <= nb GROUP BY b.k),
+c AS (SELECT b.*, mu, sl, ic, bx, coalesce(nullif(rs, 0), nullif(mad, 0), nullif(abs(mu) * 0.05, 0), 1.0) AS sd,
+  (CASE WHEN vv > 0 THEN greatest(0, 1 - rs * rs / vv) ELSE 0 END) >= 0.6 AND abs(sl) * wd > 2 * coalesce(nullif(rs, 0), 1e-9) AS tr FROM b JOIN m USING (k) JOIN m2 USING (k)),
+d AS (SELECT *, CASE WHEN tr THEN ic + sl * x ELSE mu END AS ex FROM c),
+h AS (SELECT *, i > nb AND abs(v - ex) > 3 * sd AS hit FROM d),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY k, hit ORDER BY x) AS isl FROM h),
+u AS (SELECT k, isl, count(*) AS np, min(i) AS fi, avg(v) AS sm, min(x) AS sf, max(x) AS st FROM g WHERE hit GROUP BY 1, 2),
+t AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY np DESC, fi) = 1),
+z AS (SELECT DISTINCT k, n, mu, sd, tr, bx FROM h)
+SELECT z.k AS fixed_key, z.n, round(mu, 2) AS baseline, round(sd, 3) AS ref_sd, tr AS trending, bx AS baseline_to, CAST(coalesce(np, 0) AS BIGINT) AS n_persist, round(sm, 3) AS shifted_mean, sf AS shift_from, st AS shift_to, coalesce(np, 0) >= 3 AS flagged FROM z LEFT JOIN t USING (k)"""
+
+
+def _shifts(df):
+    return detectors.level_shifts(df).select("fixed_key", "n", r("baseline", 2), r("ref_sd", 3), "trending", "baseline_to", "n_persist", r("shifted_mean", 3), "shift_from", "shift_to", "flagged")
+
+
+@query(_shift_sql(t.DAILY))
+def levelshift_daily_events(spark, sf_dir):
+    return _shifts(t.daily_events(spark, sf_dir))
+
+
+@query(_shift_sql(t.CUMULATIVE))
+def levelshift_trend_guard(spark, sf_dir):
+    return _shifts(t.cumulative_events(spark, sf_dir))
+
+
+@query(f"""
+WITH p AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM ({t.MONTHLY})),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC) AS dn, row_number() OVER (PARTITION BY k ORDER BY x) AS i FROM p WHERE n >= 5),
+m AS (SELECT k, min(CASE WHEN dn > 2 THEN v END) AS lo, max(CASE WHEN dn > 2 THEN v END) AS hi, median(CASE WHEN dn > 2 THEN v END) AS mid, max(v) - min(v) AS rng, regr_slope(v, x) AS sl, regr_intercept(v, x) AS ic, regr_r2(v, x) AS r2 FROM o GROUP BY k),
+q AS (SELECT o.*, r2, abs(v - mid) > greatest(6 * (hi - lo), 0.4 * rng) AND (v < lo OR v > hi) AS outside, v - (ic + sl * x) AS rs FROM o JOIN m USING (k)),
+q1 AS (SELECT *, sum(CASE WHEN outside THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS no, median(rs) OVER (PARTITION BY k) AS rm FROM q),
+q2 AS (SELECT *, median(abs(rs - rm)) OVER (PARTITION BY k) AS md FROM q1),
+q3 AS (SELECT *, abs(rs - rm) / (1.4826::DOUBLE * md) AS z FROM q2),
+q4 AS (SELECT *, z > 3.5 AND NOT (r2 >= 0.9 AND (i = 1 OR i = n)) AS far FROM q3),
+q5 AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS nf FROM q4)
+SELECT k AS fixed_key, x, v AS value, round(z, 3) AS z, CASE WHEN no BETWEEN 1 AND 2 THEN 'vs_cluster' ELSE 'residual' END AS mode, CASE WHEN no BETWEEN 1 AND 2 THEN outside ELSE far AND nf BETWEEN 1 AND 2 END AS flagged FROM q5""")
+def outlier_residual_month(spark, sf_dir):
+    return detectors.numeric_outliers(t.monthly_revenue(spark, sf_dir)).select("fixed_key", "x", "value", r("z", 3), "mode", "flagged")
+
+
+@query("""SELECT * FROM (VALUES ('cluster', 'vs_cluster', 5.0::DOUBLE), ('leverage', 'leverage', 19.0), ('monotone', 'monotone', NULL)) v(fixed_key, mode, x)""")
+def outlier_modes(spark, sf_dir):
+    rows = [("cluster", i, 15.0 if i == 5 else 1.0 + 0.01 * (i % 3)) for i in range(12)] + [("leverage", 19 if i == 7 else 8, v) for i, v in enumerate((6.58, 5.76, 7.71, 8.84, 8.47, 7.04, 5.25, 12.5, 5.56, 7.91, 6.89))] + [("monotone", i, float(i * i)) for i in range(12)]
+    df = spark.createDataFrame([(*row, n) for n, row in enumerate(rows)], "k string, i int, v double, n int")
+    d = detectors.numeric_outliers(t.series(df, "modes", "x", F.col("k"), F.col("i"), F.col("v")).withColumn("row_id", F.lit(0).cast("long")))
+    return d.groupBy("fixed_key", "mode").agg(F.max(F.when(F.col("flagged"), F.col("x"))).alias("x"))
+
+
+@query(f"""
+WITH p AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY v, x) AS up FROM ({t.BRANDS})),
+a AS (SELECT *, CASE WHEN n >= 7 THEN 2 ELSE 1 END AS st, max(v) OVER (PARTITION BY k) AS mx, min(v) OVER (PARTITION BY k) AS mn FROM p WHERE n >= 5),
+b AS (SELECT *, max(CASE WHEN up > st AND up <= n - st THEN v END) OVER (PARTITION BY k) AS ch, min(CASE WHEN up > st AND up <= n - st THEN v END) OVER (PARTITION BY k) AS cl FROM a),
+c AS (SELECT *, mn > 0 AND log10(mx / mn) >= 2 AND log10(ch / cl) >= 1.5 AS lg FROM b),
+d AS (SELECT *, CASE WHEN lg THEN log10(v) ELSE v END AS w FROM c),
+e AS (SELECT *, min(CASE WHEN up > 1 AND up < n THEN w END) OVER (PARTITION BY k) AS lo, max(CASE WHEN up > 1 AND up < n THEN w END) OVER (PARTITION BY k) AS hi, median(CASE WHEN up > 1 AND up < n THEN w END) OVER (PARTITION BY k) AS mid, max(w) OVER (PARTITION BY k) - min(w) OVER (PARTITION BY k) AS sp FROM d),
+f AS (SELECT *, sp > 0 AND abs(w - mid) > greatest(6 * (hi - lo), 0.4 * sp) AND (w < lo OR w > hi) AS o FROM e)
+SELECT k AS fixed_key, lab AS x_lab, round(v, 2) AS value, lg AS log, o AND sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY k) BETWEEN 1 AND 2 AS flagged FROM f""")
+def outlier_categorical_brand(spark, sf_dir):
+    return detectors.categorical_outliers(t.brand_prices(spark, sf_dir)).select("fixed_key", "x_lab", r("value", 2), "log", "flagged")
+
+
+@query("""
+WITH c AS (SELECT n_regionkey AS t, CAST(s_nationkey AS BIGINT) AS row_id, round(sum(s_acctbal), 2) * CASE WHEN s_nationkey % 9 = 0 THEN 1000 ELSE 1 END AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, s_nationkey),
+a AS (SELECT *, count(*) OVER (PARTITION BY t) AS n, row_number() OVER (PARTITION BY t ORDER BY v, row_id) AS up FROM c),
+b AS (SELECT *, median(CASE WHEN up > 1 AND up < n THEN v END) OVER (PARTITION BY t) AS mid, max(v) OVER (PARTITION BY t) - min(v) OVER (PARTITION BY t) AS sp FROM a WHERE n >= 5),
+d AS (SELECT *, median(CASE WHEN up > 1 AND up < n THEN abs(v - mid) END) OVER (PARTITION BY t) AS md FROM b),
+e AS (SELECT *, abs(v - mid) / nullif(1.4826::DOUBLE * md, 0) AS z FROM d),
+f AS (SELECT *, coalesce(z > 8 AND abs(v - mid) > 0.5 * sp, false) AS o FROM e)
+SELECT CAST(t AS VARCHAR) AS table_id, row_id, round(z, 3) AS z, o AND sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY t) = 1 AS flagged FROM f""")
+def outlier_whole_table(spark, sf_dir):
+    s, n = t.read(spark, sf_dir, "supplier"), t.read(spark, sf_dir, "nation")
+    g = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).groupBy("n_regionkey", "s_nationkey").agg(F.round(F.sum("s_acctbal"), 2).alias("v"))
+    cells = g.select(F.col("n_regionkey").cast("string").alias("table_id"), F.col("s_nationkey").cast("long").alias("row_id"), (F.col("v") * F.when(F.col("s_nationkey") % 9 == 0, 1000).otherwise(1)).alias("value"))
+    return detectors.whole_table_outliers(cells).select("table_id", "row_id", r("z", 3), "flagged")
+
+
+def _trend_sql(source: str) -> str:
+    return f"""
+WITH p AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, lead(v) OVER (PARTITION BY k ORDER BY x, v) - v AS d, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY k ORDER BY x) AS rx FROM ({source})),
+g AS (SELECT k, min(n) AS n, regr_slope(v, x) AS slope, regr_r2(v, x) AS r2, corr(v, x) AS pe, corr(rv, rx) AS sp, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS dn, count(*) FILTER (d = 0) AS eq, max(v) - min(v) AS rng, max(x) - min(x) AS w, arg_min(v, x) AS a, arg_max(v, x) AS b FROM p WHERE n >= 6 GROUP BY k),
+h AS (SELECT *, CASE WHEN dn = 0 AND up > 0 THEN CASE WHEN eq = 0 THEN 'increasing' ELSE 'non_decreasing' END WHEN up = 0 AND dn > 0 THEN CASE WHEN eq = 0 THEN 'decreasing' ELSE 'non_increasing' END ELSE 'none' END AS dir FROM g)
+SELECT k AS fixed_key, n, round(slope, 4) AS slope, round(r2, 4) AS r2, round(pe, 4) AS pearson, round(sp, 4) AS spearman, dir AS direction, round(a, 2) AS start_value, round(b, 2) AS end_value,
+ (r2 >= 0.5 AND abs(slope * w) > 0.5 * rng) OR (dir <> 'none' AND abs(sp) >= 0.9 AND abs(b - a) > 0.5 * rng) AS flagged FROM h"""
+
+
+def _trends(df):
+    return detectors.trends(df).select("fixed_key", "n", r("slope"), r("r2"), r("pearson"), r("spearman"), "direction", r("start_value", 2), r("end_value", 2), "flagged")
+
+
+@query(_trend_sql(t.CUMULATIVE))
+def trend_cumulative_events(spark, sf_dir):
+    return _trends(t.cumulative_events(spark, sf_dir))
+
+
+@query(_trend_sql(t.QUANTITY))
+def trend_quantity_price(spark, sf_dir):
+    return _trends(t.quantity_price(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT 'part' AS table_id, 'key' AS axis, CAST(p_partkey AS DOUBLE) AS x FROM part UNION ALL SELECT 'part', 'size', p_size FROM part UNION ALL SELECT 'nation', 'key', n_nationkey FROM nation),
+g AS (SELECT table_id, axis, count(*) AS n, count(DISTINCT x) AS d, min(x) AS lo, max(x) AS hi FROM c GROUP BY 1, 2)
+SELECT table_id, axis, n, n >= 5 AND d = n AND lo IN (0, 1) AND hi - lo = n - 1 AS flagged FROM g""")
+def index_like_axes(spark, sf_dir):
+    part, nation = t.read(spark, sf_dir, "part"), t.read(spark, sf_dir, "nation")
+    row = lambda df, table, axis, c: df.select(F.lit(table).alias("table_id"), F.lit(axis).alias("axis"), F.col(c).cast("double").alias("x"))
+    return detectors.index_like_axes(row(part, "part", "key", "p_partkey").unionByName(row(part, "part", "size", "p_size")).unionByName(row(nation, "nation", "key", "n_nationkey")))
+
+
+NUMBERS = [("0.91 [0.88, 0.94]", 0.91), ("0.91 (0.03)", 0.91), ("8×10^{-3}", 0.008), (r"8 \times 10^3", 8000.0), ("8 10^-3", 0.008), ("inf", None), ("-inf", None), ("1e999", None), ("NaN", None), ("1k", 1000.0), ("300K", 300000.0), ("1.5M", 1.5e6), ("175B", 175e9), ("5m", None), ("10b", None), ("3G", None), ("1kg", None), ("k", None), ("1,234.5", 1234.5), ("45%", 45.0), ("−3.2", -3.2), ("n/a", None), ("--", None), ("1d", None), ("5f", None), ("1e-4", 1e-4), (" 7 ", 7.0), ("1_000", 1000.0), (".5", 0.5), ("5.", 5.0)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {'NULL' if v is None else f'{v!r}::DOUBLE'})" for c, v in NUMBERS) + ") v(cell, number)")
+def parse_number_cells(spark, sf_dir):
+    df = spark.createDataFrame([(c,) for c, _ in NUMBERS], "cell string")
+    return df.select("cell", F.round(numbers.parse_number(F.col("cell")), 9).alias("number"))
+
+
+DIRECTIONS = [("pass@1", "higher"), ("anything ↑", "higher"), ("loss ↑", "higher"), ("score ↓", "lower"), ("BLEU", "higher"), ("ROUGE-L", "higher"), ("Top-1 err.", "lower"), ("PPL", "lower"), ("RMSE", "lower"), ("CoLA", None), ("account", "higher"), ("", None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {'NULL' if v is None else repr(v)})" for c, v in DIRECTIONS) + ") v(metric, direction)")
+def metric_direction(spark, sf_dir):
+    df = spark.createDataFrame([(c,) for c, _ in DIRECTIONS], "metric string")
+    return df.select("metric", numbers.metric_direction(F.col("metric")).alias("direction"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey AS k, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1),
+p AS (SELECT k, n, printf('%.2f', m + 0.000001 + CASE WHEN k % 50 = 0 THEN 0.03 ELSE 0 END) AS m FROM g)
+SELECT k AS l_orderkey, n, m AS mean, CASE WHEN abs(round_even(CAST(m AS DOUBLE) * n, 0) / n - CAST(m AS DOUBLE)) > 0.005 + 1e-9 THEN 'finding' ELSE 'ok' END AS grim FROM p""")
+def grim_order_means(spark, sf_dir):
+    g = t.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"))
+    g = g.withColumn("mean", F.format_string("%.2f", F.col("m") + 0.000001 + F.when(F.col("l_orderkey") % 50 == 0, 0.03).otherwise(0.0))).drop("m")
+    return reported.grim(g, F.col("mean"), F.col("n")).select("l_orderkey", "n", "mean", "grim")
+
+
+GRIMMER = [("3.00", "1.58", 5, "ok"), ("3.00", "1.60", 5, "finding"), ("3.45", "1.20", 7, "not_applicable"), ("3", "1.58", 5, "ok"), ("2.50", "0.71", 2, "ok"), ("2.50", "1", 2, "not_applicable"), ("2.50", "0.71", 1, "not_applicable")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{s}', {n}::BIGINT, '{g}')" for m, s, n, g in GRIMMER) + ") v(mean, sd, n, grimmer)")
+def grimmer_cases(spark, sf_dir):
+    df = spark.createDataFrame([(m, s, n) for m, s, n, _ in GRIMMER], "mean string, sd string, n long")
+    return reported.grimmer(df, F.col("mean"), F.col("sd"), F.col("n")).select("mean", "sd", "n", "grimmer")
+
+
+@query("""
+WITH x AS (SELECT l_returnflag AS k, abs(l_extendedprice) AS v FROM lineitem WHERE l_extendedprice <> 0),
+d AS (SELECT k, CAST(substr(printf('%.10e', v), 1, 1) AS INT) AS d, count(*) AS c FROM x GROUP BY 1, 2),
+n AS (SELECT k, count(*) AS n, max(v) / min(v) AS span FROM x GROUP BY 1),
+g AS (SELECT n.k, n.n, n.span, sum((coalesce(c, 0) - n.n * log10(1 + 1.0::DOUBLE / i)) * (coalesce(c, 0) - n.n * log10(1 + 1.0::DOUBLE / i)) / (n.n * log10(1 + 1.0::DOUBLE / i))) AS chi2 FROM n CROSS JOIN (SELECT CAST(unnest(range(1, 10)) AS INT) AS i) LEFT JOIN d ON d.k = n.k AND d.d = i GROUP BY 1, 2, 3)
+SELECT k AS l_returnflag, n, round(span, 3) AS span, round(chi2, 3) AS chi2, CASE WHEN n < 30 OR span < 100 OR n * log10(10.0::DOUBLE / 9) < 5 THEN 'not_applicable' WHEN chi2 > 20.090235 THEN 'finding' ELSE 'ok' END AS status FROM g""")
+def benford_extendedprice(spark, sf_dir):
+    return reported.benford(t.read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "n", r("span", 3), r("chi2", 3), "status")
+
+
+@query("""
+WITH d AS (SELECT l_returnflag AS k, right(printf('%.2f', l_extendedprice), 1) AS d, count(*) AS c FROM lineitem GROUP BY 1, 2)
+SELECT k AS l_returnflag, CAST(sum(c) AS BIGINT) AS n, round(sum(c * c) * 10.0::DOUBLE / sum(c) - sum(c), 3) AS chi2, CASE WHEN sum(c) < 50 THEN 'not_applicable' WHEN sum(c * c) * 10.0::DOUBLE / sum(c) - sum(c) > 21.665994 THEN 'finding' ELSE 'ok' END AS status FROM d GROUP BY k""")
+def terminal_digit_price(spark, sf_dir):
+    df = t.read(spark, sf_dir, "lineitem").select("l_returnflag", F.format_string("%.2f", "l_extendedprice").alias("raw"))
+    return reported.terminal_digits(df, ["l_returnflag"], "raw").select("l_returnflag", "n", r("chi2", 3), "status")
+
+
+STATS = [("t(38) = 2.10, p = .03", "t", "ok"), ("t(20) = .5, p < .001", "t", "finding"), ("χ²(2, N = 120) = 5.99, p = .05", "chi2", "ok"), ("z = 1.96, p = .05", "z", "ok"), ("r(20) = 1, p < .001", "r", "ok"), ("F(2, 27) = 3.35, p = .05", "F", "ok"), ("r(20) = 1.2, p < .001", "r", "not_applicable"), ("z = 1.2, p = .01", "z", "finding")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{k}', '{x}')" for s, k, x in STATS) + ") v(string, test, status)")
+def statcheck_cases(spark, sf_dir):
+    text = "We found " + "; and ".join(s for s, *_ in STATS) + ". No test here: t(3)."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return reported.statcheck(reported.extract_tests(df)).select("string", "test", "status")
+
+
+@query("""
+WITH c AS (SELECT c_mktsegment AS coord, round(avg(c_acctbal), 2) AS a, round(avg(c_acctbal), 1) + CASE WHEN c_mktsegment = 'MACHINERY' THEN 40 ELSE 0 END AS b FROM customer GROUP BY 1),
+g AS (SELECT *, abs(a - b) AS gap, 0.055::DOUBLE AS slack FROM c), e AS (SELECT *, gap <= greatest(slack * (1 + 1e-9), 1e-9 * greatest(abs(a), abs(b))) AS eq FROM g)
+SELECT 'balance' AS metric, count(*) AS shared, CAST(sum(CASE WHEN eq THEN 1 ELSE 0 END) AS BIGINT) AS consistent, arg_max(coord, gap) FILTER (NOT eq) AS coord, round(max(gap / slack) FILTER (NOT eq), 3) AS strength, max(CASE WHEN eq THEN 0 ELSE 1 END) = 1 AS flagged FROM e""")
+def crosstable_inconsistency(spark, sf_dir):
+    g = t.read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("v"))
+    extra = F.when(F.col("c_mktsegment") == "MACHINERY", 40).otherwise(0)
+    row = lambda pos, v, form: g.select(F.lit(f"t{pos}").alias("table_id"), F.lit(pos).alias("table_pos"), F.lit(" Balance").alias("metric"), F.lit("segment").alias("axes"), F.col("c_mktsegment").alias("coord"), F.lit(0).alias("row_id"), v.alias("value"), F.format_string(form, v).alias("raw"))
+    cells = row(1, F.round("v", 2), "%.2f").unionByName(row(2, F.round("v", 1) + extra, "%.1f"))
+    return across.cross_table(cells).select("metric", "shared", "consistent", "coord", r("strength", 3), "flagged")
+
+
+@query("""
+WITH c AS (SELECT p_type AS col, p_size AS s, CAST(p_size AS VARCHAR) || CASE WHEN p_partkey = k THEN 'G' ELSE 'M' END AS raw FROM part JOIN (SELECT p_type AS pt, min(p_partkey) AS k FROM part WHERE p_size BETWEEN 10 AND 40 GROUP BY 1) ON p_type = pt)
+SELECT col, CAST(2 AS BIGINT) AS units, count(*) AS cells, 'M' AS main_unit, min(raw) FILTER (raw LIKE '%G') AS odd, true AS flagged FROM c GROUP BY col""")
+def unit_mismatch_size(spark, sf_dir):
+    p = t.read(spark, sf_dir, "part")
+    k = p.where("p_size between 10 and 40").groupBy("p_type").agg(F.min("p_partkey").alias("k"))
+    cells = p.join(k, "p_type").select(F.lit("part").alias("table_id"), F.col("p_type").alias("col"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") == F.col("k"), "G").otherwise("M")).alias("raw"))
+    return across.unit_mismatches(cells).select("col", "units", "cells", "main_unit", "odd", "flagged")
+
+
+@query("""
+WITH w AS (SELECT n_regionkey, round(avg(c_acctbal), 2) AS customers, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT n_regionkey AS region, 'customers' AS method, customers AS value FROM w UNION ALL SELECT n_regionkey, 'n', CAST(n AS DOUBLE) FROM w""")
+def melt_wide(spark, sf_dir):
+    c, n = t.read(spark, sf_dir, "customer"), t.read(spark, sf_dir, "nation")
+    w = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_regionkey").agg(F.round(F.avg("c_acctbal"), 2).alias("customers"), F.count("*").cast("double").alias("n"))
+    return w.withColumnRenamed("n_regionkey", "region").unpivot(["region"], ["customers", "n"], "method", "value")
+
+
+SCORES = [("numeric_jump", 12.0, 1.0, False, "HIGH"), ("numeric_jump", 12.0, 1.0, True, "LOW"), ("numeric_jump", 3.0, 1.0, False, "MEDIUM"), ("cat_exception", 0.9, 0.9, False, "HIGH"), ("trend", 0.95, 0.3, False, "LOW"), ("trend", 0.85, 1.0, False, "HIGH"), ("level_shift", 4.0, 1.0, False, "MEDIUM"), ("flatness", 1.0, 1.0, False, "MEDIUM"), ("point_outlier", 8.0, 1.0, False, "HIGH"), ("point_outlier", 9.0, 1.0, True, "LOW"), ("cross_table_inconsistency", 6.0, 0.4, False, "MEDIUM"), ("duplicate", 2.0, 1.0, False, "MEDIUM"), ("win_reversal", 3.0, 1.0, False, "HIGH")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{k}', '{p}')" for i, (k, *_, p) in enumerate(SCORES)) + ") v(seq, type, priority)")
+def flag_priorities(spark, sf_dir):
+    df = spark.createDataFrame([(i, k, s, p, low) for i, (k, s, p, low, _) in enumerate(SCORES)], "seq long, type string, strength double, support double, low boolean")
+    df = df.withColumn("endpoint", F.col("low")).withColumn("column_scale", F.col("low")).withColumn("spearman", F.lit(None).cast("double"))
+    return across.priority(df).select("seq", "type", "priority")
+
+
+@query("""
+WITH a AS (SELECT p_size AS v, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_size AS v, count(*) AS n FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
+SELECT CAST(sum(least(a.n, b.n)) AS BIGINT) AS shared FROM a JOIN b USING (v)""")
+def multiset_overlap(spark, sf_dir):
+    p = t.read(spark, sf_dir, "part")
+    return across.multiset_overlap(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_size")
+
 
-def queries() -> dict:
-    return {}
+@query("""
+WITH n AS (SELECT count(DISTINCT p_brand) AS a, count(DISTINCT p_type) AS b, count(DISTINCT p_size) AS c FROM part)
+SELECT 'part' AS table_id, CAST(3 AS BIGINT) AS axes, CAST(a * b * c AS DOUBLE) AS combinations, a * b * c > 50000 AS flagged FROM n""")
+def pathological_gate(spark, sf_dir):
+    p = t.read(spark, sf_dir, "part")
+    levels = p.select(F.lit("part").alias("table_id"), F.explode(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))).alias("axis", "level"))
+    return across.pathological(levels)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""SELECT * FROM (VALUES ('a', 'trend', 1::BIGINT), ('a', 'point_outlier', 2), ('b', 'point_outlier', 4)) v(axis, type, seq)""")
+def suppressed_flags(spark, sf_dir):
+    flags = spark.createDataFrame([("t", "a", "trend", None, None, None, 1), ("t", "a", "point_outlier", 5.0, None, None, 2), ("t", "a", "numeric_jump", None, 4.0, 5.0, 3), ("t", "b", "point_outlier", 1.0, None, None, 4), ("t", "b", "level_shift", None, None, None, 5), ("t", "b", "numeric_jump", None, 7.0, 8.0, 6)], "table_id string, axis string, type string, at double, x_from double, x_to double, seq long")
+    index = spark.createDataFrame([("t", "b", True), ("t", "a", False)], "table_id string, axis string, flagged boolean")
+    return across.suppress(flags, index).select("axis", "type", "seq")
