@@ -4,7 +4,7 @@ Each document is the set of its distinct shingle hashes; its sketch is the k sma
 100 * |A & B| >= percent * |A | B|, found in a funnel in which every stage moves a document once:
   1. documents with equal sets are one class, from here on stood for by its smallest doc_id;
   2. inverted lists: retained values, taken three neighbours at a time, are the keys of lists of classes, and lists connect
-     classes into coarse groups. Of two sets with likeness J, each of the first t values of their union is in both with
+     those of their classes whose 64-bit signatures (size and bits) are near (lost with a probability below 1e-6) into coarse groups. Of two sets with likeness J, each of the first t values of their union is in both with
      probability J, so for J = 0.85 and t = 48 no three neighbours in a row are shared with a probability below 1e-9 (1e-7 for J = 0.8); sets of
      up to 50 values, whose sketches are the sets, use single values of an exact prefix instead, and lose nothing;
   3. union-sketch estimation: the share of the k smallest values of the union that both sketches have, within five standard
@@ -19,6 +19,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ K = 128
 T = 48
 RUN = 3
 SMALL = 50
+FEW, LIST, BITS = 64, 8192, 52
 _SINGLE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -55,9 +57,9 @@ def _sets(docs: DataFrame, width: int):
                 part = batch.slice(at, 1024)
                 sets = shingle_sets(batch_words(*utf8(part.column(1))), width)
                 ids = [None if not len(s) else hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.record_batch([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_id", "sketch"])
+                yield pa.record_batch([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary()), pa.array(np.array([signature(s) for s in sets], np.uint64).view(np.int64))], names=["doc_id", "n_shingles", "set_id", "sketch", "sign"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, set_id binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, set_id binary, sketch binary, sign long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -71,19 +73,94 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(task, "node long, component long, members binary")
 
 
-def _coarse_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links each node of a list with the one before it, in rows sorted by key and node; the state is one row."""
-    key, node = None, None
-    for batch in batches:
-        k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(k):
-            continue
-        same = np.concatenate(([key is not None and k[0] == key], k[1:] == k[:-1]))
-        prev = np.concatenate(([node if node is not None else 0], v[:-1]))
-        keep = same & (prev != v)
-        key, node = k[-1], v[-1]
-        pairs = np.unique(np.stack((v[keep], prev[keep])), axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def signature(s: np.ndarray) -> int:
+    """12 bits of size, exact below FEW and logarithmic above, and BITS bits: one of the least value in each of as many ranges of
+    hashes, in which near sets differ little."""
+    n = len(s)
+    size = n if n < FEW else FEW + round(64 * math.log2(n / FEW))
+    bits = np.zeros(64, np.uint8)
+    if n:
+        bins = ((s >> np.uint64(32)) * np.uint64(BITS) >> np.uint64(32)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+        bits[12 + bins[new]] = (mix64(s[new]) & np.uint64(1)).astype(np.uint8)
+    return int(np.packbits(bits).view(">u8")[0]) | size << BITS
+
+
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures allow for the likeness: sizes within its ratio; no more differing bits than values that only one set
+    may have; and, where sets are large, than five standard deviations above the mean."""
+    a, b = np.broadcast_arrays(a, b)
+    na, nb = (np.where(c < FEW, c, FEW * 2.0 ** ((c - FEW) / 64)) for c in ((x >> np.uint64(BITS)).astype(float) for x in (a, b)))
+    differ = np.bitwise_count((a ^ b) & np.uint64((1 << BITS) - 1))
+    p = 0.6 * (100 - percent) / 100
+    most = np.where(np.minimum(na, nb) < FEW, 64, BITS * p + 5 * (BITS * p * (1 - p)) ** 0.5)
+    alone = 1.02 * (na + nb) * (100 - percent) / (100 + percent)
+    return (100 * np.minimum(na, nb) >= 0.98 * percent * np.maximum(na, nb)) & (differ <= np.minimum(most, alone))
+
+
+def _spread(node: np.ndarray, sign: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links of a list's nodes under the signatures' distance: each node is held against those not yet reached."""
+    left = np.arange(len(node))
+    out = []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = _near(sign[left], sign[i], percent)
+            if near.any():
+                found = left[near].tolist()
+                out += [(int(node[j]), int(node[i])) for j in found]
+                queue += found
+                left = left[~near]
+    return out
+
+
+def _coarse_links(percent: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links inside each list, in rows sorted by key. A list of more than LIST nodes is linked through, one node with the
+        next, as it comes by: more than is needed, which the later stages take apart."""
+        hk, hn, hs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        chained: tuple[int, int] | None = None  # key and last node of a list that is linked through
+
+        def lists(k: np.ndarray, v: np.ndarray, g: np.ndarray) -> list[tuple[int, int]]:
+            edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            two = two[_near(g[two], g[two + 1], percent)]
+            out = list(zip(v[two].tolist(), v[two + 1].tolist(), strict=True))
+            for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
+                out += _spread(v[a:b], g[a:b], percent)
+            return out
+
+        for batch in batches:
+            k = np.concatenate((hk, batch.column(0).to_numpy()))
+            v, g = np.concatenate((hn, batch.column(1).to_numpy())), np.concatenate((hs, batch.column(2).to_numpy().view(np.uint64)))
+            links: list[tuple[int, int]] = []
+            if chained and len(k):
+                m = int(np.count_nonzero(k == chained[0]))
+                run = [chained[1], *v[:m].tolist()]
+                links += zip(run[1:], run[:-1], strict=True)
+                chained = (chained[0], run[-1]) if m == len(k) else None
+                k, v, g = k[m:], v[m:], g[m:]
+            if len(k):
+                other = np.flatnonzero(k != k[-1])
+                last = int(other[-1]) + 1 if len(other) else 0
+                links += lists(k[:last], v[:last], g[:last]) if last else []
+                hk, hn, hs = k[last:], v[last:], g[last:]
+                if len(hk) > LIST:
+                    links += zip(hn[1:].tolist(), hn[:-1].tolist(), strict=True)
+                    chained = (int(hk[0]), int(hn[-1]))
+                    hk, hn, hs = hk[:0], hn[:0], hs[:0]
+            else:
+                hk, hn, hs = k, v, g
+            if links:
+                pairs = np.unique(np.array(links, np.int64), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if len(hk) and (links := lists(hk, hn, hs)):
+            pairs = np.array(links, np.int64)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return task
 
 
 def _inverted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,18 +250,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     n, folder = partitions(spark), work_dir(spark, "near-dedup")
     sets = save(_sets(docs, width), folder, "sets")
-    classes = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("sign").alias("sign"))
     classes = save(classes, folder, "classes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [sketch_keys(np.frombuffer(x, np.uint64), percent) for x in batch.column("sketch").to_pylist()]
-            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in got])
+            size = [len(x) for x in got]
+            node, sign = np.repeat(batch.column("node").to_numpy(), size), np.repeat(batch.column("sign").to_numpy(), size)
             flat = np.concatenate(got) if got else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(node)], names=["key", "node"])
+            yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(node), pa.array(sign)], names=["key", "node", "sign"])
 
-    lists = classes.select("node", "sketch").mapInArrow(keys, "key long, node long")
-    coarse = lists.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_coarse_links, "a long, b long")
+    lists = classes.select("node", "sketch", "sign").mapInArrow(keys, "key long, node long, sign long")
+    coarse = lists.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_coarse_links(percent), "a long, b long")
     groups = connected_components(coarse, folder, "coarse")
     tasks = blocks(classes.select("node", "n_shingles", "sketch").join(groups, "node"), "component", "node")
     fine = connected_components(solve(tasks, _estimated(percent), n), folder, "fine")
