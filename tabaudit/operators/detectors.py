@@ -9,15 +9,21 @@ order sorts within the key, and nothing reads a table as a whole but whole_table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ["table_id", "axis", "fixed_key"]
-W = Window.partitionBy(*KEY)
-BY_X = W.orderBy("x")
 INF = float("inf")
 
 
+def by_series() -> WindowSpec:
+    return Window.partitionBy(*KEY)
+
+
+def along_x() -> WindowSpec:
+    return by_series().orderBy("x")
+
+
 def finite(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < INF)
@@ -34,16 +40,18 @@ def or_else(*cs: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit(0.0)) for c in cs[:-1]), cs[-1])
 
 
-def with_mad(df: DataFrame, c: str, window=W, when: Column | None = None) -> DataFrame:
+def with_mad(df: DataFrame, c: str, window: WindowSpec | None = None, when: Column | None = None) -> DataFrame:
     """Adds <c>_med and <c>_mad, the median and the median absolute deviation, of the rows for which `when` holds."""
+    window = window or by_series()
     pick = lambda x: x if when is None else F.when(when, x)
     df = df.withColumn(f"{c}_med", F.median(pick(F.col(c))).over(window))
     return df.withColumn(f"{c}_mad", F.median(pick(F.abs(F.col(c) - F.col(f"{c}_med")))).over(window))
 
 
-def with_fit(df: DataFrame, window=W, when: Column | None = None) -> DataFrame:
+def with_fit(df: DataFrame, window: WindowSpec | None = None, when: Column | None = None) -> DataFrame:
     """Adds slope, intercept, resid_sd and r2 of value on x; both are scaled by their largest magnitude first, so squares
     don't overflow. A single x gives slope 0 and the mean."""
+    window = window or by_series()
     pick = lambda c: c if when is None else F.when(when, c)
     over = lambda c: c.over(window)
     sx, sy = (or_else(over(F.max(F.abs(pick(F.col(c))))), F.lit(1.0)) for c in ("x", "value"))
@@ -60,8 +68,9 @@ def with_fit(df: DataFrame, window=W, when: Column | None = None) -> DataFrame:
     return df.drop("_sx", "_sy", "_u", "_v", "_mu", "_mv", "_du", "_dv", "_suu", "_suv", "_vv", "_b", "_r", "_rr")
 
 
-def pearson(a: Column, b: Column, window=W) -> Column:
+def pearson(a: Column, b: Column, window: WindowSpec | None = None) -> Column:
     """Null where one is constant."""
+    window = window or by_series()
     over = lambda c: c.over(window)
     vary = (over(F.max(a)) > over(F.min(a))) & (over(F.max(b)) > over(F.min(b)))
     spread = F.sqrt(over(F.var_pop(a)) * over(F.var_pop(b)))
@@ -69,22 +78,22 @@ def pearson(a: Column, b: Column, window=W) -> Column:
 
 
 def average_rank(c: str) -> Column:
-    return F.rank().over(W.orderBy(c)) + (F.count("*").over(Window.partitionBy(*KEY, c)) - 1) / 2.0
+    return F.rank().over(by_series().orderBy(c)) + (F.count("*").over(Window.partitionBy(*KEY, c)) - 1) / 2.0
 
 
 def with_direction(df: DataFrame) -> DataFrame:
     """Adds `direction` of value along (x, value): increasing, non_decreasing, decreasing, non_increasing, none, or flat for a single point."""
-    df = df.withColumn("_d", F.signum(F.lead("value").over(W.orderBy("x", "value")) - F.col("value")))
-    up, down, same = (F.coalesce(F.sum(F.when(F.col("_d") == s, 1).otherwise(0)).over(W), F.lit(0)) for s in (1, -1, 0))
-    n = F.count("_d").over(W)
+    df = df.withColumn("_d", F.signum(F.lead("value").over(by_series().orderBy("x", "value")) - F.col("value")))
+    up, down, same = (F.coalesce(F.sum(F.when(F.col("_d") == s, 1).otherwise(0)).over(by_series()), F.lit(0)) for s in (1, -1, 0))
+    n = F.count("_d").over(by_series())
     name = F.when(n == 0, "flat").when((down == 0) & (up > 0), F.when(same == 0, "increasing").otherwise("non_decreasing")).when((up == 0) & (down > 0), F.when(same == 0, "decreasing").otherwise("non_increasing")).otherwise("none")
     return df.withColumn("direction", name).drop("_d")
 
 
 def numeric_jumps(series: DataFrame, k_mad: float = 4.0, ratio: float = 3.0, min_points: int = 3) -> DataFrame:
     """Steps that leave the local trend by more than k_mad spreads and have the ratio; the last step of a steady climb is told apart."""
-    p = points(series).withColumn("n", F.count("*").over(W)).where(F.col("n") >= min_points)
-    p = p.withColumn("x_to", F.lead("x").over(BY_X)).withColumn("value_to", F.lead("value").over(BY_X)).withColumn("is_last", F.lead("x", 2).over(BY_X).isNull())
+    p = points(series).withColumn("n", F.count("*").over(by_series())).where(F.col("n") >= min_points)
+    p = p.withColumn("x_to", F.lead("x").over(along_x())).withColumn("value_to", F.lead("value").over(along_x())).withColumn("is_last", F.lead("x", 2).over(along_x()).isNull())
     s = p.where("x_to is not null").withColumn("signed", F.col("value_to") - F.col("value")).withColumn("step", F.abs("signed"))
     s = with_mad(with_mad(s, "step"), "signed")
     s = s.withColumn("typical", or_else(F.col("step_mad"), F.col("step_med"))).withColumn("spread", or_else(F.col("signed_mad"), F.col("typical")))
@@ -93,10 +102,10 @@ def numeric_jumps(series: DataFrame, k_mad: float = 4.0, ratio: float = 3.0, min
     s = s.withColumn("trend_dev", F.when(F.col("spread") > 0, F.abs(F.col("signed") - F.col("signed_med")) / F.nullif("spread", F.lit(0.0))).otherwise(0.0))
     # The endpoint of a climb: the last step dwarfs the others, which go the same way in a tight progression.
     other = lambda c: F.when(~F.col("is_last"), c)
-    size = or_else(F.max(other(F.abs("signed"))).over(W), F.lit(1.0))
-    s = s.withColumn("_med", F.median(other(F.col("step"))).over(W)).withColumn("_mean", F.avg(other(F.col("signed"))).over(W)).withColumn("_top", F.max("step").over(W)).withColumn("_size", size)
-    s = s.withColumn("_sd", F.coalesce(F.stddev_pop(other(F.col("signed") / F.col("_size"))).over(W) * F.col("_size"), F.lit(0.0)))
-    signs = F.size(F.collect_set(other(F.when(F.col("signed") != 0, F.signum("signed")))).over(W))
+    size = or_else(F.max(other(F.abs("signed"))).over(by_series()), F.lit(1.0))
+    s = s.withColumn("_med", F.median(other(F.col("step"))).over(by_series())).withColumn("_mean", F.avg(other(F.col("signed"))).over(by_series())).withColumn("_top", F.max("step").over(by_series())).withColumn("_size", size)
+    s = s.withColumn("_sd", F.coalesce(F.stddev_pop(other(F.col("signed") / F.col("_size"))).over(by_series()) * F.col("_size"), F.lit(0.0)))
+    signs = F.size(F.collect_set(other(F.when(F.col("signed") != 0, F.signum("signed")))).over(by_series()))
     climb = F.col("is_last") & (F.col("n") >= 3) & ((F.col("_med") == 0) | (F.col("_top") > 8 * F.col("_med"))) & (signs <= 1) & (F.col("signed") * F.col("_mean") > 0) & (F.col("_sd") / F.nullif(F.abs("_mean"), F.lit(0.0)) < 0.5)
     s = s.withColumn("endpoint_of_climb", F.coalesce(climb, F.lit(False)))
     s = s.withColumn("flagged", (F.col("trend_dev") > k_mad) & (F.col("ratio") >= ratio)).withColumn("strength", F.when(F.col("ratio") == INF, 999.0).otherwise(F.col("ratio")))
@@ -108,7 +117,7 @@ def numeric_jumps(series: DataFrame, k_mad: float = 4.0, ratio: float = 3.0, min
 def monotonicity(series: DataFrame, expected: str, min_points: int = 3) -> DataFrame:
     """Reversals against an expected direction, 'increasing' or 'decreasing', of more than 5 % of the range; a row a series."""
     p = points(series)
-    p = p.withColumn("_d", F.lead("value").over(BY_X) - F.col("value"))
+    p = p.withColumn("_d", F.lead("value").over(along_x()) - F.col("value"))
     g = p.groupBy(*KEY).agg(F.count("*").alias("n"), (F.max("value") - F.min("value")).alias("_range"), F.collect_list("_d").alias("_ds"))
     g = g.where(F.col("n") >= min_points).withColumn("_range", or_else(F.col("_range"), F.lit(1.0)))
     wrong = F.filter("_ds", lambda d: (d < 0 if expected == "increasing" else d > 0) & (F.abs(d) / F.col("_range") > 0.05))
@@ -177,13 +186,13 @@ def duplicates(cells: DataFrame) -> DataFrame:
 
 def level_shifts(series: DataFrame, share: float = 0.30, min_baseline: int = 5, z: float = 3.0, persist: int = 3, expect_flat: tuple[str, ...] = ()) -> DataFrame:
     """The longest run of later points far from an early baseline, or from its extrapolated line where that trends; a row a series."""
-    p = points(series).withColumn("n", F.count("*").over(W)).where(F.col("n") >= min_baseline + persist).withColumn("i", F.row_number().over(BY_X))
+    p = points(series).withColumn("n", F.count("*").over(by_series())).where(F.col("n") >= min_baseline + persist).withColumn("i", F.row_number().over(along_x()))
     p = p.withColumn("nb", F.greatest(F.lit(min_baseline), F.floor(F.col("n") * share).cast("int")))
     base = F.col("i") <= F.col("nb")
     p = with_fit(with_mad(p, "value", when=base), when=base)
     sd = or_else(1.4826 * F.col("value_mad"), F.abs("value_med") * 0.05, F.lit(1.0))
     p = p.withColumn("ref_sd", or_else(F.col("resid_sd"), sd))
-    width = F.max(F.when(base, F.col("x"))).over(W) - F.min("x").over(W)
+    width = F.max(F.when(base, F.col("x"))).over(by_series()) - F.min("x").over(by_series())
     p = p.withColumn("trending", (F.col("r2") >= 0.6) & (F.abs("slope") * width > 2 * or_else(F.col("resid_sd"), F.lit(1e-9))))
     p = p.withColumn("expected", F.when(F.col("trending"), F.col("intercept") + F.col("slope") * F.col("x")).otherwise(F.col("value_med")))
     p = p.withColumn("hit", (F.col("i") > F.col("nb")) & (F.abs(F.col("value") - F.col("expected")) > z * F.col("ref_sd")))
@@ -200,25 +209,25 @@ def level_shifts(series: DataFrame, share: float = 0.30, min_baseline: int = 5,
 def numeric_outliers(series: DataFrame, z: float = 3.5, min_points: int = 5) -> DataFrame:
     """Points of numeric axes, all rows and not only the first of a level, by the first of these modes that decides a series:
     monotone (none), leverage, vs_cluster, residual."""
-    p = series.where(finite("value") & finite("x")).withColumn("n", F.count("*").over(W)).where(F.col("n") >= min_points)
-    p = with_direction(p).withColumn("_nx", F.size(F.collect_set("x").over(W)))
+    p = series.where(finite("value") & finite("x")).withColumn("n", F.count("*").over(by_series())).where(F.col("n") >= min_points)
+    p = with_direction(p).withColumn("_nx", F.size(F.collect_set("x").over(by_series())))
     p = p.withColumn("_rx", average_rank("x")).withColumn("_ry", average_rank("value"))
     p = p.withColumn("rho", pearson(F.col("_rx"), F.col("_ry")))
     monotone = (F.col("_nx") >= 2) & (F.abs("rho") >= 0.9) & ~F.col("direction").isin("none", "flat")
-    p = p.withColumn("_same", F.count("*").over(Window.partitionBy(*KEY, "x"))).withColumn("_most", F.max("_same").over(W)).withColumn("_least", F.min("_same").over(W))
+    p = p.withColumn("_same", F.count("*").over(Window.partitionBy(*KEY, "x"))).withColumn("_most", F.max("_same").over(by_series())).withColumn("_least", F.min("_same").over(by_series()))
     leverage = (F.col("_nx") == 2) & (F.col("_least") == 1) & (F.col("_most") >= F.greatest(F.lit(4), F.col("n") - 1))
-    p = p.withColumn("_down", F.row_number().over(W.orderBy(F.col("value").desc())))
+    p = p.withColumn("_down", F.row_number().over(by_series().orderBy(F.col("value").desc())))
     core = (F.col("n") <= 4) | (F.col("_down") > 2)
-    p = p.withColumn("_lo", F.min(F.when(core, F.col("value"))).over(W)).withColumn("_hi", F.max(F.when(core, F.col("value"))).over(W)).withColumn("_mid", F.median(F.when(core, F.col("value"))).over(W)).withColumn("_range", F.max("value").over(W) - F.min("value").over(W))
+    p = p.withColumn("_lo", F.min(F.when(core, F.col("value"))).over(by_series())).withColumn("_hi", F.max(F.when(core, F.col("value"))).over(by_series())).withColumn("_mid", F.median(F.when(core, F.col("value"))).over(by_series())).withColumn("_range", F.max("value").over(by_series()) - F.min("value").over(by_series()))
     outside = (F.col("_range") > 0) & (F.abs(F.col("value") - F.col("_mid")) > F.greatest(6 * (F.col("_hi") - F.col("_lo")), 0.4 * F.col("_range"))) & ((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")))
-    p = p.withColumn("_out", outside).withColumn("_n_out", F.sum(F.col("_out").cast("int")).over(W))
-    p = with_fit(p).withColumn("_all", F.median("value").over(W))
+    p = p.withColumn("_out", outside).withColumn("_n_out", F.sum(F.col("_out").cast("int")).over(by_series()))
+    p = with_fit(p).withColumn("_all", F.median("value").over(by_series()))
     p = p.withColumn("resid", F.when(F.col("_nx") >= 2, F.col("value") - (F.col("intercept") + F.col("slope") * F.col("x"))).otherwise(F.col("value") - F.col("_all")))
     p = with_mad(p, "resid").withColumn("z", F.abs(F.col("resid") - F.col("resid_med")) / F.nullif(1.4826 * F.col("resid_mad"), F.lit(0.0)))
-    order = W.orderBy("x", "value", "row_id")
+    order = by_series().orderBy("x", "value", "row_id")
     p = p.withColumn("_i", F.row_number().over(order))
     far = F.coalesce((F.col("z") > z) & ~((F.col("_nx") >= 2) & (F.col("r2") >= 0.9) & ((F.col("_i") == 1) | (F.col("_i") == F.col("n")))), F.lit(False))
-    p = p.withColumn("_far", far).withColumn("_n_far", F.sum(F.col("_far").cast("int")).over(W))
+    p = p.withColumn("_far", far).withColumn("_n_far", F.sum(F.col("_far").cast("int")).over(by_series()))
     mode = F.when(monotone, "monotone").when(leverage, "leverage").when(F.col("_n_out").between(1, 2), "vs_cluster").otherwise("residual")
     p = p.withColumn("mode", mode)
     flagged = F.when(F.col("mode") == "leverage", F.col("_same") == 1).when(F.col("mode") == "vs_cluster", F.col("_out")).when(F.col("mode") == "residual", F.col("_far") & F.col("_n_far").between(1, 2)).otherwise(False)
@@ -226,8 +235,9 @@ def numeric_outliers(series: DataFrame, z: float = 3.5, min_points: int = 5) ->
     return p.select(*KEY, "x", "row_id", "value", "mode", "z", "strength", "flagged")
 
 
-def log_space(window=W) -> Column:
+def log_space(window: WindowSpec | None = None) -> Column:
     """Whether values are positive and their core, without extremes, still spans one and a half decades."""
+    window = window or by_series()
     n, top = F.count("*").over(window), F.col("_up")
     strip = F.when(n >= 7, 2).otherwise(1)
     core = (top > strip) & (top <= n - strip)
@@ -239,14 +249,14 @@ def log_space(window=W) -> Column:
 
 def categorical_outliers(series: DataFrame, min_points: int = 5) -> DataFrame:
     """Values of unordered categories far from the core, which is all but the least and the largest; wide positive columns in logarithms."""
-    p = points(series).withColumn("n", F.count("*").over(W)).where(F.col("n") >= min_points)
-    p = p.withColumn("_up", F.row_number().over(W.orderBy("value", "x"))).withColumn("log", log_space())
+    p = points(series).withColumn("n", F.count("*").over(by_series())).where(F.col("n") >= min_points)
+    p = p.withColumn("_up", F.row_number().over(by_series().orderBy("value", "x"))).withColumn("log", log_space())
     p = p.withColumn("v", F.when(F.col("log"), F.log10(F.when(F.col("value") > 0, F.col("value")))).otherwise(F.col("value")))
     core = (F.col("_up") > 1) & (F.col("_up") < F.col("n"))
-    lo, hi, mid = (f(F.when(core, F.col("v"))).over(W) for f in (F.min, F.max, F.median))
-    span = F.max("v").over(W) - F.min("v").over(W)
+    lo, hi, mid = (f(F.when(core, F.col("v"))).over(by_series()) for f in (F.min, F.max, F.median))
+    span = F.max("v").over(by_series()) - F.min("v").over(by_series())
     out = (span > 0) & (F.abs(F.col("v") - mid) > F.greatest(6 * (hi - lo), 0.4 * span)) & ((F.col("v") < lo) | (F.col("v") > hi))
-    p = p.withColumn("_out", out).withColumn("_n", F.sum(F.col("_out").cast("int")).over(W))
+    p = p.withColumn("_out", out).withColumn("_n", F.sum(F.col("_out").cast("int")).over(by_series()))
     return p.select(*KEY, "x_lab", "value", "log", F.lit(8.0).alias("strength"), (F.col("_out") & F.col("_n").between(1, 2)).alias("flagged"))
 
 
@@ -265,7 +275,7 @@ def whole_table_outliers(cells: DataFrame, min_cells: int = 5) -> DataFrame:
 
 def trends(series: DataFrame, r2_min: float = 0.5, min_points: int = 6, expect_flat: tuple[str, ...] = ()) -> DataFrame:
     """Least-squares and rank association along x; a row a series."""
-    p = points(series).withColumn("n", F.count("*").over(W)).where(F.col("n") >= min_points)
+    p = points(series).withColumn("n", F.count("*").over(by_series())).where(F.col("n") >= min_points)
     p = with_fit(with_direction(p))
     p = p.withColumn("_rx", average_rank("x")).withColumn("_ry", average_rank("value"))
     p = p.withColumn("spearman", pearson(F.col("_rx"), F.col("_ry"))).withColumn("pearson", pearson(F.col("x"), F.col("value")))
