@@ -10,7 +10,7 @@ The printed form is root ':' sections ':' marks, with a section as its digest, '
 hexadecimal digits, and 8 digits a mark.
 
 Defined results: null is the empty text, which has one empty paragraph and no marks; two texts without marks are alike 1 if
-their roots are equal, else 0; rows with the same doc_id are ordered by text; a null doc_id comes last; an empty table gives
+their roots are equal, else 0; rows with the same doc_id are ordered by text; a null doc_id comes last, and where all are null the last row counts as its own next; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -80,12 +80,14 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     visits as a guest. Only cut points and one doc_id a range come to the driver."""
     spark = docs.sparkSession
     cuts = cut_points(docs, "doc_id", 4 * partitions(spark))
-    placed = docs.withColumn("_slot", slot(F.col("doc_id"), cuts))
-    firsts = sorted((r["_slot"], r["m"]) for r in placed.where("doc_id is not null").groupBy("_slot").agg(F.max("doc_id").alias("m")).collect())
-    rows = placed.withColumn("_guest", F.lit(0))
+    known = docs.select("doc_id").where("doc_id is not null").groupBy(slot(F.col("doc_id"), cuts).alias("_slot"))
+    found = known.agg(F.max("doc_id").alias("m"), F.min("doc_id").alias("least")).collect()  # a row a range
+    firsts = sorted((r["_slot"], r["m"]) for r in found)
+    least = min((r["least"] for r in found), default=0)
+    # Rows without a doc_id come last, so they stand with the least.
+    rows = docs.withColumn("_slot", slot(F.coalesce("doc_id", F.lit(least)), cuts)).withColumn("_guest", F.lit(0))
     if firsts:
         before = [firsts[-1], *firsts[:-1]]
-        to = F.lit(None).cast("int")
         by_guest: dict[int, list[int]] = {}
         for (s, _), (_, m) in zip(firsts, before, strict=True):
             by_guest.setdefault(m, []).append(s)
