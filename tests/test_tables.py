@@ -15,7 +15,7 @@ def grid(text):
     return infer.Grid(*infer.parse_csv(text))
 
 
-JUMP = "p1,method,RMSE\n" + "\n".join(f"{p},{m},{v}" for m, vs in {"A": (1.6, 196, 209, 214), "B": (86, 20, 145, 136), "C": (48, 61, 72, 84)}.items() for p, v in zip((0.12, 0.15, 0.2, 0.25), vs, strict=True))
+JUMP = "p1,method,RMSE\n" + "\n".join(f"{p},{m},{v}" for m, vs in {"A": (1.6, 196, 209, 214), "B": (86, 20, 145, 136), "C": (48, 61, 72, 84)}.items() for p, v in zip((12, 15, 20, 25), vs, strict=True))
 FLAT = "p1,method,error\n" + "\n".join(f"{p},{m},{v}" for m, vs in {"X": (12.34, 379.18, 379.18), "Z": (5, 5, 5)}.items() for p, v in zip((1, 2.5, 4), vs, strict=True))
 SHIFT = "X,value\n" + "\n".join(f"{x * 2 + 7},{100 + (x % 3) if x < 10 else 200 + (x % 2)}" for x in range(20))
 SPIKE = "X,value\n" + "\n".join(f"{x + 10},{15 if x == 5 else 1}" for x in range(12))
