@@ -2,7 +2,7 @@
 
 A line is what stands between line feeds. It is normalised byte by byte: A-Z to lower case, digits to 0, ASCII punctuation to
 blanks, white space collapsed. Lines that are equal then are one node, known by a 64-bit hash. Linked are nodes whose 64-bit
-SimHashes differ in at most DISTANCE bits and whose edit similarity, 1 - Levenshtein / longer length, is SIMILARITY or more.
+SimHashes, over their longer words, differ in at most DISTANCE bits and whose edit similarity, 1 - Levenshtein / longer length, is SIMILARITY or more.
 
   1. occurrences and SimHashes come out of one pass over the texts; nothing carries text from there on;
   2. pigeonhole blocks: of five blocks of bits two at least agree within distance 3, so each of the ten pairs of blocks makes a
@@ -19,21 +19,24 @@ as they are; an empty table gives no rows; other columns pass through unread.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .groups import Union, blocks, connected_components, solve
 from .ordered import cut_points, slot
-from .store import partitions, save, work_dir
-from .words import LOWER, batch_words, mix64, utf8
+from .store import partitions, save, small_side, work_dir
+from .words import LOWER, Words, batch_words, mix64, utf8
 
-DISTANCE, SIMILARITY, RUN = 3, 0.8, 512
+DISTANCE, SIMILARITY, RUN, SHORT = 3, 0.8, 512, 4
 _SHIFTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 FOLD = LOWER.copy()
@@ -56,8 +59,18 @@ def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(at[order], offsets[-1]), row[order]
 
 
+def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that tell lines apart, those of more than SHORT bytes, or of all words where a line has no such; and where
+    each line's begin. Short words are the frequent ones: with them, all long lines of a language look alike."""
+    size = pc.binary_length(w.distinct).to_numpy()[w.codes]
+    row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    long = size > SHORT
+    keep = long | ~np.bincount(row, long, len(w.first) - 1).astype(bool)[row]
+    return w.hashes[keep], np.concatenate(([0], np.cumsum(np.bincount(row, keep, len(w.first) - 1)))).astype(np.int64)
+
+
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Majority bits of the word hashes of each row; rows are taken together up to some 200,000 words."""
+    """Majority bits of the hashes of each row; rows are taken together up to some 200,000 hashes."""
     n = len(first) - 1
     out = np.zeros(n, np.uint64)
     i = 0
@@ -74,10 +87,9 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of(values: np.ndarray) -> np.ndarray:
-    """The ten keys of each value, in rows."""
-    parts = [(values >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in _SHIFTS]
-    return np.stack([mix64((parts[i] << np.uint64(13)) | parts[j] | np.uint64((8 * i + j + 1) << 40)) for i, j in combinations(range(5), 2)], axis=1)
+#: The bits of each of the ten pairs of blocks.
+MASKS = [sum(((1 << w) - 1) << s for s, w in pair) for pair in combinations(_SHIFTS, 2)]
+_MASKS = np.array(MASKS, np.uint64)
 
 
 def within(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -86,23 +98,28 @@ def within(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     allowed = int(longest * (1 - similarity) + 1e-9)
     if abs(len(a) - len(b)) > allowed:
         return False
-    i = 0
-    for x, y in zip(a, b):  # noqa: B905
-        if x != y:
-            break
-        i += 1
+    # Word by word replacement bounds the distance from above, and near copies mostly end here.
+    p, q = a.split(" "), b.split(" ")
+    if len(p) == len(q) and sum(max(len(x), len(y)) for x, y in zip(p, q, strict=True) if x != y) <= allowed:
+        return True
+    # So does, from below, what the letters' counts can't match.
+    if _unmatched(a, b) > allowed:
+        return False
+    i = len(commonprefix((a, b)))
     a, b = a[i:], b[i:]
-    j = 0
-    for x, y in zip(reversed(a), reversed(b)):  # noqa: B905
-        if x != y:
-            break
-        j += 1
+    j = len(commonprefix((a[::-1], b[::-1])))
     a, b = a[: len(a) - j], b[: len(b) - j]
-    return max(len(a), len(b)) <= allowed or (bool(a and b) and levenshtein(a, b) <= allowed)
+    return max(len(a), len(b)) <= allowed or (bool(a and b) and levenshtein(a, b, allowed) <= allowed)
+
+
+def _unmatched(a: str, b: str) -> int:
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
 
 
-def levenshtein(a: str, b: str) -> int:
-    """Bit-parallel distance (Myers, 1999; Hyyro, 2003), with the longer word's bits in one integer."""
+def levenshtein(a: str, b: str, enough: int | None = None) -> int:
+    """Bit-parallel distance (Myers, 1999; Hyyro, 2003), with the longer word's bits in one integer; some number above `enough`
+    as soon as the distance must be."""
     if len(a) < len(b):
         a, b = b, a
     m = len(a)
@@ -111,13 +128,16 @@ def levenshtein(a: str, b: str) -> int:
         where[ch] = where.get(ch, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
-    for ch in b:
+    enough = m if enough is None else enough
+    for left_over, ch in zip(range(len(b) - 1, -1, -1), b, strict=True):
         eq = where.get(ch, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
         right = down | ~(xh | up) & full
         left = up & xh
         score += bool(right & top) - bool(left & top)
+        if score - left_over > enough:
+            return score - left_over
         right = (right << 1 | 1) & full
         left = left << 1 & full
         up, down = left | ~(xv | right) & full, right & xv
@@ -141,62 +161,80 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = w.first[:-1][keep], w.first[1:][keep]
             line = mix64((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
             number = np.arange(len(row)) - np.searchsorted(row, row)
-            sim = simhash(hashes, w.first)[keep]
+            sim = simhash(*features(w))[keep]
             doc = part.column(0).take(pa.array(row[keep]))
             yield pa.record_batch([doc, pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64))], names=["doc_id", "line_no", "line", "sim"])
 
 
+def _spread(v: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of a run's values within the distance: each value is held against those not yet reached."""
+    left, out = v, []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = np.bitwise_count(left ^ x) <= DISTANCE
+            if near.any():
+                out += [(int(x), int(y)) for y in left[near]]
+                queue += list(left[near])
+                left = left[~near]
+    return out
+
+
 def _near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of values under one key, rows being sorted by key; runs that are too long come out as (key, value) with deferred."""
-
-    def flush(k: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        links = []
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        size = np.diff(np.append(np.flatnonzero(new), len(k)))
-        long = np.repeat(size > RUN, size)
-        lag = 1
-        ok = ~long
-        while True:
-            same = ok[lag:] & (k[lag:] == k[:-lag])
-            if not same.any():
-                break
-            i = np.flatnonzero(same)
-            d = np.bitwise_count(v[i] ^ v[i + lag])
-            i = i[(d > 0) & (d <= DISTANCE)]
-            links.append(np.stack((v[i], v[i + lag])))
-            lag += 1
-            if lag >= len(k):
-                break
-        pairs = np.unique(np.concatenate(links, axis=1), axis=1) if links else np.empty((2, 0), np.uint64)
-        a, b = np.concatenate((pairs[0], k[long])), np.concatenate((pairs[1], v[long]))
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.arange(len(a)) >= pairs.shape[1])], names=["a", "b", "deferred"])
-
-    held_k, held_v = np.empty(0, np.uint64), np.empty(0, np.uint64)
-    hot = None  # a key whose rows are being passed on
+    """Spanning links (a, b) of values that agree in a pair of blocks, rows (pair, sim) being sorted by pair and those bits. Runs
+    that are too long come out as rows (pair, sim) with deferred."""
+
+    def flush(pair: np.ndarray, v: np.ndarray) -> pa.RecordBatch | None:
+        bits = v & _MASKS[pair]
+        edges = np.flatnonzero(np.concatenate(([True], (bits[1:] != bits[:-1]) | (pair[1:] != pair[:-1]), [True])))
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        d = np.bitwise_count(v[two] ^ v[two + 1])
+        two = two[(d > 0) & (d <= DISTANCE)]
+        links = list(zip(v[two].tolist(), v[two + 1].tolist(), strict=True))
+        late: list[tuple[int, int]] = []
+        for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
+            own = np.unique(v[a:b])
+            if len(own) > RUN:
+                late += [(int(pair[a]), x) for x in own.tolist()]
+            else:
+                links += _spread(own)
+        rows = np.array(links + late, np.uint64).reshape(-1, 2).view(np.int64)
+        if not len(rows):
+            return None
+        return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.arange(len(rows)) >= len(links))], names=["a", "b", "deferred"])
+
+    held_p, held_v = np.empty(0, np.int64), np.empty(0, np.uint64)
+    hot: tuple[int, int] | None = None  # the pair and bits of a run that is being passed on
     for batch in batches:
-        k = np.concatenate((held_k, batch.column(0).to_numpy().view(np.uint64)))
+        pair = np.concatenate((held_p, batch.column(0).to_numpy().astype(np.int64)))
         v = np.concatenate((held_v, batch.column(1).to_numpy().view(np.uint64)))
-        if hot is not None and len(k):
-            m = int(np.count_nonzero(k == hot))
+        bits = v & _MASKS[pair]
+        if hot is not None and len(v):
+            m = int(np.count_nonzero((pair == hot[0]) & (bits == np.uint64(hot[1]))))
             if m:
-                yield pa.record_batch([pa.array(k[:m].view(np.int64)), pa.array(v[:m].view(np.int64)), pa.array(np.ones(m, bool))], names=["a", "b", "deferred"])
-            k, v = k[m:], v[m:]
-            if len(k):
+                yield pa.record_batch([pa.array(pair[:m]), pa.array(v[:m].view(np.int64)), pa.array(np.ones(m, bool))], names=["a", "b", "deferred"])
+            pair, v, bits = pair[m:], v[m:], bits[m:]
+            if len(v):
                 hot = None
-        if not len(k):
-            held_k, held_v = k, v
+        held_p, held_v = pair, v
+        if not len(v):
             continue
-        other = np.flatnonzero(k != k[-1])
+        other = np.flatnonzero((pair != pair[-1]) | (bits != bits[-1]))
         last = int(other[-1]) + 1 if len(other) else 0
-        if len(k) - last > RUN:
-            yield flush(k, v)
-            hot, held_k, held_v = k[-1], k[:0], v[:0]
+        if len(v) - last > 8 * RUN:
+            out = flush(pair[:last], v[:last]) if last else None
+            n = len(v) - last
+            yield pa.record_batch([pa.array(pair[last:]), pa.array(v[last:].view(np.int64)), pa.array(np.ones(n, bool))], names=["a", "b", "deferred"])
+            hot, held_p, held_v = (int(pair[-1]), int(bits[-1])), pair[:0], v[:0]
         else:
-            if last:
-                yield flush(k[:last], v[:last])
-            held_k, held_v = k[last:], v[last:]
-    if len(held_k):
-        yield flush(held_k, held_v)
+            out = flush(pair[:last], v[:last]) if last else None
+            held_p, held_v = pair[last:], v[last:]
+        if out is not None:
+            yield out
+    if len(held_v) and (out := flush(held_p, held_v)) is not None:
+        yield out
 
 
 def _near_pairs(table: pa.Table) -> list[tuple[int, int]]:
@@ -282,21 +320,18 @@ def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     rows = save(plain.mapInArrow(_occurrences, "doc_id long, line_no long, line long, sim long"), folder, "occurrences")
     place = F.struct("doc_id", "line_no")
-    nodes = save(rows.groupBy("line").agg(F.first("sim").alias("sim"), F.min(place).alias("place"), F.max(place).alias("last")), folder, "nodes")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.record_batch([pa.array(keys_of(v).reshape(-1).view(np.int64)), pa.array(np.repeat(v, 10).view(np.int64))], names=["key", "sim"])
-
-    lists = nodes.select("sim").mapInArrow(keys, "key long, sim long").repartition(n, "key").sortWithinPartitions("key")
-    near = save(lists.mapInArrow(_near_values, "a long, b long, deferred boolean"), folder, "near")
-    long = near.where("deferred").select(F.col("a").alias("key"), F.col("b").alias("sim")).distinct().withColumn("node", F.col("sim"))
+    nodes = save(rows.groupBy("line").agg(F.first("sim").alias("sim"), F.min(place).alias("place"), (F.count("*") > 1).alias("repeats")), folder, "nodes")
+    # A row a value and pair of blocks; the bits they are dealt and sorted by are no column.
+    lists = nodes.select(F.explode(F.array(*[F.lit(i).cast("byte") for i in range(len(MASKS))])).alias("pair"), "sim")
+    bits = F.element_at(F.array(*[F.lit(m) for m in np.array(MASKS, np.uint64).view(np.int64).tolist()]), F.col("pair") + 1).bitwiseAND(F.col("sim"))
+    near = save(lists.repartition(n, F.xxhash64("pair", bits)).sortWithinPartitions("pair", bits).mapInArrow(_near_values, "a long, b long, deferred boolean"), folder, "near")
+    bits_of = F.element_at(F.array(*[F.lit(m) for m in np.array(MASKS, np.uint64).view(np.int64).tolist()]), F.col("a").cast("int") + 1).bitwiseAND(F.col("b"))
+    long = near.where("deferred").select(F.xxhash64("a", bits_of).alias("key"), F.col("b").alias("sim")).distinct().withColumn("node", F.col("sim"))
     edges = near.where("not deferred").select("a", "b").unionByName(solve(blocks(long, "key", "sim"), _near_pairs, n))
-    groups = connected_components(edges, folder, "groups")
+    groups = small_side(save(connected_components(edges, folder, "groups").withColumnRenamed("node", "sim"), folder, "groups"))
     # Lines of one SimHash value, or of a group of values, are candidates if there are several.
-    grouped = nodes.join(groups.withColumnRenamed("node", "sim"), "sim", "left").withColumn("component", F.coalesce("component", "sim"))
-    several = grouped.groupBy("component").count().where("count > 1").drop("count")
+    grouped = nodes.join(groups, "sim", "left").withColumn("component", F.coalesce("component", "sim"))
+    several = small_side(save(grouped.groupBy("component").count().where("count > 1").drop("count"), folder, "several"))
     candidates = save(grouped.join(several, "component").select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"), "line", "sim", "component"), folder, "candidates")
     where = _by_doc(candidates, folder, "wanted")
 
@@ -314,9 +349,12 @@ def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
 
     read = plain.where("text is not null").mapInArrow(texts, "node long, sim long, component long, text string")
     links = connected_components(solve(blocks(read, "component", "node"), _similar_lines, n), folder, "lines")
-    final = nodes.join(links.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    first = final.groupBy("component").agg(F.min("place").alias("stays"), F.count("*").alias("n"), F.max(F.col("place") != F.col("last")).alias("repeats")).where("n > 1 or repeats")
-    keep = save(final.join(first, "component").select("line", "stays"), folder, "keep")
+    links = small_side(save(links.withColumnRenamed("node", "line"), folder, "linked"))
+    # Only lines that repeat or are linked can go.
+    final = nodes.join(links, "line", "left").where("repeats or component is not null").withColumn("component", F.coalesce("component", "line"))
+    final = save(final.select("line", "component", "place"), folder, "final")
+    first = final.groupBy("component").agg(F.min("place").alias("stays"))
+    keep = small_side(save(final.join(first, "component").select("line", "stays"), folder, "keep"))
     return rows.join(keep, "line").where(place != F.col("stays")).select("doc_id", "line_no")
 
 
@@ -348,7 +386,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             if new:
                 mask = np.zeros(len(column), bool)
                 mask[list(new)] = True
-                column = pa.compute.replace_with_mask(column, pa.array(mask), pa.array(list(new.values()), column.type))
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(new.values()), column.type))
             arrays = [column if k == i else batch.column(k) for k in range(batch.num_columns)]
             yield pa.record_batch([*arrays, pa.array(lines), pa.array(removed)], names=[*batch.schema.names, *names])
 

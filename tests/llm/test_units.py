@@ -168,25 +168,29 @@ def test_two_blocks_agree_within_the_distance():
         w = v.copy()
         for _ in range(bits):
             w ^= np.uint64(1) << r.integers(0, 64, len(w), dtype=np.uint64)
-        assert (lines.keys_of(v) == lines.keys_of(w)).any(axis=1).all()
+        assert ((v[:, None] & lines._MASKS) == (w[:, None] & lines._MASKS)).any(axis=1).all()
 
 
-def test_near_values_finds_all_pairs_and_defers_long_runs():
+def test_near_values_connects_all_pairs_and_defers_long_runs():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**64, 40, dtype=np.uint64)
-    v = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(1 << 63)]))
-    k = lines.keys_of(v)
-    keys, vals = k.reshape(-1), np.repeat(v, 10)
-    order = np.argsort(keys, kind="stable")
-    table = pa.record_batch([pa.array(keys[order].view(np.int64)), pa.array(vals[order].view(np.int64))], names=["key", "sim"])
-    got = set()
+    v = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(1 << 63), base ^ np.uint64(7)]))
+    pair, vals = np.tile(np.arange(10), len(v)), np.repeat(v, 10)
+    order = np.lexsort((vals & lines._MASKS[pair], pair))
+    table = pa.record_batch([pa.array(pair[order].astype(np.int8)), pa.array(vals[order].view(np.int64))], names=["pair", "sim"])
+    number = {int(x): i for i, x in enumerate(v.view(np.int64))}
+    got, want = Union(len(v)), Union(len(v))
     for b in lines._near_values(iter([table.slice(i, 37) for i in range(0, table.num_rows, 37)])):
-        got |= {tuple(sorted(p)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
-    want = {tuple(sorted((int(np.int64(a.view(np.int64))), int(b.view(np.int64))))) for i, a in enumerate(v) for b in v[i + 1 :] if int(a ^ b).bit_count() <= 3}
-    assert got == want
-    hot = pa.record_batch([pa.array([5] * 2000 + [6]), pa.array(list(range(2001)))], names=["key", "sim"])
-    out = [b for b in lines._near_values(iter([hot.slice(i, 300) for i in range(0, 2001, 300)]))]
-    assert sum(sum(b.column(2).to_pylist()) for b in out) == 2000
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got.join(number[x], number[y])
+    for i, a in enumerate(v):
+        for j in range(i):
+            if int(a ^ v[j]).bit_count() <= 3:
+                want.join(i, j)
+    assert got.roots().tolist() == want.roots().tolist()
+    hot = pa.record_batch([pa.array(np.zeros(9001, np.int8)), pa.array((np.arange(9001, dtype=np.int64) << 26) | 5)], names=["pair", "sim"])
+    out = list(lines._near_values(iter([hot.slice(i, 300) for i in range(0, 9001, 300)])))
+    assert sum(sum(b.column(2).to_pylist()) for b in out) == 9001
 
 
 def test_link_sets_equals_all_pairs():
