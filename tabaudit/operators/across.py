@@ -92,3 +92,32 @@ def pathological(levels: DataFrame, max_axes: int = 6, max_combinations: int = 5
     n = levels.groupBy("table_id", "axis").agg(F.countDistinct("level").alias("n"))
     g = n.groupBy("table_id").agg(F.count("*").alias("axes"), F.round(F.exp(F.sum(F.log("n")))).alias("combinations"))
     return g.withColumn("flagged", (F.col("axes") > max_axes) | (F.col("combinations") > max_combinations))
+
+
+def winners(cells: DataFrame, lower_is_better: bool, max_settings: int = 500, max_span: float = 1000.0) -> DataFrame:
+    """By table and setting: the best competitor, the runner-up and both values. Rows: table_id, setting, who, value.
+
+    Tables with too many settings, with a competitor that has several values in a setting, or with values of a setting that span
+    more than `max_span` have no contest; ties have no winner; names need a letter."""
+    x = cells.where("value is not null")
+    per = x.groupBy("table_id", "setting", "who").agg(F.count("*").alias("n"), F.first("value").alias("value"))
+    size = F.abs(F.nullif("value", F.lit(0.0)))
+    each = per.groupBy("table_id", "setting").agg(F.max("n").alias("n"), F.count(size).alias("c"), (F.max(size) / F.min(size)).alias("span"))
+    fair = each.groupBy("table_id").agg(F.count("*").alias("settings"), F.max("n").alias("n"), F.max(F.when(F.col("c") >= 2, F.col("span"))).alias("span"))
+    fair = fair.where((F.col("settings") <= max_settings) & (F.col("n") == 1) & (F.coalesce("span", F.lit(1.0)) <= max_span)).select("table_id")
+    named = per.where(F.col("who").rlike(r"\p{L}")).join(fair, "table_id")
+    key = F.col("value") if lower_is_better else -F.col("value")
+    w = Window.partitionBy("table_id", "setting").orderBy(key, "who")
+    top = named.withColumn("place", F.row_number().over(w)).where("place <= 2")
+    g = top.groupBy("table_id", "setting").agg(F.max(F.when(F.col("place") == 1, F.col("who"))).alias("best"), F.max(F.when(F.col("place") == 1, F.col("value"))).alias("best_value"), F.max(F.when(F.col("place") == 2, F.col("who"))).alias("second"), F.max(F.when(F.col("place") == 2, F.col("value"))).alias("second_value"))
+    return g.where("second is not null and best_value <> second_value")
+
+
+def leaders(won: DataFrame) -> DataFrame:
+    """By table: a sentence on who wins most settings, or that nobody leads."""
+    n = won.groupBy("table_id", "best").agg(F.count("*").alias("k"))
+    g = n.groupBy("table_id").agg(F.sum("k").alias("settings"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("m"), "best"))), 1, 3).alias("top"))
+    first = F.col("top")[0]
+    most = F.concat(first["best"], F.lit(" is best in "), (-first["m"]).cast("string"), F.lit(" of "), F.col("settings").cast("string"), F.lit(" settings."))
+    split = F.concat(F.lit("Nobody leads: "), F.array_join(F.transform("top", lambda t: F.concat(t["best"], F.lit(" in "), (-t["m"]).cast("string"))), ", "), F.lit(" of "), F.col("settings").cast("string"), F.lit(" settings."))
+    return g.select("table_id", "settings", F.when(-first["m"] * 2 > F.col("settings"), most).when(F.col("settings") >= 3, split).alias("sentence"))

@@ -362,3 +362,26 @@ def suppressed_flags(spark, sf_dir):
     flags = spark.createDataFrame([("t", "a", "trend", None, None, None, 1), ("t", "a", "point_outlier", 5.0, None, None, 2), ("t", "a", "numeric_jump", None, 4.0, 5.0, 3), ("t", "b", "point_outlier", 1.0, None, None, 4), ("t", "b", "level_shift", None, None, None, 5), ("t", "b", "numeric_jump", None, 7.0, 8.0, 6)], "table_id string, axis string, type string, at double, x_from double, x_to double, seq long")
     index = spark.createDataFrame([("t", "b", True), ("t", "a", False)], "table_id string, axis string, flagged boolean")
     return across.suppress(flags, index).select("axis", "type", "seq")
+
+
+CAPTIONS = [("Later months are lower than earlier ones (12.5)", "A decrease to 12.50 in Table 2, 1970"), ("Scores increase; 3.14 stands out", "The best score rises to 2.72"), (None, "no claim here"), ("", "")]
+
+
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'decrease,value 12.50', '', '', 1.0::DOUBLE, 1.0::DOUBLE), (1, 'increase', 'outlier,value 3.14', 'best,value 2.72', round(1 / 3.0::DOUBLE, 4), round(1 / 3.0::DOUBLE, 4)), (2, '', '', '', NULL, NULL), (3, '', '', '', NULL, NULL)) v(id, shared, generated_only, real_only, recall, precision)""")
+def caption_compare(spark, sf_dir):
+    from ..functions.claims import compare
+
+    df = spark.createDataFrame([(i, g, c) for i, (g, c) in enumerate(CAPTIONS)], "id long, generated string, real string")
+    return compare(df, "generated", "real").select("id", *(F.array_join(c, ",").alias(c) for c in ("shared", "generated_only", "real_only")), r("recall"), r("precision"))
+
+
+@query("""
+WITH c AS (SELECT year(o_orderdate) AS y, o_orderpriority AS who, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2),
+w AS (SELECT y, who, row_number() OVER (PARTITION BY y ORDER BY v DESC, who) AS p FROM c), b AS (SELECT y, max(who) FILTER (p = 1) AS best FROM w GROUP BY y),
+n AS (SELECT best, count(*) AS k FROM b GROUP BY 1), t AS (SELECT sum(k) AS s, max(k) AS m FROM n),
+o AS (SELECT best, k, row_number() OVER (ORDER BY k DESC, best) AS i FROM n)
+SELECT CAST(s AS BIGINT) AS settings, CASE WHEN m * 2 > s THEN (SELECT best || ' is best in ' || k || ' of ' FROM o WHERE i = 1) || CAST(s AS BIGINT) || ' settings.' ELSE 'Nobody leads: ' || (SELECT string_agg(best || ' in ' || k, ', ' ORDER BY i) FROM o WHERE i <= 3) || ' of ' || CAST(s AS BIGINT) || ' settings.' END AS sentence FROM t""")
+def winners_takeaway(spark, sf_dir):
+    g = t.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("string").alias("setting"), F.col("o_orderpriority").alias("who")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    won = across.winners(g.withColumn("table_id", F.lit("orders")), lower_is_better=False)
+    return across.leaders(won).select("settings", "sentence")
