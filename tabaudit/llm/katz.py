@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ from .words import batch_words, mix64, utf8
 K = 5
 RESERVE = 1e-3
 HOT = 8  # a context is dealt by both words if it has more than a HOT-th of a shard's mean share
-DOCS = 8192
+DOCS, BYTES = 8192, 12_000_000
 END_HASH = np.uint64(0x0E4D)
 START, UNKNOWN = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 _ROWS = "kind int, at long, body binary, n array<long>"
@@ -110,9 +111,16 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of at most DOCS rows and about BYTES of text, or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, DOCS):
-            yield batch.slice(at, DOCS)
+        text = batch.column(batch.schema.get_field_index("text"))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BYTES, "right"))
+            b = min(max(b, a + 1), a + DOCS)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def _read_rows(path: str, kind: int | None = None) -> Iterator[bytes]:

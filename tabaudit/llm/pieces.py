@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .words import mix64, utf8
 
 OFFSET, SHARPNESS = 10.0, 1.0
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 _G, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(63, _P))))
 BLANK, LITERAL = 0x2581, 0x1FFFFF
