@@ -385,3 +385,10 @@ def winners_takeaway(spark, sf_dir):
     g = t.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("string").alias("setting"), F.col("o_orderpriority").alias("who")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
     won = across.winners(g.withColumn("table_id", F.lit("orders")), lower_is_better=False)
     return across.leaders(won).select("settings", "sentence")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_summary(spark, sf_dir):
+    from ..streaming.summary import run_once
+
+    return run_once(spark, sf_dir, "events.parquet")
