@@ -1,14 +1,15 @@
 """Line dedup: fuzzy copies of lines, of which one occurrence stays.
 
 A line is what stands between line feeds. It is normalised byte by byte: A-Z to lower case, digits to 0, ASCII punctuation to
-blanks, white space collapsed. Lines that are equal then are one node, known by a 64-bit hash. Linked are nodes whose 64-bit
-SimHashes, over their longer words, differ in at most DISTANCE bits and whose edit similarity, 1 - Levenshtein / longer length, is SIMILARITY or more.
-
-  1. occurrences and SimHashes come out of one pass over the texts; nothing carries text from there on;
-  2. pigeonhole blocks: of five blocks of bits two at least agree within distance 3, so each of the ten pairs of blocks makes a
-     key; values under the same key are compared. Runs of more than RUN values are left to bounded tasks by pairs of blocks;
-  3. only lines whose SimHash group has several nodes are read as text, and the edit similarity of pairs that aren't connected yet
-     is verified by a bit-parallel Levenshtein distance on what is left without common beginnings and ends;
+blanks, white space collapsed. Lines that are equal then are one node, known by a 64-bit hash. Linked are nodes whose edit
+similarity, 1 - Levenshtein / longer length, is SIMILARITY or more, as far as the sketches below make them meet.
+
+  1. occurrences and sketch keys come out of one pass over the texts. A key is ROWS minimal hashes: WORD_KEYS of a line's longer
+     words, and, where fewer than FEW of those stand, GRAM_KEYS of its runs of three bytes, so that changed letters count too;
+  2. nodes under the same key whose lengths allow the similarity form a candidate group; equal groups are taken once. Runs of
+     more than RUN nodes are left to bounded tasks by pairs of blocks;
+  3. only candidates are read as text. In a group every pair that isn't connected yet is held against bounds that no similar pair
+     breaks (lengths, counts of letters and of pairs of letters), and then against a bit-parallel Levenshtein distance;
   4. of each connected group the first occurrence by (doc_id, line number) stays, the others go.
 
 Defined results: null stays null, and an empty text stays empty; lines without letters, digits or other signs than ASCII
@@ -37,6 +38,7 @@ from .store import partitions, save, small_side, work_dir
 from .words import LOWER, Words, batch_words, mix64, utf8
 
 DISTANCE, SIMILARITY, RUN, SHORT = 3, 0.8, 512, 4
+ROWS, WORD_KEYS, FEW, GRAM_KEYS = 3, 12, 8, 24
 _SHIFTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 FOLD = LOWER.copy()
@@ -87,6 +89,59 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+_G = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch_keys(hashes: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n keys by row, each of ROWS minimal hashes; every row has a hash at least."""
+    out = np.zeros((len(first) - 1, n), np.uint64)
+    if not out.size:
+        return out
+    for k in range(n):
+        key = np.full(len(out), seed * 1000 + k, np.uint64)
+        for i in range(ROWS):
+            m = mix64(np.array([(seed * 1000 + k) * ROWS + i + 1], np.uint64) * _G)[0] | np.uint64(1)
+            x = (hashes ^ (m << np.uint64(1))) * m
+            x ^= x >> np.uint64(29)
+            key = mix64(key * _G + np.minimum.reduceat(x * m, first[:-1]))
+        out[:, k] = key
+    return out
+
+
+def gram_hashes(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of three bytes of some rows' words, joined by blanks between two edges; and where each row's begin."""
+    size = np.diff(w.first)[rows]
+    first = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(first[-1]) + np.repeat(w.first[:-1][rows] - first[:-1], size)
+    lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), w.distinct.take(pa.array(w.codes[at])))
+    joined = pc.binary_join_element_wise(b"\x01", pc.binary_join(lists, b" "), b"\x02", b"")
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(joined).to_numpy()))).astype(np.int64)
+    raw = np.frombuffer(b"".join(joined.to_pylist()), np.uint8).astype(np.uint64)
+    if not len(raw):
+        return raw, ends
+    h = mix64((raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]) * _G)
+    keep = np.ones(len(h), bool)
+    keep[ends[1:-1] - 2] = keep[ends[1:-1] - 1] = False  # runs over the end of a row
+    return h[keep], ends - 2 * np.arange(len(ends))
+
+
+def line_keys(w: Words, rows: np.ndarray) -> pa.Array:
+    """Lists of the keys of some rows, none of which is without words."""
+    hashes, first = features(w)
+    size = np.diff(first)[rows]
+    start = np.concatenate(([0], np.cumsum(size)))
+    hashes = hashes[np.arange(start[-1]) + np.repeat(first[:-1][rows] - start[:-1], size)]
+    few = np.flatnonzero(size < FEW)
+    words, grams = sketch_keys(hashes, start, WORD_KEYS, 1), sketch_keys(*gram_hashes(w, rows[few]), GRAM_KEYS, 2)
+    n = np.full(len(rows), WORD_KEYS)
+    n[few] += GRAM_KEYS
+    first = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty(first[-1], np.uint64)
+    out[first[:-1, None] + np.arange(WORD_KEYS)] = words
+    out[first[:-1][few][:, None] + WORD_KEYS + np.arange(GRAM_KEYS)] = grams
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out.view(np.int64)))
+
+
 #: The bits of each of the ten pairs of blocks.
 MASKS = [sum(((1 << w) - 1) << s for s, w in pair) for pair in combinations(_SHIFTS, 2)]
 _MASKS = np.array(MASKS, np.uint64)
@@ -161,9 +216,76 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = w.first[:-1][keep], w.first[1:][keep]
             line = mix64((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
             number = np.arange(len(row)) - np.searchsorted(row, row)
-            sim = simhash(*features(w))[keep]
             doc = part.column(0).take(pa.array(row[keep]))
-            yield pa.record_batch([doc, pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64))], names=["doc_id", "line_no", "line", "sim"])
+            # The first of a part's equal lines has the keys; lengths are those in characters, with one blank between words.
+            once = np.sort(np.unique(line, return_index=True)[1])
+            n_keys = np.zeros(len(line), np.int64)
+            keys = line_keys(w, keep[once])
+            n_keys[once] = np.diff(keys.offsets.to_numpy())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_keys))), pa.int32()), keys.values)
+            chars = np.concatenate(([0], np.cumsum(pc.utf8_length(w.distinct.cast(pa.string())).to_numpy()[w.codes])))
+            length = chars[b] - chars[a] + b - a - 1
+            yield pa.record_batch([doc, pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(length, pa.int64()), lists], names=["doc_id", "line_no", "line", "length", "keys"])
+
+
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two lengths allow the similarity."""
+    return np.abs(a - b) <= np.maximum(a, b) * (1 - SIMILARITY) + 1e-6
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (set, line) of candidate groups; rows (key, line, length) are sorted by key. A set is named by its lines, so that equal
+    ones of several keys are one; that of a run that is too long by its key, and all its lines belong to it."""
+
+    def rows(sets: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(sets.astype(np.uint64).view(np.int64)), pa.array(line.view(np.int64))], names=["set", "line"])
+
+    def flush(key: np.ndarray, line: np.ndarray, length: np.ndarray) -> pa.RecordBatch | None:
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        two = two[(line[two] != line[two + 1]) & _fits(length[two], length[two + 1])]
+        name = mix64(line[two] + line[two + 1])
+        sets, lines = [name, name], [line[two], line[two + 1]]
+        for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
+            own, at = np.unique(line[a:b], return_index=True)
+            if len(own) > RUN:
+                sets.append(np.full(len(own), key[a]))
+                lines.append(own)
+                continue
+            n = length[a:b][at]
+            own = own[_fits(n[:, None], n).sum(axis=1) > 1]
+            if len(own):
+                sets.append(np.full(len(own), mix64(own.sum(dtype=np.uint64, keepdims=True))[0]))
+                lines.append(own)
+        out = np.concatenate(lines)
+        return rows(np.concatenate(sets), out) if len(out) else None
+
+    held = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+    hot: np.uint64 | None = None  # the key of a run that is being passed on
+    for batch in batches:
+        new = [batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if hot is not None and len(held[0]):
+            m = int(np.count_nonzero(held[0] == hot))
+            if m:
+                yield rows(held[0][:m], held[1][:m])
+            held = [x[m:] for x in held]
+            if len(held[0]):
+                hot = None
+        if not len(held[0]):
+            continue
+        other = np.flatnonzero(held[0] != held[0][-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        done, held = [x[:last] for x in held], [x[last:] for x in held]
+        if last and (out := flush(*done)) is not None:
+            yield out
+        if len(held[0]) > 8 * RUN:
+            hot = held[0][0]
+            yield rows(held[0], held[1])
+            held = [x[:0] for x in held]
+    if len(held[0]) and (out := flush(*held)) is not None:
+        yield out
 
 
 def _spread(v: np.ndarray) -> list[tuple[int, int]]:
@@ -247,20 +369,44 @@ def _near_pairs(table: pa.Table) -> list[tuple[int, int]]:
     return out
 
 
+def _counts(text: list[str], width: int, classes: int) -> np.ndarray:
+    """Counts of the letters, or runs of letters, of each text, by class."""
+    out = np.zeros((len(text), classes), np.int32)
+    for i, t in enumerate(text):
+        x = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+        if width == 2:
+            x = (x[1:] * 31 + x[:-1]) * 0x9E3779B1 >> 7
+        out[i] = np.bincount(x % classes, minlength=classes)
+    return out
+
+
+def _apart(counts: np.ndarray, i: int, cand: np.ndarray) -> np.ndarray:
+    """How many of the counted things the one or the other text has more; an edit makes one of a letter, and two of a pair of letters."""
+    d = counts[cand] - counts[i]
+    more = np.maximum(d, 0).sum(axis=1)
+    return np.maximum(more, more - d.sum(axis=1))
+
+
 def _similar_lines(table: pa.Table) -> list[tuple[int, int]]:
-    v, text = table.column("sim").to_numpy().view(np.uint64), table.column("text").to_pylist()
-    n = len(v)
-    # The value with most neighbours is the middle of a group of copies: starting there connects most of them at once.
-    near = np.array([np.count_nonzero(np.bitwise_count(v ^ x) <= DISTANCE) for x in v])
+    text = table.column("text").to_pylist()
+    n = len(text)
+    length = np.array([len(t) for t in text])
+    one, two = _counts(text, 1, 64), _counts(text, 2, 256) if n > 2 else None
     sets, out = Union(n), []
     roots = np.arange(n)
-    for i in np.argsort(-near, kind="stable").tolist():
-        cand = np.flatnonzero((np.bitwise_count(v ^ v[i]) <= DISTANCE) & (roots != roots[i])).tolist()
-        for j in cand:
+    for i in range(n - 1):
+        cand = i + 1 + np.flatnonzero((roots[i + 1 :] != roots[i]) & _fits(length[i + 1 :], length[i]))
+        allowed = np.maximum(length[cand], length[i]) * (1 - SIMILARITY) + 1e-6
+        for counts, edits in ((one, 1), (two, 2)):
+            if len(cand) and counts is not None:
+                keep = _apart(counts, i, cand) <= edits * allowed
+                cand, allowed = cand[keep], allowed[keep]
+        joined = False
+        for j in cand.tolist():
             if sets.find(i) != sets.find(j) and within(text[i], text[j]):
-                sets.join(i, j)
+                joined = sets.join(i, j)
                 out.append((i, j))
-        if cand:
+        if joined:
             roots = sets.roots()
     return out
 
@@ -318,37 +464,28 @@ def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = save(plain.mapInArrow(_occurrences, "doc_id long, line_no long, line long, sim long"), folder, "occurrences")
+    rows = save(plain.mapInArrow(_occurrences, "doc_id long, line_no long, line long, length long, keys array<long>"), folder, "occurrences")
     place = F.struct("doc_id", "line_no")
-    nodes = save(rows.groupBy("line").agg(F.first("sim").alias("sim"), F.min(place).alias("place"), (F.count("*") > 1).alias("repeats")), folder, "nodes")
-    # A row a value and pair of blocks; the bits they are dealt and sorted by are no column.
-    lists = nodes.select(F.explode(F.array(*[F.lit(i).cast("byte") for i in range(len(MASKS))])).alias("pair"), "sim")
-    bits = F.element_at(F.array(*[F.lit(m) for m in np.array(MASKS, np.uint64).view(np.int64).tolist()]), F.col("pair") + 1).bitwiseAND(F.col("sim"))
-    near = save(lists.repartition(n, F.xxhash64("pair", bits)).sortWithinPartitions("pair", bits).mapInArrow(_near_values, "a long, b long, deferred boolean"), folder, "near")
-    bits_of = F.element_at(F.array(*[F.lit(m) for m in np.array(MASKS, np.uint64).view(np.int64).tolist()]), F.col("a").cast("int") + 1).bitwiseAND(F.col("b"))
-    long = near.where("deferred").select(F.xxhash64("a", bits_of).alias("key"), F.col("b").alias("sim")).distinct().withColumn("node", F.col("sim"))
-    edges = near.where("not deferred").select("a", "b").unionByName(solve(blocks(long, "key", "sim"), _near_pairs, n))
-    groups = small_side(save(connected_components(edges, folder, "groups").withColumnRenamed("node", "sim"), folder, "groups"))
-    # Lines of one SimHash value, or of a group of values, are candidates if there are several.
-    grouped = nodes.join(groups, "sim", "left").withColumn("component", F.coalesce("component", "sim"))
-    several = small_side(save(grouped.groupBy("component").count().where("count > 1").drop("count"), folder, "several"))
-    candidates = save(grouped.join(several, "component").select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"), "line", "sim", "component"), folder, "candidates")
+    nodes = save(rows.groupBy("line").agg(F.min(place).alias("place"), (F.count("*") > 1).alias("repeats")), folder, "nodes")
+    lists = rows.select(F.explode("keys").alias("key"), "line", "length").repartition(n, "key").sortWithinPartitions("key")
+    members = save(lists.mapInArrow(_shared_keys, "set long, line long").distinct(), folder, "members")
+    candidates = save(members.join(nodes, "line").select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"), "line", "set"), folder, "candidates")
     where = _by_doc(candidates, folder, "wanted")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = _marked_rows(where, ["line_no", "line", "sim", "component"], batch.column(0))
+            marked = _marked_rows(where, ["line_no", "line", "set"], batch.column(0))
             out = []
             for i, d in enumerate(batch.column(0).to_pylist()):
                 if d in marked:
                     lines = batch.column(1)[i].as_py().split("\n")
-                    out += [(line, sim, c, normalised(lines[no])) for no, line, sim, c in marked[d] if no < len(lines)]
+                    out += [(line, c, normalised(lines[no])) for no, line, c in marked[d] if no < len(lines)]
             if out:
-                a, b, c, t = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(t)], names=["node", "sim", "component", "text"])
+                a, c, t = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(t)], names=["node", "set", "text"])
 
-    read = plain.where("text is not null").mapInArrow(texts, "node long, sim long, component long, text string")
-    links = connected_components(solve(blocks(read, "component", "node"), _similar_lines, n), folder, "lines")
+    read = plain.where("text is not null").mapInArrow(texts, "node long, set long, text string")
+    links = connected_components(solve(blocks(read, "set", "node"), _similar_lines, n), folder, "lines")
     links = small_side(save(links.withColumnRenamed("node", "line"), folder, "linked"))
     # Only lines that repeat or are linked can go.
     final = nodes.join(links, "line", "left").where("repeats or component is not null").withColumn("component", F.coalesce("component", "line"))
