@@ -1,11 +1,13 @@
 """Media columns, audio: texts' bytes as 8-bit PCM, resampled, turned into log-mel frames and cut into active spans.
 
-A payload is stored as a RIFF/WAVE clip of one channel of unsigned 8-bit samples, so the bytes are kept exactly. The features
-are computed from the clip that was read back:
+A payload is stored as a RIFF/WAVE clip of one channel of unsigned 8-bit samples, so the bytes are kept exactly. Tasks write the
+clips to compressed Arrow files in the shared folder, and read them again; features are computed from what was read:
   * polyphase resampling by 1/2 with a windowed-sinc low-pass filter: only the kept phases of the filter are computed;
   * overlapped frames of 256 samples every 128, Hann window, power spectrum, 16 triangular mel bands, log;
   * hysteresis energy segmentation: a span opens above the high threshold and lasts while the energy stays above the low one.
-Frames are stored in groups of FRAMES x MELS as a fixed-shape Arrow tensor column, each with its time span in milliseconds.
+Frames are stored in groups of FRAMES x MELS as a fixed-shape Arrow tensor column, each with its time span in milliseconds, in
+files beside the clips; the rows' frames, spans and digests are those read from these. A file holds at most CLIPS clips, and is
+written under a name of its attempt and then renamed, so a repeated task replaces its own files.
 
 Defined results: null is the empty text, and its payload is 64 zero bytes; a clip shorter than a frame is padded with silence
 to one frame; equal texts give equal rows, whatever stands beside them, as each clip is computed on its own; repeated rows keep
@@ -24,10 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .store import work_dir
+
 RATE, UP, DOWN, TAPS = 8000, 1, 2, 32
 FRAME, HOP, MELS, FRAMES = 256, 128, 16, 64
 HIGH, LOW = 3.0, 1.0  # decibels above the clip's median frame energy
 ALIGN = 64
+CLIPS, CHUNK = 2048, 16 << 20  # clips and bytes of a file, by which a task's memory is bounded too
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -134,19 +140,74 @@ def tensor_column(mel: list[np.ndarray]) -> pa.Array:
     return pa.ExtensionArray.from_storage(kind, storage)
 
 
-def audio_features(docs: DataFrame, keep: bool = True) -> DataFrame:
+def _stored(folder: str, name: str, attempt: str, write) -> pa.Table:
+    """Lets `write` fill a file of the shared folder, and reads it from there."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder)
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/_{name}.{attempt}") as sink:
+        write(sink)
+    files.move(f"{path}/_{name}.{attempt}", f"{path}/{name}")
+    with files.open_input_file(f"{path}/{name}") as source:
+        return pa.ipc.open_file(source).read_all()
+
+
+def write_clips(clips: list[bytes], sink) -> None:
+    """An Arrow IPC file of clips."""
+    table = pa.table({"media": pa.array(clips, pa.binary())})
+    with pa.ipc.new_file(sink, table.schema, options=_ZSTD) as out:
+        out.write_table(table)
+
+
+def read_tensors(table: pa.Table, n: int) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """Frames and active spans of n clips, from the frame groups of write_tensors()."""
+    clip, end = table.column("clip").to_numpy(), table.column("to_ms").to_numpy()
+    flat = table.column("mel").combine_chunks().storage.flatten().to_numpy().reshape(-1, MELS)
+    first, out = np.searchsorted(clip, np.arange(n + 1)), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        frames = (int(end[b - 1]) - FRAME * DOWN * 1000 // (RATE * UP)) // (HOP * DOWN * 1000 // (RATE * UP)) + 1
+        active = table.column("active")[a].as_py()
+        out.append((flat[a * FRAMES : a * FRAMES + frames], [(s["from_ms"], s["to_ms"]) for s in active]))
+    return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
+    """doc_ids and texts of up to CLIPS rows and some CHUNK bytes."""
+    docs, texts, size = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            docs.append(doc)
+            texts.append(text)
+            size += len(text or "") + ALIGN
+            if len(docs) == CLIPS or size >= CHUNK:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
+def audio_features(docs: DataFrame, keep: bool = True, folder: str | None = None) -> DataFrame:
     """A row a document: n_bytes, media (the clip), mel (frames x MELS, row-major), n_frames, spans, and digests of what was read back.
 
-    Without `keep` the two large columns, media and mel, stay out of the result."""
+    Files of clips and of frame groups stay below `folder`. Without `keep` the two large columns, media and mel, stay out of the result."""
+    folder = folder or work_dir(docs.sparkSession, "audio")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        for chunk, (ids, texts) in enumerate(_chunks(batches)):
+            name, attempt = f"{context.partitionId():06d}-{chunk:06d}.arrow", f"{context.taskAttemptId()}"
+            clips = [write_clip(payload(t)) for t in texts]
+            stored = _stored(folder, f"clips-{name}", attempt, lambda sink: write_clips(clips, sink)).column("media")  # noqa: B023
+            mels, active = zip(*(clip_features(c.as_py()) for c in stored), strict=True)
+            tensors = _stored(folder, f"tensors-{name}", attempt, lambda sink: write_tensors(list(mels), list(active), sink))  # noqa: B023
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                clip = write_clip(payload(text))
+            for doc, text, clip, (mel, spans) in zip(ids, texts, stored, read_tensors(tensors, len(ids)), strict=True):
+                clip = clip.as_py()
                 back = read_clip(clip)[1]
-                mel, spans = clip_features(clip)
                 h = hashlib.sha256(np.rint(mel * 100).astype("<i4").tobytes())
                 h.update(repr(spans).encode())
                 row = {"doc_id": doc, "n_bytes": len((text or "").encode()), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-ALIGN:]), "media_bytes": len(clip), "media_sha256": hashlib.sha256(clip).hexdigest()}
@@ -181,5 +242,5 @@ def write_tensors(mel: list[np.ndarray], spans: list[list[tuple[int, int]]], sin
             end.append((min(g + FRAMES, len(m)) - 1) * ms + FRAME * DOWN * 1000 // (RATE * UP))
     active = [[{"from_ms": a, "to_ms": b} for a, b in s] for s in spans]
     table = pa.table({"clip": pa.array(clip, pa.int64()), "from_ms": pa.array(begin, pa.int64()), "to_ms": pa.array(end, pa.int64()), "mel": tensors, "active": pa.array([active[i] for i in clip], pa.list_(pa.struct([("from_ms", pa.int64()), ("to_ms", pa.int64())])))})
-    with pa.ipc.new_file(sink, table.schema) as out:
+    with pa.ipc.new_file(sink, table.schema, options=_ZSTD) as out:
         out.write_table(table)
