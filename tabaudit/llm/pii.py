@@ -9,10 +9,12 @@ all documents, different ones stay different, and only the key's holder can go b
   phone     '+' and 8 to 15 digits, or ten digits in the groups 3-3-4; the country code stays
   ssn       ddd-dd-dddd with an area, group and serial that are issued
   ip        four octets of 0 to 255; permuted as a 32-bit number
-  date      a calendar date, as yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy; permuted among the days of 1900 to 2099
+  date      a calendar date, as yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or, if that is none, mm/dd/yyyy; permuted among the days of 1900 to 2099
   email     the part before the '@' and the host's labels but for the last
   secret    access keys, and values after 'password', 'token', 'secret' or 'api key' with '=' or ':'
 
+A card or IBAN that isn't valid with all its groups is tried without the last ones, and the search goes on after its first group.
+
 Defined results: null stays null; a text without findings is returned as it is; every row is kept, repeated ones each; an
 empty table gives no rows; other columns pass through unread in pseudonymise().
 """
@@ -127,6 +129,13 @@ def _refill(model: str, chars: str) -> str:
 _EPOCH, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
+def _day(s: str, form: str) -> int | None:
+    try:
+        return datetime.datetime.strptime(s, form).date().toordinal() - _EPOCH
+    except ValueError:
+        return None
+
+
 def replacement(kind: str, s: str, cipher: Cipher, back: bool = False) -> str | None:
     """The pseudonym of a finding, or None if it isn't valid. `back` gives the original of a pseudonym."""
     digits = re.sub(r"[^0-9]", "", s)
@@ -161,10 +170,19 @@ def replacement(kind: str, s: str, cipher: Cipher, back: bool = False) -> str |
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "date":
         form = "%Y-%m-%d" if s[4] == "-" else f"%d{s[2]}%m{s[2]}%Y"
-        try:
-            day = datetime.datetime.strptime(s, form).date().toordinal() - _EPOCH
-        except ValueError:
+        day_first = _day(s, form)
+        if day_first is None and s[2] == "/" and (day := _day(s, "%m/%d/%Y")) is not None:
+            # Only days that can't be read day first, so that pseudonyms go back.
+            new = s
+            while _day(new, form) is not None or new == s:
+                day = cipher.number(day, _DAYS, b"date", back)
+                new = datetime.date.fromordinal(_EPOCH + day).strftime("%m/%d/%Y")
+                if new == s:
+                    break
+            return new
+        if day_first is None:
             return None
+        day = day_first
         return datetime.date.fromordinal(_EPOCH + cipher.number(day, _DAYS, b"date", back)).strftime(form)
     if kind == "email":
         name, host = s.split("@")
@@ -176,19 +194,44 @@ def replacement(kind: str, s: str, cipher: Cipher, back: bool = False) -> str |
     return s[:keep] + cipher.text(s[keep:], kind, back)
 
 
+def _prefixes(kind: str, s: str) -> list[str]:
+    """A card or IBAN with all its groups, and without the last ones."""
+    ends = [len(s), *(i for i in range(len(s) - 1, 0, -1) if s[i] in " -")]
+    return [s[:e] for e in ends if kind != "card" or 13 <= sum(ch.isdigit() for ch in s[:e]) <= 19]
+
+
+def _grouped(kind: str, s: str, cipher: Cipher, back: bool) -> tuple[str, str] | None:
+    """The longest valid prefix and its pseudonym: one with which no longer prefix is valid, so that it goes back."""
+    tried = _prefixes(kind, s)
+    for k, p in enumerate(tried):
+        new = replacement(kind, p, cipher, back)
+        if new is not None:
+            while any(replacement(kind, new + longer[len(p) :], cipher) is not None for longer in tried[:k]):
+                new = replacement(kind, new, cipher, back)
+            return p, new
+    return None
+
+
 def pseudonymise_text(text: str, cipher: Cipher, found: dict[str, int], back: bool = False) -> str:
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup != "sep" else "date"
-        new = replacement(kind, m[0], cipher, back)
-        if new is None and kind == "card":
-            return m[0]
-        if new is None:
-            return m[0]
-        found[kind] = found.get(kind, 0) + 1
-        return new
+    def searched(line: str) -> str:
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(line, at):
+            kind = m.lastgroup if m.lastgroup != "sep" else "date"
+            old, at = m[0], m.end()
+            if kind in ("card", "iban"):
+                old, new = _grouped(kind, old, cipher, back) or (old, None)
+                first = re.match(r"[A-Za-z0-9]+", m[0]).end()
+                at = m.start() + (first if new is None else len(old))
+            else:
+                new = replacement(kind, old, cipher, back)
+            if new is not None:
+                out += [line[done : m.start()], new]
+                done = m.start() + len(old)
+                found[kind] = found.get(kind, 0) + 1
+        return "".join([*out, line[done:]])
 
     # No finding spans lines, so only lines with a trigger are searched.
-    return "\n".join(PATTERN.sub(one, line) if _TRIGGER.search(line) else line for line in text.split("\n"))
+    return "\n".join(searched(line) if _TRIGGER.search(line) else line for line in text.split("\n"))
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
