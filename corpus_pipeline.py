@@ -55,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
 
-#: SQL has no tokenizer, no SimHash and no language model; the stages are tested against brute force.
+#: SQL has no tokenizer, no edit distance of all lines and no language model; no test runs the stages yet.
 ORACLE_SQL = None
 
 
