@@ -36,6 +36,33 @@ _POWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(
 BLANK, LITERAL = 0x2581, 0x1FFFFF
 
 
+class Index:
+    """Places of hashes in a sorted array: their first PREFIX bits say where to begin, and few steps are left."""
+
+    PREFIX = np.uint64(18)
+
+    def __init__(self, table: np.ndarray):
+        self.shift = np.uint64(64) - self.PREFIX
+        cells = (table >> self.shift).astype(np.int64)
+        begin = np.searchsorted(cells, np.arange((1 << int(self.PREFIX)) + 1))
+        self.begin, self.most = begin[:-1].astype(np.int32), int(np.diff(begin).max())
+        # Past the end stand copies of the last entry's complement, which no search beyond the table takes for its own.
+        self.table = np.concatenate((table, np.full(self.most, ~table[-1], np.uint64)))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes that are in the table, by number, and their places."""
+        at = self.begin[h >> self.shift]
+        hit = self.table[at] == h
+        for _ in range(self.most - 1):
+            left = np.flatnonzero(~hit)
+            if not len(left):
+                break
+            at[left] += self.table[at[left]] < h[left]
+            hit[left] = self.table[at[left]] == h[left]
+        found = np.flatnonzero(hit)
+        return found, at[found]
+
+
 class Model:
     """Pieces by length and hash, and each piece's bytes."""
 
@@ -69,7 +96,7 @@ class Model:
             ids = np.array(list(found.values()), np.int64)
             order = np.argsort(h)
             rank = np.maximum(ids[order] - int(self.byte_ids.max()), 0)
-            self.tables[length] = (h[order], ids[order], -SHARPNESS * np.log(rank + OFFSET))
+            self.tables[length] = (Index(h[order]), ids[order], -SHARPNESS * np.log(rank + OFFSET))
         self.byte_weight = -SHARPNESS * np.log(n + OFFSET)
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.length = np.array([len(s) for s in spelled])
@@ -91,7 +118,7 @@ def _width(cp: int) -> int:
 
 class Lattices:
     """All lattices of some distinct cuts, given as code points. Node k of a cut is its border after k characters; `cum` has, by
-    node, the ascending shares of the edges that end there, each raised by the node's number."""
+    node, the ascending shares of the edges that end there, from the edge `begin` says."""
 
     def __init__(self, m: Model, cp: np.ndarray, offsets: np.ndarray):
         size = np.diff(offsets)
@@ -101,7 +128,6 @@ class Lattices:
         t = mix64(cp.astype(np.uint64) * _G)
         h = t.copy()
         ends, lengths, ids, weights = [], [], [], []
-        spelled = np.zeros(n, bool)
         alive = np.arange(n)
         for length in range(1, len(m.tables) + 1):
             at = alive[left[alive] >= length]
@@ -109,43 +135,47 @@ class Lattices:
                 break
             if length > 1:
                 h[at] += t[at + length - 1] * _POWERS[length - 1]
-            table, own, w = m.tables[length]
-            i = np.minimum(np.searchsorted(table, h[at]), len(table) - 1)
-            hit = table[i] == h[at]
-            i, alive = i[hit], at[hit]
+            index, own, w = m.tables[length]
+            hit, i = index.find(h[at])
+            alive = at[hit]
             whole = own[i] >= 0
             i, at = i[whole], alive[whole]
             if length == 1:
-                spelled[at] = True
+                odd = np.ones(n, bool)
+                odd[at] = False
+                odd = np.flatnonzero(odd)
+                ends.append(odd + 1)
+                lengths.append(np.ones(len(odd), np.int64))
+                ids.append(-1 - cp[odd].astype(np.int64))
+                weights.append(m.byte_weight * np.array([_width(int(c)) for c in cp[odd]], float))
             ends.append(at + length)
             lengths.append(np.full(len(at), length))
             ids.append(own[i])
             weights.append(w[i])
-        at = np.flatnonzero(~spelled)
-        ends.append(at + 1)
-        lengths.append(np.ones(len(at), np.int64))
-        ids.append(-1 - cp[at].astype(np.int64))
-        weights.append(m.byte_weight * np.array([_width(int(c)) for c in cp[at]], float))
-        end, length, self.ids, weight = map(np.concatenate, (ends, lengths, ids, weights))
-        # Nodes are numbered by the end's place; the start of a cut is no node, and its sum is 1.
-        order = np.lexsort((length, end))
+        end, length, self.ids, weight = map(np.concatenate, (ends, lengths, ids, weights)) if ends else (np.empty(0, np.int64),) * 4
+        # Nodes are numbered by the end's place; the start of a cut is no node, and its sum is 1. Edges come by length.
+        order = np.argsort(end, kind="stable")
         end, length, self.ids, weight = end[order], length[order], self.ids[order], weight[order]
         step = place[end - 1] + 1
         self.length = length
         alpha = np.zeros(n + 1)  # of the node that ends with character i - 1
         score = np.empty(len(end))
-        by_step = np.argsort(step, kind="stable")
-        bounds = np.searchsorted(step[by_step], np.arange(1, (size.max() if len(size) else 0) + 2))
+        most = int(size.max()) if len(size) else 0
+        by_step = np.argsort(step.astype(np.uint16) if most < 1 << 16 else step, kind="stable")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(step, minlength=most + 1)[1:]))) if len(end) else np.zeros(1, np.int64)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             e = by_step[a:b]
             if not len(e):
                 continue
-            before = np.where(step[e] == length[e], 0.0, alpha[end[e] - length[e]])
-            score[e] = before + weight[e]
-            node, group = np.unique(end[e], return_index=True)
-            top = np.maximum.reduceat(score[e], group)
-            sums = np.add.reduceat(np.exp(score[e] - np.repeat(top, np.diff(np.append(group, len(e))))), group)
-            alpha[node] = top + np.log(sums)
+            to, size_e = end[e], length[e]
+            before = alpha[to - size_e]
+            before[size_e == step[e[0]]] = 0.0
+            own = before + weight[e]
+            score[e] = own
+            group = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            top = np.maximum.reduceat(own, group)
+            sums = np.add.reduceat(np.exp(own - np.repeat(top, np.diff(np.append(group, len(e))))), group)
+            alpha[to[group]] = top + np.log(sums)
         share = np.exp(score - alpha[end])
         new = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1]))) if len(end) else np.empty(0, np.int64)
         run = np.cumsum(share)
@@ -153,7 +183,9 @@ class Lattices:
         last = np.append(new[1:], len(end)) - 1 if len(end) else new
         cum = np.minimum(run - base, 1.0)
         cum[last] = 1.0
-        self.cum = end + cum
+        self.cum = cum
+        self.begin = np.zeros(n + 1, np.int64)
+        self.begin[end[new]] = new
         self.last = offsets[1:]  # the end node of each cut
         self.start = offsets[:-1]
 
@@ -165,8 +197,12 @@ class Lattices:
         k = 0
         while len(active):
             u = (mix64(seeds[active] + np.uint64((k + 1) * int(_G) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            # Rounding mustn't reach the next node's edges for u close to one.
-            e = np.searchsorted(self.cum, np.minimum(node[active] + u, np.nextafter(node[active] + 1.0, 0)), "right")
+            # A node's last share is 1, which u never reaches.
+            e = self.begin[node[active]]
+            on = np.flatnonzero(self.cum[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[self.cum[e[on]] <= u[on]]
             steps.append((active, self.ids[e]))
             node[active] -= self.length[e]
             count[active] += 1
