@@ -4,25 +4,30 @@ A line is what stands between line feeds. It is normalised byte by byte: A-Z to
 blanks, white space collapsed. Lines that are equal then are one node, known by a 64-bit hash. Linked are nodes whose edit
 similarity, 1 - Levenshtein / longer length, is SIMILARITY or more, as far as the sketches below make them meet.
 
-  1. occurrences and sketch keys come out of one pass over the texts. A key is ROWS minimal hashes: WORD_KEYS of a line's longer
-     words, and, where fewer than FEW of those stand, GRAM_KEYS of its runs of three bytes, so that changed letters count too;
-  2. nodes under the same key whose lengths allow the similarity form a candidate group; equal groups are taken once. Runs of
-     more than RUN nodes are left to bounded tasks by pairs of blocks;
-  3. only candidates are read as text. In a group every pair that isn't connected yet is held against bounds that no similar pair
-     breaks (lengths, counts of letters and of pairs of letters), and then against a bit-parallel Levenshtein distance;
-  4. of each connected group the first occurrence by (doc_id, line number) stays, the others go.
+  1. one pass over the texts gives occurrences, each line's sketch and its block keys. A sketch is the SimHash of its words (64 bits)
+     and MINS minimal hashes of neighbouring words; a block key joins two of them. Lines of few words have a sketch and keys of runs
+     of three bytes instead (three minimal hashes a key), so that changed letters count too; between LEAST and FEW words they have both;
+  2. records (key, node, sketch, length) travel packed, by shards of the keys. Lines that meet under a key are candidates if their
+     SimHashes differ in at most DISTANCE bits, their lengths allow the similarity, and AGREE of the minimal hashes are equal; a pair
+     that meets under several keys counts under the first alone. Of each run of a key, the connected groups of candidates go on.
+     Keys with more than LONG nodes in an overfull shard are left to bounded tasks by pairs of blocks;
+  3. only such lines are read as text. In a group, every pair of candidates that isn't connected yet is held against bounds that no
+     similar pair breaks (counts of letters and of pairs of letters), and then against a bit-parallel Levenshtein distance;
+  4. of each connected group of similar lines the first occurrence by (doc_id, line number) stays, the others go.
+
+Why the blocks are minimal hashes and not bits of the SimHash: two lines of similarity 0.8 differ in some 20 % of its bits, so
+sound pigeonhole blocks would be of some five bits, and every thirtieth line of a corpus would share one.
 
 Defined results: null stays null, and an empty text stays empty; lines without letters, digits or other signs than ASCII
-punctuation are never removed; of equal lines in one document the first stays; a document all of whose lines go becomes the
-empty text; rows with the same doc_id are one document to this operator and lose the same lines; rows with a null doc_id stay
-as they are; an empty table gives no rows; other columns pass through unread.
+punctuation are never removed; of equal lines in one document the first stays; of lines that begin groups alike (ties) the smaller
+(doc_id, line number) stays; a document all of whose lines go becomes the empty text; rows with the same doc_id are one document to
+this operator and lose the same lines; rows with a null doc_id stay as they are; an empty table gives no rows; other columns pass through unread.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
@@ -32,19 +37,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .groups import Union, blocks, connected_components, solve
-from .ordered import cut_points, slot
+from .groups import blocks, connected_components, runs, solve
 from .store import partitions, save, small_side, work_dir
 from .words import LOWER, Words, batch_words, mix64, utf8
 
-DISTANCE, SIMILARITY, RUN, SHORT = 3, 0.8, 512, 4
-ROWS, WORD_KEYS, FEW, GRAM_KEYS = 3, 12, 8, 24
-_SHIFTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+SIMILARITY, AGREE, MINS = 0.8, 3, 14
+#: Lines of so many words have keys of words, those below FEW have keys of runs of bytes; between the two they have both.
+LEAST, FEW = 10, 16
+#: Bits in which the SimHashes of candidates may differ, of words and of runs of bytes.
+DISTANCE = np.array([22, 28])
+#: Numbers of the minimal hashes that make a key, of neighbouring words and then of runs of bytes; keys are known by their place here.
+KEYS = [[(i, (i + 1) % 14) for i in range(14)], [(i, (i + 1) % 14, (i + 3) % 14) for i in range(14)]]
+ALL_KEYS = KEYS[0] + KEYS[1]
+#: Bytes of text that are sketched together; bytes of records that a shard is meant for, and at which it is overfull; nodes of a long run.
+TOGETHER, SHARD, OVERFULL, LONG = 4_000_000, 64_000_000, 160_000_000, 4096
+#: Lines of a candidate group that one task holds.
+BLOCK = 8192
+RECORD = np.dtype([("key", "<u4"), ("node", "<u8"), ("sim", "<u8"), ("mins", "u1", (14,)), ("n", "<u2"), ("k", "u1")])
+PLACE = np.dtype([("line", "<u8"), ("doc", "<i8"), ("no", "<i4")])
 
 FOLD = LOWER.copy()
 FOLD[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
 FOLD[0x30:0x3A] = 0x30
 _FOLD = FOLD.tobytes()
+_G, _STEP = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
 def normalised(line: str) -> str:
@@ -61,49 +77,65 @@ def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(at[order], offsets[-1]), row[order]
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that tell lines apart, those of more than SHORT bytes, or of all words where a line has no such; and where
-    each line's begin. Short words are the frequent ones: with them, all long lines of a language look alike."""
-    size = pc.binary_length(w.distinct).to_numpy()[w.codes]
-    row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    long = size > SHORT
-    keep = long | ~np.bincount(row, long, len(w.first) - 1).astype(bool)[row]
-    return w.hashes[keep], np.concatenate(([0], np.cumsum(np.bincount(row, keep, len(w.first) - 1)))).astype(np.int64)
+def line_hashes(w: Words, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A polynomial of the words' hashes of each row by prefix sums, mixed with their number."""
+    n = max(len(hashes), 1)
+    up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(_STEP)))))
+    back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(pow(_STEP, -1, 1 << 64))))))
+    total = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
+    a, b = w.first[:-1][rows], w.first[1:][rows]
+    return mix64((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+
+
+def simhash(distinct: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Majority bits of rows of hashes, given by number among distinct ones; `first` says where each row's begin. Ones
+    are counted in bytes, eight at once, over up to 255 hashes, and those counts are added."""
+    ones = np.unpackbits(distinct.view(np.uint8).reshape(len(distinct), -1), axis=1).view(np.uint64)
+    out = np.empty(len(first) - 1, np.uint64)
+    for i, j in _pieces(first, 1 << 15):
+        start = first[i:j] - first[i]
+        size = np.diff(first[i : j + 1])
+        n = -(-size // 255)
+        upto = np.cumsum(n)
+        cut = np.repeat(start, n) + 255 * (np.arange(upto[-1]) - np.repeat(upto - n, n))
+        count = np.add.reduceat(ones[codes[first[i] : first[j]]], cut, axis=0).view(np.uint8)
+        total = np.add.reduceat(count, upto - n, axis=0, dtype=np.int32) if len(cut) > len(n) else count.astype(np.int32)
+        out[i:j] = np.packbits(2 * total > size[:, None], axis=1).view(np.uint64).reshape(-1)
+    return out
+
 
+def word_hashes(w: Words) -> np.ndarray:
+    """64-bit hash by distinct word."""
+    return Words(np.arange(len(w.distinct)), w.distinct, w.first).hashes
 
-def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Majority bits of the hashes of each row; rows are taken together up to some 200,000 hashes."""
-    n = len(first) - 1
-    out = np.zeros(n, np.uint64)
-    i = 0
+
+def _pieces(first: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `size` items, or one row."""
+    i, n = 0, len(first) - 1
     while i < n:
-        j = max(int(np.searchsorted(first, first[i] + 200_000, "right")) - 1, i + 1)
-        a, b = first[i], first[j]
-        if b > a:
-            bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1)
-            size = np.diff(first[i : j + 1])
-            full = np.flatnonzero(size)
-            ones = np.add.reduceat(bits, (first[i:j] - a)[full], axis=0, dtype=np.int32)
-            out[i + full] = np.packbits(2 * ones > size[full, None], axis=1).view(np.uint64).reshape(-1)
+        j = max(int(np.searchsorted(first, first[i] + size, "right")) - 1, i + 1)
+        yield i, j
         i = j
-    return out
 
 
-_G = np.uint64(0x9E3779B97F4A7C15)
+def minima(hashes: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n minimal hashes by row, each of its own multiplicative permutation of hashes that are well mixed already; no row is empty."""
+    out = np.empty((n, len(first) - 1), np.uint64)
+    salt = mix64((np.arange(2 * n, dtype=np.uint64) + np.uint64(1000 * seed + 1)) * _G)
+    for i, j in _pieces(first, 1 << 15):
+        h, start = hashes[first[i] : first[j]], first[i:j] - first[i]
+        for k in range(n):
+            out[k, i:j] = np.minimum.reduceat((h ^ salt[2 * k]) * (salt[2 * k + 1] | np.uint64(1)), start)
+    return out
 
 
-def sketch_keys(hashes: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """n keys by row, each of ROWS minimal hashes; every row has a hash at least."""
-    out = np.zeros((len(first) - 1, n), np.uint64)
-    if not out.size:
-        return out
-    for k in range(n):
-        key = np.full(len(out), seed * 1000 + k, np.uint64)
-        for i in range(ROWS):
-            m = mix64(np.array([(seed * 1000 + k) * ROWS + i + 1], np.uint64) * _G)[0] | np.uint64(1)
-            x = (hashes ^ (m << np.uint64(1))) * m
-            x ^= x >> np.uint64(29)
-            key = mix64(key * _G + np.minimum.reduceat(x * m, first[:-1]))
+def joined(tables: list[np.ndarray], keys: list[tuple[int, ...]], seed: int) -> np.ndarray:
+    """Keys by row, each of one row of every table."""
+    out = np.empty((tables[0].shape[1], len(keys)), np.uint64)
+    for k, parts in enumerate(keys):
+        key = np.full(len(out), 1000 * seed + k, np.uint64)
+        for t, i in zip(tables, parts, strict=True):
+            key = mix64(key * _G + t[i])
         out[:, k] = key
     return out
 
@@ -125,26 +157,34 @@ def gram_hashes(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], ends - 2 * np.arange(len(ends))
 
 
-def line_keys(w: Words, rows: np.ndarray) -> pa.Array:
-    """Lists of the keys of some rows, none of which is without words."""
-    hashes, first = features(w)
-    size = np.diff(first)[rows]
-    start = np.concatenate(([0], np.cumsum(size)))
-    hashes = hashes[np.arange(start[-1]) + np.repeat(first[:-1][rows] - start[:-1], size)]
-    few = np.flatnonzero(size < FEW)
-    words, grams = sketch_keys(hashes, start, WORD_KEYS, 1), sketch_keys(*gram_hashes(w, rows[few]), GRAM_KEYS, 2)
-    n = np.full(len(rows), WORD_KEYS)
-    n[few] += GRAM_KEYS
-    first = np.concatenate(([0], np.cumsum(n)))
-    out = np.empty(first[-1], np.uint64)
-    out[first[:-1, None] + np.arange(WORD_KEYS)] = words
-    out[first[:-1][few][:, None] + WORD_KEYS + np.arange(GRAM_KEYS)] = grams
-    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out.view(np.int64)))
-
-
-#: The bits of each of the ten pairs of blocks.
-MASKS = [sum(((1 << w) - 1) << s for s, w in pair) for pair in combinations(_SHIFTS, 2)]
-_MASKS = np.array(MASKS, np.uint64)
+def sketches(w: Words, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of words, and of runs of bytes where there are few words: the rows (by number among those given, none of which is without
+    words), their SimHashes and their minimal hashes."""
+    words = np.diff(w.first)[rows]
+    many, few = np.flatnonzero(words >= LEAST), np.flatnonzero(words < FEW)
+    size = words[many]
+    first = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(first[-1]) + np.repeat(w.first[:-1][rows[many]] - first[:-1], size)
+    h = hashes[at]
+    # The last word of a line has no right neighbour; its place repeats the pair before it.
+    pairs = mix64(h * _G + np.append(h[1:], np.uint64(0))[: len(h)])
+    pairs[first[1:] - 1] = pairs[first[1:] - 2]
+    grams, begin = gram_hashes(w, rows[few]) if len(few) else (h[:0], first[:1])
+    return [(many, simhash(word_hashes(w), w.codes[at], first), minima(pairs, first, MINS, 1)), (few, simhash(*np.unique(grams, return_inverse=True), begin), minima(grams, begin, MINS, 2))]
+
+
+def records(w: Words, hashes: np.ndarray, rows: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records of some rows, whose nodes and lengths are given, and their whole keys."""
+    keys, out = [], []
+    for kind, (own, sim, mins) in enumerate(sketches(w, hashes, rows)):
+        numbers = KEYS[kind]
+        r = np.empty((len(own), len(numbers)), RECORD)
+        keys.append(joined([mins] * len(numbers[0]), numbers, 1 + kind).reshape(-1))
+        r["node"], r["sim"], r["n"] = node[own, None], sim[:, None], n[own, None]
+        r["mins"] = (mins.T >> np.uint64(20)).astype(np.uint8)[:, None, :]
+        r["k"] = np.arange(len(numbers)) + len(KEYS[0]) * kind
+        out.append(r.reshape(-1))
+    return np.concatenate(keys), np.concatenate(out)
 
 
 def within(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -199,174 +239,177 @@ def levenshtein(a: str, b: str, enough: int | None = None) -> int:
     return score
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
+def _sketch(shards: int):
+    """Packed records by shard of the key, and the occurrences of a slice as one row to any shard."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, TOGETHER):
             raw, offsets = utf8(part.column(1))
             bounds, row = line_bounds(raw, offsets)
-            w = batch_words(FOLD[raw], bounds)
-            size = np.diff(w.first)
-            keep = np.flatnonzero(size)
-            hashes = w.hashes
-            # A line's hash: a polynomial of its words' hashes by prefix sums, mixed with their number.
-            up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(len(hashes), 1), np.uint64(0xD6E8FEB86659FD93)))))
-            back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(len(hashes), 1), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))))))
-            total = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
-            a, b = w.first[:-1][keep], w.first[1:][keep]
-            line = mix64((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
-            number = np.arange(len(row)) - np.searchsorted(row, row)
-            doc = part.column(0).take(pa.array(row[keep]))
-            # The first of a part's equal lines has the keys; lengths are those in characters, with one blank between words.
+            w = batch_words(FOLD[raw], bounds, fold=False)
+            hashes = word_hashes(w)[w.codes]
+            keep = np.flatnonzero(np.diff(w.first))
+            if not len(keep):
+                continue
+            line = line_hashes(w, hashes, keep)
+            places = np.empty(len(keep), PLACE)
+            places["line"], places["no"] = line, (np.arange(len(row)) - np.searchsorted(row, row))[keep]
+            places["doc"] = part.column(0).to_numpy()[row[keep]]
+            # The first of a slice's equal lines has the keys; lengths are those in characters, with one blank between words.
             once = np.sort(np.unique(line, return_index=True)[1])
-            n_keys = np.zeros(len(line), np.int64)
-            keys = line_keys(w, keep[once])
-            n_keys[once] = np.diff(keys.offsets.to_numpy())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_keys))), pa.int32()), keys.values)
             chars = np.concatenate(([0], np.cumsum(pc.utf8_length(w.distinct.cast(pa.string())).to_numpy()[w.codes])))
-            length = chars[b] - chars[a] + b - a - 1
-            yield pa.record_batch([doc, pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(length, pa.int64()), lists], names=["doc_id", "line_no", "line", "length", "keys"])
+            a, b = w.first[:-1][keep[once]], w.first[1:][keep[once]]
+            keys, own = records(w, hashes, keep[once], line[once], np.minimum(chars[b] - chars[a] + b - a - 1, 65535))
+            own["key"] = keys & np.uint64(0xFFFFFFFF)
+            shard = (keys >> np.uint64(32)) % np.uint64(shards)
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+            own, shard = own[order], shard[order]
+            edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+            ends = np.append(edges, len(shard)).astype(np.int32) * RECORD.itemsize
+            bodies = pa.BinaryArray.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(ends), pa.py_buffer(own.view(np.uint8))])
+            yield pa.record_batch([pa.array(shard[edges].astype(np.int32)), pa.array(np.ones(len(edges), bool)), bodies], names=["shard", "keys", "body"])
+            yield pa.record_batch([pa.array([int(line[0] % np.uint64(shards))], pa.int32()), pa.array([False]), pa.array([places.tobytes()], pa.binary())], names=["shard", "keys", "body"])
+
+    return task
+
+
+def sliced(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of about `size` bytes of text, or one row."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + size, "right")))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether two lengths allow the similarity."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
     return np.abs(a - b) <= np.maximum(a, b) * (1 - SIMILARITY) + 1e-6
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (set, line) of candidate groups; rows (key, line, length) are sorted by key. A set is named by its lines, so that equal
-    ones of several keys are one; that of a run that is too long by its key, and all its lines belong to it."""
-
-    def rows(sets: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(sets.astype(np.uint64).view(np.int64)), pa.array(line.view(np.int64))], names=["set", "line"])
-
-    def flush(key: np.ndarray, line: np.ndarray, length: np.ndarray) -> pa.RecordBatch | None:
-        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(edges)
-        two = edges[:-1][size == 2]
-        two = two[(line[two] != line[two + 1]) & _fits(length[two], length[two + 1])]
-        name = mix64(line[two] + line[two + 1])
-        sets, lines = [name, name], [line[two], line[two + 1]]
-        for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
-            own, at = np.unique(line[a:b], return_index=True)
-            if len(own) > RUN:
-                sets.append(np.full(len(own), key[a]))
-                lines.append(own)
-                continue
-            n = length[a:b][at]
-            own = own[_fits(n[:, None], n).sum(axis=1) > 1]
-            if len(own):
-                sets.append(np.full(len(own), mix64(own.sum(dtype=np.uint64, keepdims=True))[0]))
-                lines.append(own)
-        out = np.concatenate(lines)
-        return rows(np.concatenate(sets), out) if len(out) else None
-
-    held = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)]
-    hot: np.uint64 | None = None  # the key of a run that is being passed on
-    for batch in batches:
-        new = [batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        if hot is not None and len(held[0]):
-            m = int(np.count_nonzero(held[0] == hot))
-            if m:
-                yield rows(held[0][:m], held[1][:m])
-            held = [x[m:] for x in held]
-            if len(held[0]):
-                hot = None
-        if not len(held[0]):
-            continue
-        other = np.flatnonzero(held[0] != held[0][-1])
-        last = int(other[-1]) + 1 if len(other) else 0
-        done, held = [x[:last] for x in held], [x[last:] for x in held]
-        if last and (out := flush(*done)) is not None:
-            yield out
-        if len(held[0]) > 8 * RUN:
-            hot = held[0][0]
-            yield rows(held[0], held[1])
-            held = [x[:0] for x in held]
-    if len(held[0]) and (out := flush(*held)) is not None:
-        yield out
-
-
-def _spread(v: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of a run's values within the distance: each value is held against those not yet reached."""
-    left, out = v, []
+def candidates(r: np.ndarray, i: np.ndarray, j: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """Whether records that meet under key k are of different lines, near by SimHash, length and minimal hashes, and share no key
+    before it."""
+    k = np.broadcast_to(k, i.shape)
+    late = (k >= len(KEYS[0])).astype(np.int64)
+    ok = (np.bitwise_count(r["sim"][i] ^ r["sim"][j]) <= DISTANCE[late]) & (r["node"][i] != r["node"][j]) & _fits(r["n"][i], r["n"][j])
+    at = np.flatnonzero(ok)
+    same = r["mins"][i[at]] == r["mins"][j[at]]
+    ok[at] = good = same.sum(axis=1) >= AGREE
+    at, same = at[good], same[good]
+    for kind, numbers in enumerate(KEYS):
+        for q, parts in enumerate(numbers[:-1]):
+            earlier = (late[at] == kind) & (q + len(KEYS[0]) * kind < k[at])
+            if earlier.any():
+                ok[at[earlier & same[:, list(parts)].all(axis=1)]] = False
+    return ok
+
+
+def _spread(r: np.ndarray, k: int) -> np.ndarray:
+    """Labels of a run's connected groups: each reached record is held against those not yet reached."""
+    label, left = np.arange(len(r)), np.arange(len(r))
     while len(left):
-        queue, left = [left[0]], left[1:]
+        root, queue, left = left[0], [left[0]], left[1:]
         while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= DISTANCE
+            near = candidates(r, np.full(len(left), queue.pop()), left, k)
             if near.any():
-                out += [(int(x), int(y)) for y in left[near]]
-                queue += list(left[near])
+                label[left[near]] = root
+                queue += left[near].tolist()
                 left = left[~near]
-    return out
-
+    return label
+
+
+def candidate_groups(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members (group, node, key's place) of the connected groups of each key's run; short runs are compared all at once, by distance
+    in the order."""
+    r = r[np.lexsort((r["node"], r["k"], r["key"]))]
+    new = np.ones(len(r), bool)
+    other = (r["key"][1:] != r["key"][:-1]) | (r["k"][1:] != r["k"][:-1])
+    new[1:] = other | (r["node"][1:] != r["node"][:-1])
+    r = r[new]
+    starts = np.flatnonzero(np.concatenate(([True], (r["key"][1:] != r["key"][:-1]) | (r["k"][1:] != r["k"][:-1])))[: len(r)])
+    size = np.diff(np.append(starts, len(r)))
+    label = np.arange(len(r))
+    end = np.repeat(starts + size, size)
+    short = np.repeat((size > 1) & (size <= 64), size)
+    pairs, at, d = [np.empty((0, 2), np.int64)], np.flatnonzero(short), 1
+    while len(at := at[end[at] - at > d]):
+        hit = at[candidates(r, at, at + d, r["k"][at])]
+        pairs.append(np.stack((hit, hit + d), axis=1))
+        d += 1
+    found = np.concatenate(pairs)
+    while len(found):
+        least = np.minimum(label[found[:, 0]], label[found[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, found[:, 0], least)
+        np.minimum.at(new, found[:, 1], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for a, n in zip(starts[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        label[a : a + n] = a + _spread(r[a : a + n], int(r["k"][a]))
+    some = np.flatnonzero(np.bincount(label, minlength=len(r))[label] > 1) if len(r) else label
+    root = label[some]
+    group = mix64(mix64(r["key"][root].astype(np.uint64) * _G + r["k"][root]) + r["node"][root])
+    return group, r["node"][some], r["k"][some]
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, body: np.ndarray | None = None) -> pa.RecordBatch:
+    bodies = pa.nulls(len(a), pa.binary()) if body is None else pa.array([x.tobytes() for x in body], pa.binary())
+    long = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+    return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *long, pa.array(n.astype(np.int32)), bodies], names=["kind", "a", "b", "n", "body"])
+
+
+OCCURRENCE, MEMBER, DEFERRED = 0, 1, 2
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences (line, doc_id, line number) as they come, members (group, node, key's place) of each shard at the end, and records
+    of keys (node, key, its place, record) that are left to later tasks, since an overfull shard mustn't be held."""
+    held: dict[int, list[np.ndarray]] = {}
+    size: dict[int, int] = {}
+    hot: dict[int, np.ndarray] = {}
+
+    def deferred(shard: int, r: np.ndarray) -> pa.RecordBatch:
+        return _rows(DEFERRED, r["node"], r["key"].astype(np.uint64) | np.uint64(shard) << np.uint64(32), r["k"], r)
 
-def _near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links (a, b) of values that agree in a pair of blocks, rows (pair, sim) being sorted by pair and those bits. Runs
-    that are too long come out as rows (pair, sim) with deferred."""
-
-    def flush(pair: np.ndarray, v: np.ndarray) -> pa.RecordBatch | None:
-        bits = v & _MASKS[pair]
-        edges = np.flatnonzero(np.concatenate(([True], (bits[1:] != bits[:-1]) | (pair[1:] != pair[:-1]), [True])))
-        size = np.diff(edges)
-        two = edges[:-1][size == 2]
-        d = np.bitwise_count(v[two] ^ v[two + 1])
-        two = two[(d > 0) & (d <= DISTANCE)]
-        links = list(zip(v[two].tolist(), v[two + 1].tolist(), strict=True))
-        late: list[tuple[int, int]] = []
-        for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
-            own = np.unique(v[a:b])
-            if len(own) > RUN:
-                late += [(int(pair[a]), x) for x in own.tolist()]
-            else:
-                links += _spread(own)
-        rows = np.array(links + late, np.uint64).reshape(-1, 2).view(np.int64)
-        if not len(rows):
-            return None
-        return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.arange(len(rows)) >= len(links))], names=["a", "b", "deferred"])
-
-    held_p, held_v = np.empty(0, np.int64), np.empty(0, np.uint64)
-    hot: tuple[int, int] | None = None  # the pair and bits of a run that is being passed on
     for batch in batches:
-        pair = np.concatenate((held_p, batch.column(0).to_numpy().astype(np.int64)))
-        v = np.concatenate((held_v, batch.column(1).to_numpy().view(np.uint64)))
-        bits = v & _MASKS[pair]
-        if hot is not None and len(v):
-            m = int(np.count_nonzero((pair == hot[0]) & (bits == np.uint64(hot[1]))))
-            if m:
-                yield pa.record_batch([pa.array(pair[:m]), pa.array(v[:m].view(np.int64)), pa.array(np.ones(m, bool))], names=["a", "b", "deferred"])
-            pair, v, bits = pair[m:], v[m:], bits[m:]
-            if len(v):
-                hot = None
-        held_p, held_v = pair, v
-        if not len(v):
-            continue
-        other = np.flatnonzero((pair != pair[-1]) | (bits != bits[-1]))
-        last = int(other[-1]) + 1 if len(other) else 0
-        if len(v) - last > 8 * RUN:
-            out = flush(pair[:last], v[:last]) if last else None
-            n = len(v) - last
-            yield pa.record_batch([pa.array(pair[last:]), pa.array(v[last:].view(np.int64)), pa.array(np.ones(n, bool))], names=["a", "b", "deferred"])
-            hot, held_p, held_v = (int(pair[-1]), int(bits[-1])), pair[:0], v[:0]
-        else:
-            out = flush(pair[:last], v[:last]) if last else None
-            held_p, held_v = pair[last:], v[last:]
-        if out is not None:
-            yield out
-    if len(held_v) and (out := flush(held_p, held_v)) is not None:
-        yield out
-
-
-def _near_pairs(table: pa.Table) -> list[tuple[int, int]]:
-    v = table.column("sim").to_numpy().view(np.uint64)
-    sets, out = Union(len(v)), []
-    for i in range(len(v) - 1):
-        for j in (i + 1 + np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= DISTANCE)).tolist():
-            if sets.join(i, j):
-                out.append((i, j))
-    return out
+        for shard, keys, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if not keys:
+                p = np.frombuffer(body, PLACE)
+                yield _rows(OCCURRENCE, p["line"], p["doc"], p["no"])
+                continue
+            r = np.frombuffer(body, RECORD)
+            if shard in hot and (late := np.isin(r["key"], hot[shard])).any():
+                yield deferred(shard, r[late])
+                r = r[~late]
+            held.setdefault(shard, []).append(r)
+            size[shard] = size.get(shard, 0) + r.nbytes
+            if size[shard] > OVERFULL:
+                r = np.concatenate(held[shard])
+                key, n = np.unique(r["key"], return_counts=True)
+                hot[shard] = np.union1d(hot.get(shard, key[:0]), key[n > LONG])
+                late = np.isin(r["key"], hot[shard])
+                yield deferred(shard, r[late])
+                held[shard] = [r[~late].copy()]
+                size[shard] = held[shard][0].nbytes // 2  # the next look is after as much again
+    for shard in list(held):
+        group, node, k = candidate_groups(np.concatenate(held.pop(shard)))
+        if len(group):
+            yield _rows(MEMBER, group, node, k)
+
+
+def _late_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in runs(batches, "task"):
+        r = np.frombuffer(b"".join(table.column("body").to_pylist()), RECORD)
+        group, node, k = candidate_groups(r)
+        if len(group):
+            task = mix64(table.column("task").to_numpy()[:1].view(np.uint64))
+            yield _rows(MEMBER, mix64(group + task), node, k)
 
 
 def _counts(text: list[str], width: int, classes: int) -> np.ndarray:
@@ -390,102 +433,83 @@ def _apart(counts: np.ndarray, i: int, cand: np.ndarray) -> np.ndarray:
 def _similar_lines(table: pa.Table) -> list[tuple[int, int]]:
     text = table.column("text").to_pylist()
     n = len(text)
-    length = np.array([len(t) for t in text])
+    r = np.frombuffer(b"".join(table.column("body").to_pylist()), RECORD)
+    k = int(table.column("k")[0].as_py())
     one, two = _counts(text, 1, 64), _counts(text, 2, 256) if n > 2 else None
-    sets, out = Union(n), []
-    roots = np.arange(n)
+    label, out = np.arange(n), []
     for i in range(n - 1):
-        cand = i + 1 + np.flatnonzero((roots[i + 1 :] != roots[i]) & _fits(length[i + 1 :], length[i]))
-        allowed = np.maximum(length[cand], length[i]) * (1 - SIMILARITY) + 1e-6
+        cand = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        cand = cand[candidates(r, np.full(len(cand), i), cand, k)]
+        allowed = np.maximum(r["n"][cand], r["n"][i]) * (1 - SIMILARITY) + 1e-6
         for counts, edits in ((one, 1), (two, 2)):
             if len(cand) and counts is not None:
-                keep = _apart(counts, i, cand) <= edits * allowed
+                keep = (_apart(counts, i, cand) <= edits * allowed) | (r["n"][cand] == 65535)
                 cand, allowed = cand[keep], allowed[keep]
-        joined = False
         for j in cand.tolist():
-            if sets.find(i) != sets.find(j) and within(text[i], text[j]):
-                joined = sets.join(i, j)
+            if label[i] != label[j] and within(text[i], text[j]):
+                label[label == label[j]] = label[i]
                 out.append((i, j))
-        if joined:
-            roots = sets.roots()
     return out
 
 
-class Marked:
-    """Rows (doc_id, ...) of a table that is written in order of doc_id; gives those of a batch's documents, file by file."""
-
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path, columns
+def _packed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a document as one row, of which a document has as many as lines at most; for a broadcast join if they are few."""
+    out = df.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("_lines"))
+    return F.broadcast(out) if df.count() <= 500_000 else out
 
-    def of(self, doc_ids: np.ndarray) -> pa.Table:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
 
-        files, folder = fs.FileSystem.from_uri(self.path)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wanted lines with their text and sketch."""
+    for batch in batches:
         out = []
-        low, high = int(doc_ids.min()), int(doc_ids.max())
-        wanted = np.unique(doc_ids)
-        for info in files.get_file_info(fs.FileSelector(folder)):
-            if not info.path.endswith(".parquet"):
-                continue
-            file = pq.ParquetFile(files.open_input_file(info.path))
-            i = file.schema_arrow.get_field_index("doc_id")
-            for g in range(file.num_row_groups):
-                s = file.metadata.row_group(g).column(i).statistics
-                if s is not None and s.has_min_max and (s.max < low or s.min > high):
-                    continue
-                t = file.read_row_group(g, columns=["doc_id", *self.columns])
-                x = t.column("doc_id").to_numpy()
-                at = np.minimum(np.searchsorted(wanted, x), len(wanted) - 1)
-                out.append(t.filter(pa.array(wanted[at] == x)))
-        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ["doc_id", *self.columns]})
-
-
-def _by_doc(df: DataFrame, folder: str, name: str) -> str:
-    """Writes rows in order of doc_id, in files of disjoint ranges."""
-    n = partitions(df.sparkSession)
-    cuts = cut_points(df, "doc_id", n)
-    save(df.repartitionById(len(cuts) + 1, slot(F.col("doc_id"), cuts)).sortWithinPartitions("doc_id", "line_no"), folder, name)
-    return f"{folder}/{name}"
-
-
-def _marked_rows(path: str, columns: list[str], doc_ids: pa.Array) -> dict[int, list[tuple]]:
-    known = doc_ids.drop_null().to_numpy()
-    by: dict[int, list[tuple]] = {}
-    if len(known):
-        t = Marked(path, columns).of(known)
-        for d, *rest in zip(*(t.column(c).to_pylist() for c in ["doc_id", *columns]), strict=True):
-            by.setdefault(d, []).append(tuple(rest))
-    return by
+        for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = text.split("\n")
+            out += [(x["line"], x["set"], x["k"], normalised(own[x["line_no"]])) for x in lines if x["line_no"] < len(own)]
+        out = [x for x in out if x[3]]
+        if not out:
+            continue
+        node, group, k, text = (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True))
+        w = batch_words(*utf8(text), fold=False)
+        line = line_hashes(w, w.hashes, np.arange(len(out)))
+        _, r = records(w, w.hashes, np.arange(len(out)), np.arange(len(out)), np.minimum(pc.utf8_length(text).to_numpy(), 65535))
+        # A line's records of either kind are alike but for the key.
+        late = k.to_numpy() >= len(KEYS[0])
+        own = np.empty(len(out), RECORD)
+        for kind, mine in enumerate((~late, late)):
+            some = r[r["k"] == len(KEYS[0]) * kind]
+            own[mine] = some[np.searchsorted(some["node"], np.flatnonzero(mine))]
+        own["node"] = line
+        body = pa.array([x.tobytes() for x in own], pa.binary())
+        # Another row with the same doc_id may have another line there.
+        same = pa.array(line.view(np.int64) == node.to_numpy())
+        yield pa.record_batch([node, group, k, text, body], names=["node", "set", "k", "text", "body"]).filter(same)
+
+
+MET = "kind int, a long, b long, n int, body binary"
 
 
 def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, line_no) of the occurrences that go."""
     spark = docs.sparkSession
     n = partitions(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = save(plain.mapInArrow(_occurrences, "doc_id long, line_no long, line long, length long, keys array<long>"), folder, "occurrences")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(n, -(-2 * size // SHARD))
+    packed = plain.mapInArrow(_sketch(shards), "shard int, keys boolean, body binary").repartitionById(shards, F.col("shard"))
+    met = save(packed.mapInArrow(_meet, MET), folder, "met")
     place = F.struct("doc_id", "line_no")
+    rows = met.where(F.col("kind") == OCCURRENCE).select(F.col("a").alias("line"), F.col("b").alias("doc_id"), F.col("n").alias("line_no"))
+    late = met.where(F.col("kind") == DEFERRED).select(F.col("a").alias("node"), F.col("b").alias("key"), "body")
+    members = met.where(F.col("kind") == MEMBER)
+    if not late.isEmpty():
+        tasks = blocks(late.distinct(), "key", "node", LONG).repartition(n, "task").sortWithinPartitions("task")
+        members = members.unionByName(tasks.select("task", "body").mapInArrow(_late_groups, MET))
+    members = save(members.select(F.col("b").alias("line"), F.col("a").alias("set"), F.col("n").alias("k")), folder, "members")
     nodes = save(rows.groupBy("line").agg(F.min(place).alias("place"), (F.count("*") > 1).alias("repeats")), folder, "nodes")
-    lists = rows.select(F.explode("keys").alias("key"), "line", "length").repartition(n, "key").sortWithinPartitions("key")
-    members = save(lists.mapInArrow(_shared_keys, "set long, line long").distinct(), folder, "members")
-    candidates = save(members.join(nodes, "line").select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"), "line", "set"), folder, "candidates")
-    where = _by_doc(candidates, folder, "wanted")
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marked = _marked_rows(where, ["line_no", "line", "set"], batch.column(0))
-            out = []
-            for i, d in enumerate(batch.column(0).to_pylist()):
-                if d in marked:
-                    lines = batch.column(1)[i].as_py().split("\n")
-                    out += [(line, c, normalised(lines[no])) for no, line, c in marked[d] if no < len(lines)]
-            if out:
-                a, c, t = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(t)], names=["node", "set", "text"])
-
-    read = plain.where("text is not null").mapInArrow(texts, "node long, set long, text string")
-    links = connected_components(solve(blocks(read, "set", "node"), _similar_lines, n), folder, "lines")
+    wanted = save(nodes.join(small_side(members), "line").select("place.doc_id", "place.line_no", "line", "set", "k"), folder, "wanted")
+    read = plain.join(_packed(wanted, ["line_no", "line", "set", "k"]), "doc_id").select("text", "_lines").mapInArrow(_texts, "node long, set long, k int, text string, body binary")
+    tasks = blocks(save(read, folder, "texts"), "set", "node", BLOCK)
+    links = connected_components(solve(tasks, _similar_lines, n), folder, "lines")
     links = small_side(save(links.withColumnRenamed("node", "line"), folder, "linked"))
     # Only lines that repeat or are linked can go.
     final = nodes.join(links, "line", "left").where("repeats or component is not null").withColumn("component", F.coalesce("component", "line"))
@@ -499,24 +523,26 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with repeated lines taken out of their text, and n_lines and n_removed added."""
     spark = docs.sparkSession
     folder = work_dir(spark, "lines")
-    gone = _by_doc(dropped_lines(docs.select("doc_id", F.col(text).alias("text")), folder), folder, "gone")
+    gone = save(dropped_lines(docs.select("doc_id", F.col(text).alias("text")), folder), folder, "gone")
     names = [n if n not in docs.columns else f"dedup_{n}" for n in ("n_lines", "n_removed")]
+    key, extra = next(n for n in ("_doc", "_dedup_doc", "_own_doc") if n not in docs.columns), next(n for n in ("_lines", "_dedup_lines", "_own_lines") if n not in docs.columns)
+    packed = _packed(gone, ["line_no"]).withColumnsRenamed({"doc_id": key, "_lines": extra})
+    marked = docs.join(packed, docs["doc_id"].cast("long") == packed[key], "left").drop(key)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index(text)
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            marked = _marked_rows(gone, ["line_no"], ids.cast(pa.int64()))
             column = batch.column(i)
             raw, offsets = utf8(column)
             feeds = np.concatenate(([0], np.cumsum(raw == 0x0A)))
             lines = feeds[offsets[1:]] - feeds[offsets[:-1]] + 1
             lines[np.diff(offsets) == 0] = 0
             removed = np.zeros(len(column), np.int64)
+            lists = batch.column(batch.schema.get_field_index(extra))
             new = {}
-            for k, d in enumerate(ids.to_pylist()):
-                if d in marked and column[k].is_valid:
-                    drop = {no for (no,) in marked[d]}
+            for k in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if column[k].is_valid:
+                    drop = {x["line_no"] for x in lists[k].as_py()}
                     old = column[k].as_py().split("\n")
                     stay = [x for no, x in enumerate(old) if no not in drop]
                     new[k], removed[k] = "\n".join(stay), len(old) - len(stay)
@@ -524,8 +550,8 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                 mask = np.zeros(len(column), bool)
                 mask[list(new)] = True
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(new.values()), column.type))
-            arrays = [column if k == i else batch.column(k) for k in range(batch.num_columns)]
-            yield pa.record_batch([*arrays, pa.array(lines), pa.array(removed)], names=[*batch.schema.names, *names])
+            arrays = [column if k == i else batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != extra]
+            yield pa.record_batch([*arrays, pa.array(lines), pa.array(removed)], names=[*(n for n in batch.schema.names if n != extra), *names])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    return docs.mapInArrow(task, schema)
+    return marked.mapInArrow(task, schema)

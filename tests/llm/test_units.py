@@ -161,36 +161,72 @@ def test_levenshtein_and_similarity():
         assert lines.within(a, b) == (plain(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
 
 
-def test_two_blocks_agree_within_the_distance():
-    r = np.random.default_rng(0)
-    v = r.integers(0, 2**64, 300, dtype=np.uint64)
-    for bits in range(4):
-        w = v.copy()
-        for _ in range(bits):
-            w ^= np.uint64(1) << r.integers(0, 64, len(w), dtype=np.uint64)
-        assert ((v[:, None] & lines._MASKS) == (w[:, None] & lines._MASKS)).any(axis=1).all()
-
-
-def test_near_values_connects_all_pairs_and_defers_long_runs():
+def some_records(n, keys):
+    """Records of random keys; every third is a near copy, by sketch, of the one before."""
     r = np.random.default_rng(1)
-    base = r.integers(0, 2**64, 40, dtype=np.uint64)
-    v = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(1 << 63), base ^ np.uint64(7)]))
-    pair, vals = np.tile(np.arange(10), len(v)), np.repeat(v, 10)
-    order = np.lexsort((vals & lines._MASKS[pair], pair))
-    table = pa.record_batch([pa.array(pair[order].astype(np.int8)), pa.array(vals[order].view(np.int64))], names=["pair", "sim"])
-    number = {int(x): i for i, x in enumerate(v.view(np.int64))}
-    got, want = Union(len(v)), Union(len(v))
-    for b in lines._near_values(iter([table.slice(i, 37) for i in range(0, table.num_rows, 37)])):
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got.join(number[x], number[y])
-    for i, a in enumerate(v):
-        for j in range(i):
-            if int(a ^ v[j]).bit_count() <= 3:
-                want.join(i, j)
-    assert got.roots().tolist() == want.roots().tolist()
-    hot = pa.record_batch([pa.array(np.zeros(9001, np.int8)), pa.array((np.arange(9001, dtype=np.int64) << 26) | 5)], names=["pair", "sim"])
-    out = list(lines._near_values(iter([hot.slice(i, 300) for i in range(0, 9001, 300)])))
-    assert sum(sum(b.column(2).to_pylist()) for b in out) == 9001
+    x = np.empty(n, lines.RECORD)
+    x["key"], x["node"], x["n"] = r.integers(0, keys, n), r.integers(0, 2**63, n), 100
+    x["k"] = x["key"] % 9
+    x["sim"], x["mins"] = r.integers(0, 2**64, n, dtype=np.uint64), r.integers(0, 256, (n, lines.MINS))
+    for name in ("sim", "mins", "key", "k"):
+        x[name][1::3] = x[name][::3][: len(x[1::3])]
+    x["sim"] ^= r.integers(0, 2, n).astype(np.uint64) << np.uint64(5)
+    x["mins"][1::3, 0] = 255 - x["mins"][::3, 0][: len(x[1::3])]
+    # Under its key's two minimal hashes a record agrees with all others of the run, and under those before with none.
+    for i in range(n):
+        x["mins"][i, : x["k"][i]] = r.integers(0, 256, x["k"][i])
+        x["mins"][i, [x["k"][i], x["k"][i] + 1]] = 1
+    return x
+
+
+def together(groups):
+    """The connected groups of members (group, node)."""
+    by = {}
+    for g, v in groups:
+        by.setdefault(g, []).append(v)
+    number = {v: i for i, v in enumerate(sorted({v for _, v in groups}))}
+    u = Union(len(number))
+    for vs in by.values():
+        for v in vs:
+            u.join(number[vs[0]], number[v])
+    return {v: u.find(i) for v, i in number.items()}
+
+
+def plain_groups(x):
+    out = []
+    for j, b in enumerate(x):
+        for i, a in enumerate(x[:j]):
+            same = a["mins"] == b["mins"]
+            early = any(same[p] and same[q] for p, q in lines.KEYS[0][: a["k"]])
+            if a["key"] == b["key"] and int(a["sim"] ^ b["sim"]).bit_count() <= lines.DISTANCE[0] and same.sum() >= lines.AGREE and not early:
+                out += [((i, j), int(a["node"])), ((i, j), int(b["node"]))]
+    return out
+
+
+@pytest.mark.parametrize("keys", [1, 3, 40, 300])
+def test_candidate_groups_connect_what_all_pairs_do(keys):
+    x = some_records(400, keys)
+    group, node, _ = lines.candidate_groups(np.concatenate((x, x[::2])))
+    want = together(plain_groups(x))
+    assert together(list(zip(group.tolist(), node.tolist(), strict=True))) == want and len(want) > 50 and len(group) <= 400
+    assert not len(lines.candidate_groups(x[:0])[0]) and not len(lines.candidate_groups(x[:1])[0])
+
+
+def test_overfull_shards_pass_hot_keys_on(monkeypatch):
+    monkeypatch.setattr(lines, "OVERFULL", 60 * lines.RECORD.itemsize)
+    monkeypatch.setattr(lines, "LONG", 20)
+    x = some_records(400, 40)
+    hot = x["key"] == 7
+    x = np.concatenate((x, np.repeat(x[hot], 4)))
+    x["node"] = np.arange(len(x))
+    batches = [pa.record_batch([pa.array([0]), pa.array([True]), pa.array([x[i : i + 25].tobytes()])], names=["shard", "keys", "body"]) for i in range(0, len(x), 25)]
+    out = pa.Table.from_batches(list(lines._meet(iter(batches)))).to_pylist()
+    late = [r for r in out if r["kind"] == lines.DEFERRED]
+    assert 7 in {r["b"] for r in late}
+    tasks = pa.record_batch([pa.array([r["b"] for r in late]), pa.array([r["body"] for r in late])], names=["task", "body"]).sort_by("task")
+    out += pa.Table.from_batches(list(lines._late_groups(iter([tasks])))).to_pylist()
+    members = [((r["a"]), r["b"]) for r in out if r["kind"] == lines.MEMBER]
+    assert together(members) == together(plain_groups(x))
 
 
 def test_link_sets_equals_all_pairs():
