@@ -6,7 +6,7 @@ similarity, 1 - Levenshtein / longer length, is SIMILARITY or more, as far as th
 
   1. one pass over the texts gives occurrences, each line's sketch and its block keys. A sketch is the SimHash of its words (64 bits)
      and MINS minimal hashes of neighbouring words; a block key joins two of them. Lines of few words have a sketch and keys of runs
-     of three bytes instead (three minimal hashes a key), so that changed letters count too; between LEAST and FEW words they have both;
+     of GRAM bytes instead, so that changed letters count too; between LEAST and FEW words they have both;
   2. records (key, node, sketch, length) travel packed, by shards of the keys. Lines that meet under a key are candidates if their
      SimHashes differ in at most DISTANCE bits, their lengths allow the similarity, and AGREE of the minimal hashes are equal; a pair
      that meets under several keys counts under the first alone. Of each run of a key, the connected groups of candidates go on.
@@ -41,14 +41,14 @@ from .groups import blocks, connected_components, runs, solve
 from .store import partitions, save, small_side, work_dir
 from .words import LOWER, Words, batch_words, mix64, utf8
 
-SIMILARITY, AGREE, MINS = 0.8, 3, 14
+SIMILARITY, AGREE, MINS = 0.8, 4, 14
 #: Lines of so many words have keys of words, those below FEW have keys of runs of bytes; between the two they have both.
-LEAST, FEW = 10, 16
+LEAST, FEW, GRAM = 16, 22, 5
 #: Bits in which the SimHashes of candidates may differ, of words and of runs of bytes.
-DISTANCE = np.array([22, 28])
+DISTANCE = np.array([20, 26])
 #: Numbers of the minimal hashes that make a key, of neighbouring words and then of runs of bytes; keys are known by their place here.
-KEYS = [[(i, (i + 1) % 14) for i in range(14)], [(i, (i + 1) % 14, (i + 3) % 14) for i in range(14)]]
-ALL_KEYS = KEYS[0] + KEYS[1]
+KEYS = [[(i, (i + 1) % 14) for i in range(14)]] * 2
+_PARTS = [np.array(numbers) for numbers in KEYS]
 #: Bytes of text that are sketched together; bytes of records that a shard is meant for, and at which it is overfull; nodes of a long run.
 TOGETHER, SHARD, OVERFULL, LONG = 4_000_000, 64_000_000, 160_000_000, 4096
 #: Lines of a candidate group that one task holds.
@@ -141,20 +141,25 @@ def joined(tables: list[np.ndarray], keys: list[tuple[int, ...]], seed: int) ->
 
 
 def gram_hashes(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of three bytes of some rows' words, joined by blanks between two edges; and where each row's begin."""
+    """Hashes of the runs of GRAM bytes of some rows' words, joined by blanks between two edges and filled up to such a run; and where
+    each row's begin."""
     size = np.diff(w.first)[rows]
     first = np.concatenate(([0], np.cumsum(size)))
     at = np.arange(first[-1]) + np.repeat(w.first[:-1][rows] - first[:-1], size)
     lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), w.distinct.take(pa.array(w.codes[at])))
-    joined = pc.binary_join_element_wise(b"\x01", pc.binary_join(lists, b" "), b"\x02", b"")
+    joined = pc.binary_join_element_wise(b"\x01", pc.binary_join(lists, b" "), b"\x02" * (GRAM - 2), b"")
     ends = np.concatenate(([0], np.cumsum(pc.binary_length(joined).to_numpy()))).astype(np.int64)
     raw = np.frombuffer(b"".join(joined.to_pylist()), np.uint8).astype(np.uint64)
     if not len(raw):
         return raw, ends
-    h = mix64((raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]) * _G)
-    keep = np.ones(len(h), bool)
-    keep[ends[1:-1] - 2] = keep[ends[1:-1] - 1] = False  # runs over the end of a row
-    return h[keep], ends - 2 * np.arange(len(ends))
+    n = len(raw) - GRAM + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        h = h << np.uint64(8) | raw[i : i + n]
+    keep = np.ones(n, bool)
+    for i in range(1, GRAM):
+        keep[ends[1:-1] - i] = False  # runs over the end of a row
+    return mix64(h[keep] * _G), ends - (GRAM - 1) * np.arange(len(ends))
 
 
 def sketches(w: Words, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -284,27 +289,24 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Ite
             a = b
 
 
-def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two lengths allow the similarity."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    return np.abs(a - b) <= np.maximum(a, b) * (1 - SIMILARITY) + 1e-6
-
-
 def candidates(r: np.ndarray, i: np.ndarray, j: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     """Whether records that meet under key k are of different lines, near by SimHash, length and minimal hashes, and share no key
     before it."""
     k = np.broadcast_to(k, i.shape)
     late = (k >= len(KEYS[0])).astype(np.int64)
-    ok = (np.bitwise_count(r["sim"][i] ^ r["sim"][j]) <= DISTANCE[late]) & (r["node"][i] != r["node"][j]) & _fits(r["n"][i], r["n"][j])
+    a, b = r["n"][i].astype(np.int64), r["n"][j].astype(np.int64)
+    ok = (np.bitwise_count(r["sim"][i] ^ r["sim"][j]) <= DISTANCE[late]) & (r["node"][i] != r["node"][j]) & (np.abs(a - b) <= np.maximum(a, b) * (1 - SIMILARITY) + 1e-6)
     at = np.flatnonzero(ok)
-    same = r["mins"][i[at]] == r["mins"][j[at]]
-    ok[at] = good = same.sum(axis=1) >= AGREE
+    mins = np.ascontiguousarray(r["mins"])
+    same = mins[i[at]] == mins[j[at]]
+    good = same.sum(axis=1) >= AGREE
+    ok[at[~good]] = False
     at, same = at[good], same[good]
-    for kind, numbers in enumerate(KEYS):
-        for q, parts in enumerate(numbers[:-1]):
-            earlier = (late[at] == kind) & (q + len(KEYS[0]) * kind < k[at])
-            if earlier.any():
-                ok[at[earlier & same[:, list(parts)].all(axis=1)]] = False
+    for kind, parts in enumerate(_PARTS):
+        mine = late[at] == kind
+        if mine.any():
+            shared = same[mine][:, parts].all(axis=2)
+            ok[at[mine][shared.argmax(axis=1) + len(KEYS[0]) * kind < k[at[mine]]]] = False
     return ok
 
 
@@ -322,9 +324,9 @@ def _spread(r: np.ndarray, k: int) -> np.ndarray:
     return label
 
 
-def candidate_groups(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members (group, node, key's place) of the connected groups of each key's run; short runs are compared all at once, by distance
-    in the order."""
+def candidate_groups(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members (group, node, key's place and group's size) of the connected groups of each key's run; short runs are compared all at once,
+    by distance in the order."""
     r = r[np.lexsort((r["node"], r["k"], r["key"]))]
     new = np.ones(len(r), bool)
     other = (r["key"][1:] != r["key"][:-1]) | (r["k"][1:] != r["k"][:-1])
@@ -352,16 +354,18 @@ def candidate_groups(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         label = new
     for a, n in zip(starts[size > 64].tolist(), size[size > 64].tolist(), strict=True):
         label[a : a + n] = a + _spread(r[a : a + n], int(r["k"][a]))
-    some = np.flatnonzero(np.bincount(label, minlength=len(r))[label] > 1) if len(r) else label
+    members = np.bincount(label, minlength=len(r))
+    some = np.flatnonzero(members[label] > 1)
     root = label[some]
     group = mix64(mix64(r["key"][root].astype(np.uint64) * _G + r["k"][root]) + r["node"][root])
-    return group, r["node"][some], r["k"][some]
+    return group, r["node"][some], r["k"][some], members[root]
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, body: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray | None = None, body: np.ndarray | None = None) -> pa.RecordBatch:
     bodies = pa.nulls(len(a), pa.binary()) if body is None else pa.array([x.tobytes() for x in body], pa.binary())
+    sizes = pa.nulls(len(a), pa.int32()) if size is None else pa.array(size.astype(np.int32))
     long = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
-    return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *long, pa.array(n.astype(np.int32)), bodies], names=["kind", "a", "b", "n", "body"])
+    return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *long, pa.array(n.astype(np.int32)), sizes, bodies], names=["kind", "a", "b", "n", "size", "body"])
 
 
 OCCURRENCE, MEMBER, DEFERRED = 0, 1, 2
@@ -375,7 +379,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hot: dict[int, np.ndarray] = {}
 
     def deferred(shard: int, r: np.ndarray) -> pa.RecordBatch:
-        return _rows(DEFERRED, r["node"], r["key"].astype(np.uint64) | np.uint64(shard) << np.uint64(32), r["k"], r)
+        return _rows(DEFERRED, r["node"], r["key"].astype(np.uint64) | np.uint64(shard) << np.uint64(32), r["k"], body=r)
 
     for batch in batches:
         for shard, keys, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -398,55 +402,57 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[shard] = [r[~late].copy()]
                 size[shard] = held[shard][0].nbytes // 2  # the next look is after as much again
     for shard in list(held):
-        group, node, k = candidate_groups(np.concatenate(held.pop(shard)))
+        group, node, k, size_of = candidate_groups(np.concatenate(held.pop(shard)))
         if len(group):
-            yield _rows(MEMBER, group, node, k)
+            yield _rows(MEMBER, group, node, k, size_of)
 
 
 def _late_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in runs(batches, "task"):
         r = np.frombuffer(b"".join(table.column("body").to_pylist()), RECORD)
-        group, node, k = candidate_groups(r)
+        group, node, k, size_of = candidate_groups(r)
         if len(group):
             task = mix64(table.column("task").to_numpy()[:1].view(np.uint64))
-            yield _rows(MEMBER, mix64(group + task), node, k)
+            yield _rows(MEMBER, mix64(group + task), node, k, size_of)
 
 
-def _counts(text: list[str], width: int, classes: int) -> np.ndarray:
-    """Counts of the letters, or runs of letters, of each text, by class."""
-    out = np.zeros((len(text), classes), np.int32)
-    for i, t in enumerate(text):
-        x = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
-        if width == 2:
-            x = (x[1:] * 31 + x[:-1]) * 0x9E3779B1 >> 7
-        out[i] = np.bincount(x % classes, minlength=classes)
-    return out
+def _counts(text: str) -> np.ndarray:
+    """Counts of the pairs of letters, by class."""
+    x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.bincount(((x[1:] * 31 + x[:-1]) * 0x9E3779B1 >> 7) % 512, minlength=512)
 
 
-def _apart(counts: np.ndarray, i: int, cand: np.ndarray) -> np.ndarray:
-    """How many of the counted things the one or the other text has more; an edit makes one of a letter, and two of a pair of letters."""
-    d = counts[cand] - counts[i]
-    more = np.maximum(d, 0).sum(axis=1)
-    return np.maximum(more, more - d.sum(axis=1))
+def _apart(a: np.ndarray, b: np.ndarray) -> float:
+    """A bound of the distance from below: an edit changes two pairs of letters of either text at most."""
+    d = a - b
+    return max(d[d > 0].sum(), -d[d < 0].sum()) / 2
 
 
 def _similar_lines(table: pa.Table) -> list[tuple[int, int]]:
     text = table.column("text").to_pylist()
     n = len(text)
+    if n == 2:
+        return [(0, 1)] if within(*text) else []
     r = np.frombuffer(b"".join(table.column("body").to_pylist()), RECORD)
     k = int(table.column("k")[0].as_py())
-    one, two = _counts(text, 1, 64), _counts(text, 2, 256) if n > 2 else None
     label, out = np.arange(n), []
-    for i in range(n - 1):
-        cand = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        cand = cand[candidates(r, np.full(len(cand), i), cand, k)]
-        allowed = np.maximum(r["n"][cand], r["n"][i]) * (1 - SIMILARITY) + 1e-6
-        for counts, edits in ((one, 1), (two, 2)):
-            if len(cand) and counts is not None:
-                keep = (_apart(counts, i, cand) <= edits * allowed) | (r["n"][cand] == 65535)
-                cand, allowed = cand[keep], allowed[keep]
-        for j in cand.tolist():
-            if label[i] != label[j] and within(text[i], text[j]):
+    # Rows of the group are held against all later ones, some at once.
+    step = max(1, 1 << 14 >> n.bit_length())
+    counts: dict[int, np.ndarray] = {}
+    for a in range(0, n - 1, step):
+        i, j = np.nonzero(np.arange(a, min(a + step, n - 1))[:, None] < np.arange(n))
+        i += a
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        near = candidates(r, i, j, k)
+        for i, j in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            if label[i] == label[j]:
+                continue
+            for x in (i, j):
+                if x not in counts:
+                    counts[x] = _counts(text[x])
+            allowed = max(r["n"][i], r["n"][j]) * (1 - SIMILARITY) + 1e-6
+            if _apart(counts[i], counts[j]) <= allowed and within(text[i], text[j]):
                 label[label == label[j]] = label[i]
                 out.append((i, j))
     return out
@@ -464,13 +470,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = text.split("\n")
-            out += [(x["line"], x["set"], x["k"], normalised(own[x["line_no"]])) for x in lines if x["line_no"] < len(own)]
-        out = [x for x in out if x[3]]
+            out += [(x["line"], x["set"], x["k"], x["size"], normalised(own[x["line_no"]])) for x in lines if x["line_no"] < len(own)]
         if not out:
             continue
-        node, group, k, text = (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True))
+        w = batch_words(*utf8(pa.array([x[4] for x in out])), fold=False)
+        line = line_hashes(w, w.hashes, np.arange(len(out))).view(np.int64).tolist()
+        # Another row with the same doc_id may have another line there.
+        out = [x for x, same in zip(out, line, strict=True) if x[0] == same]
+        if not out:
+            continue
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        node, group, k, size, text = (pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))
         w = batch_words(*utf8(text), fold=False)
-        line = line_hashes(w, w.hashes, np.arange(len(out)))
         _, r = records(w, w.hashes, np.arange(len(out)), np.arange(len(out)), np.minimum(pc.utf8_length(text).to_numpy(), 65535))
         # A line's records of either kind are alike but for the key.
         late = k.to_numpy() >= len(KEYS[0])
@@ -478,14 +489,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, mine in enumerate((~late, late)):
             some = r[r["k"] == len(KEYS[0]) * kind]
             own[mine] = some[np.searchsorted(some["node"], np.flatnonzero(mine))]
-        own["node"] = line
+        own["node"] = node.to_numpy().view(np.uint64)
         body = pa.array([x.tobytes() for x in own], pa.binary())
-        # Another row with the same doc_id may have another line there.
-        same = pa.array(line.view(np.int64) == node.to_numpy())
-        yield pa.record_batch([node, group, k, text, body], names=["node", "set", "k", "text", "body"]).filter(same)
+        yield pa.record_batch([node, group, k, size, text, body], names=["node", "set", "k", "size", "text", "body"])
 
 
-MET = "kind int, a long, b long, n int, body binary"
+MET = "kind int, a long, b long, n int, size int, body binary"
 
 
 def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
@@ -504,11 +513,16 @@ def dropped_lines(docs: DataFrame, folder: str) -> DataFrame:
     if not late.isEmpty():
         tasks = blocks(late.distinct(), "key", "node", LONG).repartition(n, "task").sortWithinPartitions("task")
         members = members.unionByName(tasks.select("task", "body").mapInArrow(_late_groups, MET))
-    members = save(members.select(F.col("b").alias("line"), F.col("a").alias("set"), F.col("n").alias("k")), folder, "members")
+    members = save(members.select(F.col("b").alias("line"), F.col("a").alias("set"), F.col("n").alias("k"), "size"), folder, "members")
     nodes = save(rows.groupBy("line").agg(F.min(place).alias("place"), (F.count("*") > 1).alias("repeats")), folder, "nodes")
-    wanted = save(nodes.join(small_side(members), "line").select("place.doc_id", "place.line_no", "line", "set", "k"), folder, "wanted")
-    read = plain.join(_packed(wanted, ["line_no", "line", "set", "k"]), "doc_id").select("text", "_lines").mapInArrow(_texts, "node long, set long, k int, text string, body binary")
-    tasks = blocks(save(read, folder, "texts"), "set", "node", BLOCK)
+    wanted = save(nodes.join(small_side(members), "line").select("place.doc_id", "place.line_no", "line", "set", "k", "size"), folder, "wanted")
+    read = plain.join(_packed(wanted, ["line_no", "line", "set", "k", "size"]), "doc_id").select("text", "_lines").mapInArrow(_texts, "node long, set long, k int, size int, text string, body binary")
+    # A group beyond BLOCK is dealt into blocks, and each pair of blocks is a task of its own.
+    if wanted.where(F.col("size") > BLOCK).isEmpty():
+        tasks = read.withColumnRenamed("set", "task")
+    else:
+        read = save(read, folder, "texts")
+        tasks = read.where(F.col("size") <= BLOCK).withColumnRenamed("set", "task").unionByName(blocks(read.where(F.col("size") > BLOCK), "set", "node", BLOCK // 2).drop("set"))
     links = connected_components(solve(tasks, _similar_lines, n), folder, "lines")
     links = small_side(save(links.withColumnRenamed("node", "line"), folder, "linked"))
     # Only lines that repeat or are linked can go.

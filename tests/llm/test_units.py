@@ -206,7 +206,7 @@ def plain_groups(x):
 @pytest.mark.parametrize("keys", [1, 3, 40, 300])
 def test_candidate_groups_connect_what_all_pairs_do(keys):
     x = some_records(400, keys)
-    group, node, _ = lines.candidate_groups(np.concatenate((x, x[::2])))
+    group, node, _, _ = lines.candidate_groups(np.concatenate((x, x[::2])))
     want = together(plain_groups(x))
     assert together(list(zip(group.tolist(), node.tolist(), strict=True))) == want and len(want) > 50 and len(group) <= 400
     assert not len(lines.candidate_groups(x[:0])[0]) and not len(lines.candidate_groups(x[:1])[0])
