@@ -8,8 +8,8 @@ similarity, 1 - Levenshtein / longer length, is SIMILARITY or more, as far as th
      and MINS minimal hashes of neighbouring words; a block key joins two of them. Lines of few words have a sketch and keys of runs
      of GRAM bytes instead, so that changed letters count too; between LEAST and FEW words they have both;
   2. records (key, node, sketch, length) travel packed, by shards of the keys. Lines that meet under a key are candidates if their
-     SimHashes differ in at most DISTANCE bits, their lengths allow the similarity, and AGREE of the minimal hashes are equal; a pair
-     that meets under several keys counts under the first alone. Of each run of a key, the connected groups of candidates go on.
+     lengths allow the similarity and their SimHashes differ in at most DISTANCE bits, which is less the fewer of the minimal hashes are
+     equal; a pair that meets under several keys counts under the first alone. Of each run of a key, the connected groups of candidates go on.
      Keys with more than LONG nodes in an overfull shard are left to bounded tasks by pairs of blocks;
   3. only such lines are read as text. In a group, every pair of candidates that isn't connected yet is held against bounds that no
      similar pair breaks (counts of letters and of pairs of letters), and then against a bit-parallel Levenshtein distance;
@@ -41,11 +41,11 @@ from .groups import blocks, connected_components, runs, solve
 from .store import partitions, save, small_side, work_dir
 from .words import LOWER, Words, batch_words, mix64, utf8
 
-SIMILARITY, AGREE, MINS = 0.8, 4, 14
+SIMILARITY, MINS = 0.8, 14
 #: Lines of so many words have keys of words, those below FEW have keys of runs of bytes; between the two they have both.
 LEAST, FEW, GRAM = 16, 22, 5
-#: Bits in which the SimHashes of candidates may differ, of words and of runs of bytes.
-DISTANCE = np.array([20, 26])
+#: By the number of equal minimal hashes, the bits in which the SimHashes of candidates may differ, of words and of runs of bytes.
+DISTANCE = np.array([[-1, -1, -1, 11, 16, *[20] * 10], [-1, -1, -1, 17, 22, *[26] * 10]])
 #: Numbers of the minimal hashes that make a key, of neighbouring words and then of runs of bytes; keys are known by their place here.
 KEYS = [[(i, (i + 1) % 14) for i in range(14)]] * 2
 _PARTS = [np.array(numbers) for numbers in KEYS]
@@ -295,11 +295,12 @@ def candidates(r: np.ndarray, i: np.ndarray, j: np.ndarray, k: int | np.ndarray)
     k = np.broadcast_to(k, i.shape)
     late = (k >= len(KEYS[0])).astype(np.int64)
     a, b = r["n"][i].astype(np.int64), r["n"][j].astype(np.int64)
-    ok = (np.bitwise_count(r["sim"][i] ^ r["sim"][j]) <= DISTANCE[late]) & (r["node"][i] != r["node"][j]) & (np.abs(a - b) <= np.maximum(a, b) * (1 - SIMILARITY) + 1e-6)
+    d = np.bitwise_count(r["sim"][i] ^ r["sim"][j]).astype(np.int64)
+    ok = (d <= DISTANCE[late, -1]) & (r["node"][i] != r["node"][j]) & (np.abs(a - b) <= np.maximum(a, b) * (1 - SIMILARITY) + 1e-6)
     at = np.flatnonzero(ok)
     mins = np.ascontiguousarray(r["mins"])
     same = mins[i[at]] == mins[j[at]]
-    good = same.sum(axis=1) >= AGREE
+    good = d[at] <= DISTANCE[late[at], same.sum(axis=1)]
     ok[at[~good]] = False
     at, same = at[good], same[good]
     for kind, parts in enumerate(_PARTS):

@@ -198,7 +198,7 @@ def plain_groups(x):
         for i, a in enumerate(x[:j]):
             same = a["mins"] == b["mins"]
             early = any(same[p] and same[q] for p, q in lines.KEYS[0][: a["k"]])
-            if a["key"] == b["key"] and int(a["sim"] ^ b["sim"]).bit_count() <= lines.DISTANCE[0] and same.sum() >= lines.AGREE and not early:
+            if a["key"] == b["key"] and int(a["sim"] ^ b["sim"]).bit_count() <= lines.DISTANCE[0][same.sum()] and not early:
                 out += [((i, j), int(a["node"])), ((i, j), int(b["node"]))]
     return out
 
