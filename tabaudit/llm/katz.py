@@ -110,14 +110,14 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, codes, first
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of at most DOCS rows and about BYTES of text, or one row."""
+def _slices(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of at most DOCS rows and about `size` (or BYTES) bytes of text, or one row."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         sizes = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < batch.num_rows:
-            b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BYTES, "right"))
+            b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (size or BYTES), "right"))
             b = min(max(b, a + 1), a + DOCS)
             yield batch.slice(a, b - a)
             a = b

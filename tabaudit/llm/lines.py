@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from .groups import blocks, connected_components, runs, solve
 from .store import partitions, save, small_side, work_dir
+from .tokens import forget
 from .words import LOWER, Words, batch_words, mix64, utf8
 
 SIMILARITY, MINS = 0.8, 14
@@ -248,6 +249,7 @@ def _sketch(shards: int):
     """Packed records by shard of the key, and the occurrences of a slice as one row to any shard."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in sliced(batches, TOGETHER):
             raw, offsets = utf8(part.column(1))
             bounds, row = line_bounds(raw, offsets)

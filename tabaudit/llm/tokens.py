@@ -65,6 +65,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drops what this worker remembers: stages that need memory of their own call it, since workers are used again."""
+    encoder.cache_clear()
+
+
 class Encoder:
     """Encodes string columns and remembers the ids of distinct cuts."""
 

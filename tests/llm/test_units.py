@@ -283,3 +283,19 @@ def test_runs_join_batches():
     b = pa.record_batch([pa.array([1, 1, 2, 3, 3, 3]), pa.array(range(6))], names=["k", "v"])
     got = [t.column("v").to_pylist() for t in runs(iter([b.slice(0, 1), b.slice(1, 3), b.slice(4, 0), b.slice(4)]), "k")]
     assert got == [[0, 1], [2], [3, 4, 5]]
+
+
+def test_probabilities_sum_to_one_with_empty_shards():
+    """Contexts of two short texts leave shards empty; each context's words and the unknown word have all of its probability."""
+    texts = pa.array(["a b", "a c"])
+    tokens, first = quality.token_stream(texts)
+    shards = quality.train(tokens, first)
+    words = ["a", "b", "c", None, "unseen"]
+    for context in ("", "a", "a b", "x y"):
+        total = 0.0
+        for w in words:
+            text = context if w is None else f"{context} {w}".strip()
+            t, f = quality.token_stream(pa.array([text]))
+            p = np.exp(quality.log_probabilities(iter(shards), t, f))
+            total += p[-1] if w is None else p[-2]
+        assert abs(total - 1) < 1e-6, context
