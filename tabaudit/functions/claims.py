@@ -19,8 +19,10 @@ def claims(text: Column) -> Column:
     """Sorted distinct claims: kinds by their cues, and numbers to two decimals without table numbers and years."""
     low = F.lower(F.coalesce(text, F.lit("")))
     kinds = [F.when(low.rlike(cue), F.lit(kind)) for kind, cue in CUES.items()]
-    plain = F.regexp_replace(low, r"\b(table|figure|fig|tab)\.?\s*\d+", " ")
-    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"-?\d+\.?\d*"), F.lit(0)), lambda s: F.regexp_replace(s, r"\.$", "").try_cast("double"))
+    # The number of a table or figure is a name; any other run of digits, with a part after its point, is a value.
+    plain = F.regexp_replace(low, r"\b(?:fig(?:ure)?|tab(?:le)?)(?:\.?\s*)[0-9]+", " ")
+    printed = F.regexp_extract_all(plain, F.lit(r"(-?[0-9]+(?:\.[0-9]*)?)"), F.lit(1))
+    numbers = F.transform(printed, lambda s: F.rtrim(s, F.lit(".")).try_cast("double"))
     values = F.filter(numbers, lambda v: ~(v.between(1900, 2099) & (v == F.rint(v))))
     return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*kinds)), F.transform(values, lambda v: F.format_string("value %.2f", v)))))
 

@@ -9,30 +9,30 @@ from pyspark.sql import functions as F
 MISSING = ("", "--", "-", "n/a", "na", "nan", "none", "null")
 
 _NUM = r"[+-]?(?:\d+(?:_\d+)*\.?\d*|\.\d+)"
-_PLAIN = rf"^{_NUM}(?:[eE][+-]?\d+)?$"
-
-
-def _group(s: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(s, pattern, i)
-
-
-def _double(s: Column) -> Column:
-    """A plain decimal, else null: the cast alone would also take 'inf', '1d' and '5f'."""
-    return F.when(s.rlike(_PLAIN), F.regexp_replace(s, "_", "").try_cast("double"))
+#: A cell that prints a number: its digits (1) and exponent (2), and one ending: a power of ten (3), a magnitude (4), or a bracket.
+#: Both parsers, of columns here and of small grids in sources/infer.py, read cells by it.
+CELL = rf"^({_NUM})([eE][+-]?\d+)?(?:\s*(?:[×xX]|\\times)?\s*10\s*\^\s*\{{?\s*([+-]?\d+)\s*\}}?|\s?([kKMB])|\s*(?:\[[^\]]+\]|\([^)]*\)))?$"
+#: Powers of ten by magnitude.
+MAGNITUDES = {"k": 3, "K": 3, "M": 6, "B": 9}
 
 
 def parse_number(cell: Column) -> Column:
     """The number in a cell, or null: separators and percent signs dropped, powers of ten, k/K/M/B, and what comes before a bracket."""
-    s = F.trim(cell)
-    s = F.when(F.lower(s).isin(*MISSING), None).otherwise(F.trim(F.translate(s, ",%−", "\0\0-")))
-    s = F.regexp_replace(s, "\0", "")
-    sci = rf"^({_NUM})\s*(?:×|x|\\times)?\s*10\s*\^\s*\{{?\s*([+-]?\d+)\s*\}}?$"
-    power = _double(_group(s, sci, 1)) * F.pow(F.lit(10.0), _group(s, sci, 2).try_cast("double"))
-    suffix = rf"^({_NUM}) ?([kKMB])$"
-    unit = F.when(F.lower(_group(s, suffix, 2)) == "k", 1e3).when(_group(s, suffix, 2) == "M", 1e6).when(_group(s, suffix, 2) == "B", 1e9)
-    central = rf"^({_NUM}(?:[eE][+-]?\d+)?)\s*[\[(].*[\])]$"
-    x = F.when(s.rlike(sci), power).when(s.rlike(suffix), _double(_group(s, suffix, 1)) * unit).when(s.rlike(central), _double(_group(s, central, 1))).otherwise(_double(s))
-    return F.when(F.abs(x) < float("inf"), x)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(cell), "[,%]", ""), "−", "-"))
+
+    def read(text: Column) -> Column:
+        digits, exponent, power, unit = (F.regexp_extract(text, CELL, i) for i in range(1, 5))
+        tens = F.when(power != "", power)
+        for name, n in MAGNITUDES.items():
+            tens = tens.when(unit == name, F.lit(str(n)))
+        # An exponent and an ending that multiplies exclude each other.
+        both = (exponent != "") & ((power != "") | (unit != ""))
+        printed = F.concat(F.regexp_replace(digits, "_", ""), F.when(exponent != "", exponent).otherwise(F.concat(F.lit("e"), tens.otherwise("0"))))
+        return F.when(text.rlike(CELL) & ~both, printed.try_cast("double"))
+
+    # The cleaned text is bound to a name once, so that plans don't repeat it at each use.
+    x = F.get(F.transform(F.array(bare), read), 0)
+    return F.when(~is_missing(cell) & (F.abs(x) < float("inf")), x)
 
 
 def is_missing(cell: Column) -> Column:

@@ -100,14 +100,15 @@ def winners(cells: DataFrame, lower_is_better: bool, max_settings: int = 500, ma
     Tables with too many settings, with a competitor that has several values in a setting, or with values of a setting that span
     more than `max_span` have no contest; ties have no winner; names need a letter."""
     x = cells.where("value is not null")
-    per = x.groupBy("table_id", "setting", "who").agg(F.count("*").alias("n"), F.first("value").alias("value"))
+    seen = F.min("row_id") if "row_id" in x.columns else F.lit(0)
+    per = x.groupBy("table_id", "setting", "who").agg(F.count("*").alias("n"), F.first("value").alias("value"), seen.alias("seen"))
     size = F.abs(F.nullif("value", F.lit(0.0)))
     each = per.groupBy("table_id", "setting").agg(F.max("n").alias("n"), F.count(size).alias("c"), (F.max(size) / F.min(size)).alias("span"))
     fair = each.groupBy("table_id").agg(F.count("*").alias("settings"), F.max("n").alias("n"), F.max(F.when(F.col("c") >= 2, F.col("span"))).alias("span"))
     fair = fair.where((F.col("settings") <= max_settings) & (F.col("n") == 1) & (F.coalesce("span", F.lit(1.0)) <= max_span)).select("table_id")
     named = per.where(F.col("who").rlike(r"\p{L}")).join(fair, "table_id")
     key = F.col("value") if lower_is_better else -F.col("value")
-    w = Window.partitionBy("table_id", "setting").orderBy(key, "who")
+    w = Window.partitionBy("table_id", "setting").orderBy(key, "seen", "who")
     top = named.withColumn("place", F.row_number().over(w)).where("place <= 2")
     g = top.groupBy("table_id", "setting").agg(F.max(F.when(F.col("place") == 1, F.col("who"))).alias("best"), F.max(F.when(F.col("place") == 1, F.col("value"))).alias("best_value"), F.max(F.when(F.col("place") == 2, F.col("who"))).alias("second"), F.max(F.when(F.col("place") == 2, F.col("value"))).alias("second_value"))
     return g.where("second is not null and best_value <> second_value")

@@ -9,9 +9,15 @@ order sorts within the key, and nothing reads a table as a whole but whole_table
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.numbers import HIGHER_PARTS, HIGHER_WORDS, LOWER_WORDS
+
 KEY = ["table_id", "axis", "fixed_key"]
 INF = float("inf")
 
@@ -105,7 +111,8 @@ def numeric_jumps(series: DataFrame, k_mad: float = 4.0, ratio: float = 3.0, min
     size = or_else(F.max(other(F.abs("signed"))).over(by_series()), F.lit(1.0))
     s = s.withColumn("_med", F.median(other(F.col("step"))).over(by_series())).withColumn("_mean", F.avg(other(F.col("signed"))).over(by_series())).withColumn("_top", F.max("step").over(by_series())).withColumn("_size", size)
     s = s.withColumn("_sd", F.coalesce(F.stddev_pop(other(F.col("signed") / F.col("_size"))).over(by_series()) * F.col("_size"), F.lit(0.0)))
-    signs = F.size(F.collect_set(other(F.when(F.col("signed") != 0, F.signum("signed")))).over(by_series()))
+    way = other(F.when(F.col("signed") != 0, F.signum("signed")))
+    signs = F.when(F.min(way).over(by_series()) < F.max(way).over(by_series()), 2).otherwise(1)
     climb = F.col("is_last") & (F.col("n") >= 3) & ((F.col("_med") == 0) | (F.col("_top") > 8 * F.col("_med"))) & (signs <= 1) & (F.col("signed") * F.col("_mean") > 0) & (F.col("_sd") / F.nullif(F.abs("_mean"), F.lit(0.0)) < 0.5)
     s = s.withColumn("endpoint_of_climb", F.coalesce(climb, F.lit(False)))
     s = s.withColumn("flagged", (F.col("trend_dev") > k_mad) & (F.col("ratio") >= ratio)).withColumn("strength", F.when(F.col("ratio") == INF, 999.0).otherwise(F.col("ratio")))
@@ -118,12 +125,10 @@ def monotonicity(series: DataFrame, expected: str, min_points: int = 3) -> DataF
     """Reversals against an expected direction, 'increasing' or 'decreasing', of more than 5 % of the range; a row a series."""
     p = points(series)
     p = p.withColumn("_d", F.lead("value").over(along_x()) - F.col("value"))
-    g = p.groupBy(*KEY).agg(F.count("*").alias("n"), (F.max("value") - F.min("value")).alias("_range"), F.collect_list("_d").alias("_ds"))
-    g = g.where(F.col("n") >= min_points).withColumn("_range", or_else(F.col("_range"), F.lit(1.0)))
-    wrong = F.filter("_ds", lambda d: (d < 0 if expected == "increasing" else d > 0) & (F.abs(d) / F.col("_range") > 0.05))
-    g = g.withColumn("_w", wrong)
-    top = F.coalesce(F.array_max(F.transform("_w", lambda d: F.abs(d))), F.lit(0.0))
-    return g.select(*KEY, "n", F.size("_w").cast("long").alias("reversals"), (top / F.col("_range")).alias("strength"), (F.size("_w") > 0).alias("flagged"))
+    p = p.withColumn("n", F.count("*").over(by_series())).withColumn("_range", or_else(F.max("value").over(by_series()) - F.min("value").over(by_series()), F.lit(1.0)))
+    wrong = (F.col("_d") < 0 if expected == "increasing" else F.col("_d") > 0) & (F.abs("_d") / F.col("_range") > 0.05)
+    g = p.where(F.col("n") >= min_points).groupBy(*KEY).agg(F.first("n").alias("n"), F.first("_range").alias("_range"), F.count(F.when(wrong, 1)).alias("reversals"), F.max(F.when(wrong, F.abs("_d"))).alias("_top"))
+    return g.select(*KEY, "n", "reversals", (F.coalesce("_top", F.lit(0.0)) / F.col("_range")).alias("strength"), (F.col("reversals") > 0).alias("flagged"))
 
 
 def win_reversals(cells: DataFrame, lower_is_better: bool = True, min_points: int = 3) -> DataFrame:
@@ -168,8 +173,21 @@ def printed_decimals(v: Column) -> Column:
     return F.when(v == 0, False).when((a >= 1e-4) & (a < 1e-3), True).when((a >= 1e-3) & (a < 1e7), plain).when((a >= 1e7) & (a < 1e16), large).otherwise(mantissa)
 
 
+# Names of data splits.
+SPLITS = ("dev", "test", "val", "valid", "validation", "train", "training")
+
+
+def sideways_axes(cells: DataFrame) -> DataFrame:
+    """(table_id, axis) of axes all of whose levels, two at least, name a split and a metric: rows of a table that lies on its side."""
+    low = F.lower("x_lab")
+    word = lambda ws: low.rlike("(^|[^a-z])(" + "|".join(ws) + ")($|[^a-z])")
+    named = word(SPLITS) & (word(LOWER_WORDS + HIGHER_WORDS) | low.rlike("|".join(HIGHER_PARTS)))
+    return cells.groupBy("table_id", "axis").agg(F.bool_and(F.coalesce(named, F.lit(False))).alias("all"), F.countDistinct("x_lab").alias("n")).where("all and n >= 2").select("table_id", "axis")
+
+
 def flat_entities(cells: DataFrame) -> DataFrame:
     """By (entity, axis): whether all combinations with two levels or more have one value. Rows have entity; fixed_key is the rest."""
+    cells = cells.join(sideways_axes(cells), ["table_id", "axis"], "left_anti")
     p = cells.where(~F.lower(F.trim("entity")).isin(*PLACEHOLDERS)).groupBy(*KEY, "entity", "x").agg(F.min_by("value", "row_id").alias("value")).where(finite("value"))
     combo = p.groupBy(*KEY, "entity").agg(F.count("*").alias("n"), F.countDistinct(F.rint(F.col("value") * 1e6)).alias("d")).where("n >= 2")
     return combo.groupBy("table_id", "axis", "entity").agg(F.count("*").alias("combos"), F.max("d").alias("most_values"), (F.max("d") == 1).alias("flagged"))
@@ -178,6 +196,7 @@ def flat_entities(cells: DataFrame) -> DataFrame:
 def duplicates(cells: DataFrame) -> DataFrame:
     """Equal values with two printed decimals at several levels of an axis along which the entity otherwise varies."""
     flat = flat_entities(cells).where("flagged").select("table_id", "axis", "entity")
+    cells = cells.join(sideways_axes(cells), ["table_id", "axis"], "left_anti")
     p = cells.where(~F.lower(F.trim("entity")).isin(*PLACEHOLDERS)).groupBy(*KEY, "entity", "x").agg(F.min_by("value", "row_id").alias("value")).where(finite("value"))
     p = p.join(flat, ["table_id", "axis", "entity"], "left_anti").where(printed_decimals(F.col("value")))
     g = p.groupBy(*KEY, "entity", F.rint(F.col("value") * 1e6).alias("_v")).agg(F.count("*").alias("levels"), F.min("value").alias("value"))
@@ -197,10 +216,12 @@ def level_shifts(series: DataFrame, share: float = 0.30, min_baseline: int = 5,
     p = p.withColumn("expected", F.when(F.col("trending"), F.col("intercept") + F.col("slope") * F.col("x")).otherwise(F.col("value_med")))
     p = p.withColumn("hit", (F.col("i") > F.col("nb")) & (F.abs(F.col("value") - F.col("expected")) > z * F.col("ref_sd")))
     p = p.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*KEY, "hit").orderBy("x")))
-    stats = p.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in ("n", "value_med", "ref_sd", "trending")), F.max(F.when(base, F.col("x"))).alias("baseline_to"))
-    runs = p.where("hit").groupBy(*KEY, "island").agg(F.count("*").alias("n_persist"), F.min("i").alias("from_i"), F.avg("value").alias("shifted_mean"), F.min("x").alias("shift_from"), F.max("x").alias("shift_to"), F.array_sort(F.collect_list(F.struct("x", "expected"))).alias("_e"))
-    best = runs.groupBy(*KEY).agg(F.max_by(F.struct("n_persist", "shifted_mean", "shift_from", "shift_to", "_e"), F.struct("n_persist", -F.col("from_i"))).alias("r"))
-    g = stats.join(best, KEY, "left").select(*KEY, "n", F.col("value_med").alias("baseline"), "ref_sd", "trending", "baseline_to", F.coalesce("r.n_persist", F.lit(0)).cast("long").alias("n_persist"), "r.shifted_mean", "r.shift_from", "r.shift_to", F.get(F.col("r._e"), F.floor(F.size("r._e") / 2).cast("int"))["expected"].alias("ref"))
+    stats = p.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in ("n", "value_med", "ref_sd", "trending")), F.max(F.when(base, F.col("x"))).alias("baseline_to"), F.min("x").alias("baseline_from"))
+    run = Window.partitionBy(*KEY, "island")
+    hits = p.where("hit").withColumn("_run", F.count("*").over(run)).withColumn("_place", F.row_number().over(run.orderBy("x")) - 1)
+    runs = hits.groupBy(*KEY, "island").agg(F.count("*").alias("n_persist"), F.min("i").alias("from_i"), F.avg("value").alias("shifted_mean"), F.min("x").alias("shift_from"), F.max("x").alias("shift_to"), F.max(F.when(F.col("_place") == F.floor(F.col("_run") / 2), F.col("expected"))).alias("ref"))
+    best = runs.groupBy(*KEY).agg(F.max_by(F.struct("n_persist", "shifted_mean", "shift_from", "shift_to", "ref"), F.struct("n_persist", -F.col("from_i"))).alias("r"))
+    g = stats.join(best, KEY, "left").select(*KEY, "n", F.col("value_med").alias("baseline"), "ref_sd", "trending", "baseline_from", "baseline_to", F.coalesce("r.n_persist", F.lit(0)).cast("long").alias("n_persist"), "r.shifted_mean", "r.shift_from", "r.shift_to", "r.ref")
     g = g.withColumn("strength", F.abs(F.col("shifted_mean") - F.col("ref")) / F.col("ref_sd"))
     flat = F.col("axis").isin(*expect_flat) if expect_flat else F.lit(False)
     return g.withColumn("support", F.when(F.col("trending"), 0.4).when(flat, 1.0).otherwise(0.3)).withColumn("flagged", F.col("n_persist") >= persist).drop("ref")
@@ -210,7 +231,7 @@ def numeric_outliers(series: DataFrame, z: float = 3.5, min_points: int = 5) ->
     """Points of numeric axes, all rows and not only the first of a level, by the first of these modes that decides a series:
     monotone (none), leverage, vs_cluster, residual."""
     p = series.where(finite("value") & finite("x")).withColumn("n", F.count("*").over(by_series())).where(F.col("n") >= min_points)
-    p = with_direction(p).withColumn("_nx", F.size(F.collect_set("x").over(by_series())))
+    p = with_direction(p).withColumn("_dense", F.dense_rank().over(along_x())).withColumn("_nx", F.max("_dense").over(by_series()))
     p = p.withColumn("_rx", average_rank("x")).withColumn("_ry", average_rank("value"))
     p = p.withColumn("rho", pearson(F.col("_rx"), F.col("_ry")))
     monotone = (F.col("_nx") >= 2) & (F.abs("rho") >= 0.9) & ~F.col("direction").isin("none", "flat")
@@ -261,16 +282,37 @@ def categorical_outliers(series: DataFrame, min_points: int = 5) -> DataFrame:
 
 
 def whole_table_outliers(cells: DataFrame, min_cells: int = 5) -> DataFrame:
-    """The one value of a table, if it is one, that is far from all others by robust z > 8 and half the range. Rows: table_id, row_id, value."""
+    """The one value of a table, if it is one, that is far from all others by robust z > 8 and half the range; wide positive tables in
+    logarithms. Rows: table_id, row_id, value, and where they are known
+        x                  the number or place on the table's only ordered axis: tables that rise or fall along it are left alone,
+        row_key, col_key   labels of a wide table of two axes: `column_scale` tells a column that lies beyond a quartile as a whole."""
+    for name, kind in (("x", "double"), ("row_key", "string"), ("col_key", "string")):
+        if name not in cells.columns:
+            cells = cells.withColumn(name, F.lit(None).cast(kind))
     t = Window.partitionBy("table_id")
+    along = Window.partitionBy("table_id", F.col("x").isNotNull()).orderBy("x", "row_id")
     p = cells.where(finite("value")).withColumn("n", F.count("*").over(t)).where(F.col("n") >= min_cells)
-    p = p.withColumn("_up", F.row_number().over(t.orderBy("value", "row_id")))
-    core = F.when((F.col("_up") > 1) & (F.col("_up") < F.col("n")), F.col("value"))
+    p = p.withColumn("_on", finite("x")).withColumn("_d", F.signum(F.lead("value").over(along) - F.col("value")))
+    rank = lambda c: F.rank().over(Window.partitionBy("table_id", "_on").orderBy(c)) + (F.count("*").over(Window.partitionBy("table_id", "_on", c)) - 1) / 2.0
+    p = p.withColumn("_rx", F.when(F.col("_on"), rank("x"))).withColumn("_ry", F.when(F.col("_on"), rank("value")))
+    up, down, points_on = (F.sum(F.when(F.col("_on") & c, 1).otherwise(0)).over(t) for c in (F.col("_d") > 0, F.col("_d") < 0, F.lit(True)))
+    rho = pearson(F.col("_rx"), F.col("_ry"), t)
+    p = p.withColumn("_climbs", (points_on >= 5) & (F.coalesce(F.abs(rho), F.lit(0.0)) >= 0.9) & ((up == 0) != (down == 0)))
+    p = p.withColumn("_up", F.row_number().over(t.orderBy("value", "row_id"))).withColumn("log", log_space(t))
+    p = p.withColumn("v", F.when(F.col("log"), F.log10(F.when(F.col("value") > 0, F.col("value")))).otherwise(F.col("value")))
+    core = F.when((F.col("_up") > 1) & (F.col("_up") < F.col("n")), F.col("v"))
     p = p.withColumn("_mid", F.median(core).over(t)).withColumn("_mad", F.median(F.abs(core - F.col("_mid"))).over(t))
-    span = F.max("value").over(t) - F.min("value").over(t)
-    p = p.withColumn("z", F.abs(F.col("value") - F.col("_mid")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0)))
-    p = p.withColumn("_out", F.coalesce((F.col("z") > 8) & (F.abs(F.col("value") - F.col("_mid")) > 0.5 * span), F.lit(False)))
-    return p.select("table_id", "row_id", "value", "z", F.lit(9.0).alias("strength"), (F.col("_out") & (F.sum(F.col("_out").cast("int")).over(t) == 1)).alias("flagged"))
+    span = F.max("v").over(t) - F.min("v").over(t)
+    p = p.withColumn("z", F.abs(F.col("v") - F.col("_mid")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0)))
+    p = p.withColumn("_out", ~F.col("_climbs") & F.coalesce((F.col("z") > 8) & (F.abs(F.col("v") - F.col("_mid")) > 0.5 * span), F.lit(False)))
+    at = lambda i: F.max(F.when(F.col("_up") == F.floor(i) + 1, F.col("v"))).over(t)
+    p = p.withColumn("_q1", at(F.col("n") / 4)).withColumn("_q3", at(F.col("n") * 3 / 4))
+    column = Window.partitionBy("table_id", "col_key")
+    levels = lambda c: F.size(F.collect_set(c).over(t))
+    alone = F.col("col_key").isNull() | F.col("row_key").isNull() | (levels("col_key") < 3) | (levels("row_key") < 3) | (F.count("*").over(column) < 3)
+    beyond = ((F.col("v") < F.col("_q1")) & (F.max("v").over(column) < F.col("_q1"))) | ((F.col("v") > F.col("_q3")) & (F.min("v").over(column) > F.col("_q3")))
+    p = p.withColumn("column_scale", ~alone & beyond)
+    return p.select("table_id", "row_id", "value", "log", "z", "column_scale", F.lit(9.0).alias("strength"), (F.col("_out") & (F.sum(F.col("_out").cast("int")).over(t) == 1)).alias("flagged"))
 
 
 def trends(series: DataFrame, r2_min: float = 0.5, min_points: int = 6, expect_flat: tuple[str, ...] = ()) -> DataFrame:
@@ -291,3 +333,69 @@ def index_like_axes(cells: DataFrame) -> DataFrame:
     """By numeric axis of a table: whether its values are a serial number, 0 or 1 upwards by ones, one row each. Rows: table_id, axis, x."""
     g = cells.where(finite("x")).groupBy("table_id", "axis").agg(F.count("*").alias("n"), F.countDistinct("x").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.bool_and(F.col("x") == F.rint("x")).alias("whole"))
     return g.select("table_id", "axis", "n", ((F.col("n") >= 5) & (F.col("d") == F.col("n")) & F.col("lo").isin(0.0, 1.0) & F.col("whole") & (F.col("hi") - F.col("lo") == F.col("n") - 1)).alias("flagged"))
+
+
+@lru_cache(maxsize=64)
+def _draws(n: int, times: int, seed: int) -> np.ndarray:
+    """Indices of resamples, row by row from the standard generator, so that they are the same everywhere."""
+    import random
+
+    r = random.Random(seed)
+    return np.array([[r.randrange(n) for _ in range(n)] for _ in range(times)])
+
+
+def _correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pearson's r by row, NaN where one side is constant; sides are scaled first, so that squares don't overflow."""
+    a, b = (v / np.maximum(np.abs(v).max(axis=1, keepdims=True), np.finfo(float).tiny) for v in (a, b))
+    a, b = (v - v.mean(axis=1, keepdims=True) for v in (a, b))
+    constant = (np.ptp(a, axis=1) == 0) | (np.ptp(b, axis=1) == 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return np.where(constant, np.nan, r)
+
+
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks by row."""
+    less = (v[:, None, :] < v[:, :, None]).sum(axis=2)
+    equal = (v[:, None, :] == v[:, :, None]).sum(axis=2)
+    return less + (equal + 1) / 2
+
+
+def interval(x: np.ndarray, y: np.ndarray, ranked: bool, times: int = 2000, level: float = 0.95, seed: int = 0) -> list[float] | None:
+    """Percentile interval of a correlation over resampled pairs; None with fewer than four points, where the correlation isn't defined,
+    or if half of the resamples have none."""
+    n = len(x)
+    take = _ranks if ranked else (lambda v: v)
+    if n < 4 or np.isnan(_correlations(take(x[None]), take(y[None]))[0]):
+        return None
+    got = []
+    for part in np.array_split(_draws(n, times, seed), max(1, times * n * n // 4_000_000)):
+        got.append(_correlations(take(x[part]), take(y[part])))
+    r = np.sort(np.concatenate(got))
+    r = r[~np.isnan(r)]
+    if len(r) < times // 2:
+        return None
+    tail = (1 - level) / 2
+    return [round(float(r[max(0, int(tail * len(r)) - 1)]), 3), round(float(r[min(len(r) - 1, int((1 - tail) * len(r)))]), 3)]
+
+
+def trend_intervals(series: DataFrame, min_points: int = 6) -> DataFrame:
+    """Bootstrap intervals of both correlations along x, a row a series; for those whose trend is flagged, since each costs thousands
+    of resamples. A series is a group, small by nature."""
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("x")
+        x, y = p["x"].to_numpy(float), p["value"].to_numpy(float)
+        return pd.DataFrame([(*key, interval(x, y, False), interval(x, y, True))], columns=[*KEY, "pearson_ci", "spearman_ci"])
+
+    p = points(series)
+    wanted = trends(series, min_points=min_points).where("flagged").select(*KEY)
+    return p.join(wanted, KEY, "left_semi").select(*KEY, "x", "value").groupBy(*KEY).applyInPandas(of, "table_id string, axis string, fixed_key string, pearson_ci array<double>, spearman_ci array<double>")
+
+
+def fit_notes(series: DataFrame, min_points: int = 5) -> DataFrame:
+    """Series whose spread is too large for a fit to be judged: (table_id, axis, fixed_key, note). They are left unflagged, and say so."""
+    p = points(series)
+    g = p.groupBy(*KEY).agg(F.count("*").alias("n"), F.var_pop("value").alias("v"), F.var_pop("x").alias("w")).where(F.col("n") >= min_points)
+    lost = lambda c: F.isnan(c) | (F.abs(c) == INF)
+    return g.where(lost(F.col("v")) | lost(F.col("w"))).select(*KEY, F.lit("fit quality not determinable: the values' spread is not finite").alias("note"))

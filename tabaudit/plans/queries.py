@@ -186,19 +186,37 @@ def outlier_categorical_brand(spark, sf_dir):
     return detectors.categorical_outliers(t.brand_prices(spark, sf_dir)).select("fixed_key", "x_lab", r("value", 2), "log", "flagged")
 
 
-@query("""
-WITH c AS (SELECT n_regionkey AS t, CAST(s_nationkey AS BIGINT) AS row_id, round(sum(s_acctbal), 2) * CASE WHEN s_nationkey % 9 = 0 THEN 1000 ELSE 1 END AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, s_nationkey),
-a AS (SELECT *, count(*) OVER (PARTITION BY t) AS n, row_number() OVER (PARTITION BY t ORDER BY v, row_id) AS up FROM c),
-b AS (SELECT *, median(CASE WHEN up > 1 AND up < n THEN v END) OVER (PARTITION BY t) AS mid, max(v) OVER (PARTITION BY t) - min(v) OVER (PARTITION BY t) AS sp FROM a WHERE n >= 5),
-d AS (SELECT *, median(CASE WHEN up > 1 AND up < n THEN abs(v - mid) END) OVER (PARTITION BY t) AS md FROM b),
-e AS (SELECT *, abs(v - mid) / nullif(1.4826::DOUBLE * md, 0) AS z FROM d),
-f AS (SELECT *, coalesce(z > 8 AND abs(v - mid) > 0.5 * sp, false) AS o FROM e)
-SELECT CAST(t AS VARCHAR) AS table_id, row_id, round(z, 3) AS z, o AND sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY t) = 1 AS flagged FROM f""")
+WHOLE = """
+a AS (SELECT *, count(*) OVER (PARTITION BY t) AS n, row_number() OVER (PARTITION BY t ORDER BY v, row_id) AS up, max(v) OVER (PARTITION BY t) AS mx, min(v) OVER (PARTITION BY t) AS mn,
+  lead(v) OVER (PARTITION BY t ORDER BY x, row_id) - v AS d, rank() OVER (PARTITION BY t ORDER BY x) + (count(*) OVER (PARTITION BY t, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY t ORDER BY v) + (count(*) OVER (PARTITION BY t, v) - 1) / 2.0 AS ry FROM c),
+m AS (SELECT t, abs(corr(rx, ry)) >= 0.9 AND (count(*) FILTER (d > 0) = 0) <> (count(*) FILTER (d < 0) = 0) AS climbs, min(v) FILTER (up > CASE WHEN n >= 7 THEN 2 ELSE 1 END AND up <= n - CASE WHEN n >= 7 THEN 2 ELSE 1 END) AS lo, max(v) FILTER (up > CASE WHEN n >= 7 THEN 2 ELSE 1 END AND up <= n - CASE WHEN n >= 7 THEN 2 ELSE 1 END) AS hi FROM a GROUP BY t),
+l AS (SELECT a.*, climbs, mn > 0 AND log10(mx / mn) >= 2 AND lo > 0 AND log10(hi / lo) >= 1.5 AS lg FROM a JOIN m USING (t) WHERE n >= 5),
+w AS (SELECT *, CASE WHEN lg THEN log10(v) ELSE v END AS e FROM l),
+b AS (SELECT *, median(CASE WHEN up > 1 AND up < n THEN e END) OVER (PARTITION BY t) AS mid, max(e) OVER (PARTITION BY t) - min(e) OVER (PARTITION BY t) AS sp, max(CASE WHEN up = n // 4 + 1 THEN e END) OVER (PARTITION BY t) AS q1, max(CASE WHEN up = 3 * n // 4 + 1 THEN e END) OVER (PARTITION BY t) AS q3 FROM w),
+g AS (SELECT *, median(CASE WHEN up > 1 AND up < n THEN abs(e - mid) END) OVER (PARTITION BY t) AS md FROM b),
+h AS (SELECT *, abs(e - mid) / nullif(1.4826::DOUBLE * md, 0) AS z FROM g),
+f AS (SELECT *, NOT climbs AND coalesce(z > 8 AND abs(e - mid) > 0.5 * sp, false) AS o FROM h)"""
+
+
+@query(f"""
+WITH c AS (SELECT n_regionkey AS t, CAST(s_nationkey AS BIGINT) AS row_id, CAST(s_nationkey AS DOUBLE) AS x, round(sum(s_acctbal), 2) * CASE WHEN s_nationkey % 9 = 0 THEN 1000 ELSE 1 END AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, s_nationkey),{WHOLE}
+SELECT CAST(t AS VARCHAR) AS table_id, row_id, lg AS log, round(z, 3) AS z, o AND sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY t) = 1 AS flagged FROM f""")
 def outlier_whole_table(spark, sf_dir):
     s, n = t.read(spark, sf_dir, "supplier"), t.read(spark, sf_dir, "nation")
     g = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).groupBy("n_regionkey", "s_nationkey").agg(F.round(F.sum("s_acctbal"), 2).alias("v"))
-    cells = g.select(F.col("n_regionkey").cast("string").alias("table_id"), F.col("s_nationkey").cast("long").alias("row_id"), (F.col("v") * F.when(F.col("s_nationkey") % 9 == 0, 1000).otherwise(1)).alias("value"))
-    return detectors.whole_table_outliers(cells).select("table_id", "row_id", r("z", 3), "flagged")
+    cells = g.select(F.col("n_regionkey").cast("string").alias("table_id"), F.col("s_nationkey").cast("long").alias("row_id"), (F.col("v") * F.when(F.col("s_nationkey") % 9 == 0, 1000).otherwise(1)).alias("value"), F.col("s_nationkey").cast("double").alias("x"))
+    return detectors.whole_table_outliers(cells).select("table_id", "row_id", "log", r("z", 3), "flagged")
+
+
+@query(f"""
+WITH c AS (SELECT year(o_orderdate) AS t, CAST(month(o_orderdate) * 10 + CAST(substr(o_orderpriority, 1, 1) AS INT) AS BIGINT) AS row_id, NULL::DOUBLE AS x, o_orderpriority AS col, round(avg(o_totalprice), 2) * CASE WHEN o_orderpriority LIKE '3%' THEN 0.1 ELSE 1 END AS v FROM orders GROUP BY 1, 2, col),{WHOLE.replace("abs(corr(rx, ry)) >= 0.9 AND", "false AND")}
+SELECT CAST(t AS VARCHAR) AS table_id, row_id, (e < q1 AND max(e) OVER (PARTITION BY t, col) < q1 OR e > q3 AND min(e) OVER (PARTITION BY t, col) > q3) AND count(*) OVER (PARTITION BY t, col) >= 3 AS column_scale FROM f""")
+def column_scale(spark, sf_dir):
+    o = t.read(spark, sf_dir, "orders")
+    month, place = F.month("o_orderdate"), F.substring("o_orderpriority", 1, 1)
+    g = o.groupBy(F.year("o_orderdate").cast("string").alias("table_id"), month.cast("string").alias("row_key"), F.col("o_orderpriority").alias("col_key")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"), (F.first(month) * 10 + F.first(place).cast("int")).cast("long").alias("row_id"))
+    cells = g.withColumn("value", F.col("v") * F.when(F.col("col_key").startswith("3"), 0.1).otherwise(1.0))
+    return detectors.whole_table_outliers(cells).select("table_id", "row_id", "column_scale")
 
 
 def _trend_sql(source: str) -> str:
@@ -243,6 +261,30 @@ def parse_number_cells(spark, sf_dir):
     return df.select("cell", F.round(numbers.parse_number(F.col("cell")), 9).alias("number"))
 
 
+PRINTED = {
+    "plain": ("%.2f", "printf('%.2f', v)"), "percent": ("%.2f%%", "printf('%.2f%%', v)"), "grouped": ("%,.2f", "format('{:,.2f}', v)"), "bracket": ("%.2f [1, 2]", "printf('%.2f [1, 2]', v)"),
+    "spread": ("%.2f (0.5)", "printf('%.2f (0.5)', v)"), "power": ("%.2f×10^{3}", "printf('%.2f×10^{3}', v)"), "thousands": ("%.2fk", "printf('%.2fk', v)"), "word": ("about %.2f", "printf('about %.2f', v)"), "other unit": ("%.2fG", "printf('%.2fG', v)"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS style, count(*) AS n, round(sum({'NULL::DOUBLE' if k in ('word', 'other unit') else 'CAST(printf(\'%.2f\', v) AS DOUBLE) * 1000' if k in ('power', 'thousands') else 'CAST(printf(\'%.2f\', v) AS DOUBLE)'}), 0) AS total, min({form}) AS first FROM (SELECT o_totalprice AS v FROM orders)" for k, (_, form) in PRINTED.items()))
+def parse_printed_prices(spark, sf_dir):
+    o = t.read(spark, sf_dir, "orders").select(F.explode(F.create_map(*(x for k, (form, _) in PRINTED.items() for x in (F.lit(k), F.format_string(form, "o_totalprice"))))).alias("style", "cell"))
+    return o.groupBy("style").agg(F.count("*").alias("n"), F.round(F.sum(numbers.parse_number(F.col("cell"))), 0).alias("total"), F.min("cell").alias("first"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT lower(regexp_extract(p_name, '^(\\w+)', 1)) AS w FROM part UNION SELECT unnest(['rmse', 'top-1 accuracy', 'test loss', 'BLEU ↓', 'mean error ↑'])), d AS (SELECT DISTINCT p_brand AS b FROM part)
+SELECT b || ' ' || w AS metric, CASE WHEN w LIKE '%↑%' THEN 'higher' WHEN w LIKE '%↓%' THEN 'lower' WHEN regexp_matches(w, '(^|[^a-z])(rmse|mae|mse|error|err|loss|runtime|time|latency|errors|ppl|perplexity|wer|cer|fid)($|[^a-z])') THEN 'lower'
+ WHEN regexp_matches(w, 'accuracy|acc|auc|f1|precision|recall|score') OR regexp_matches(w, '(^|[^a-z])(bleu|rouge|pass|top|map|miou|iou|em)($|[^a-z])') THEN 'higher' END AS direction FROM w, d""")
+def metric_direction_names(spark, sf_dir):
+    p = t.read(spark, sf_dir, "part")
+    words = p.select(F.lower(F.regexp_extract("p_name", r"^(\w+)", 1)).alias("w")).union(spark.createDataFrame([(w,) for w in ("rmse", "top-1 accuracy", "test loss", "BLEU ↓", "mean error ↑")], "w string")).distinct()
+    both = p.select("p_brand").distinct().withColumn("w", F.explode(F.lit([r["w"] for r in words.collect()])))  # the words of a column's labels
+    name = F.concat_ws(" ", "p_brand", "w")
+    return both.select(name.alias("metric"), numbers.metric_direction(name).alias("direction"))
+
+
 DIRECTIONS = [("pass@1", "higher"), ("anything ↑", "higher"), ("loss ↑", "higher"), ("score ↓", "lower"), ("BLEU", "higher"), ("ROUGE-L", "higher"), ("Top-1 err.", "lower"), ("PPL", "lower"), ("RMSE", "lower"), ("CoLA", None), ("account", "higher"), ("", None)]
 
 
@@ -262,6 +304,19 @@ def grim_order_means(spark, sf_dir):
     return reported.grim(g, F.col("mean"), F.col("n")).select("l_orderkey", "n", "mean", "grim")
 
 
+@query("""
+WITH g AS (SELECT l_orderkey AS k, count(*) AS n, avg(l_linenumber) AS m, stddev_samp(l_linenumber) AS s FROM lineitem GROUP BY 1 HAVING count(*) >= 2),
+p AS (SELECT k, n, printf('%.2f', m + 1e-6) AS mean, printf('%.2f', s + 1e-6 + CASE WHEN k % 20 = 0 THEN 0.13 ELSE 0 END) AS sd FROM g),
+c AS (SELECT *, CAST(mean AS DOUBLE) AS m, CAST(sd AS DOUBLE) AS s FROM p),
+q AS (SELECT *, round_even(m * n, 0) AS t, abs(round_even(m * n, 0) / n - m) > 0.005 + 1e-9 AS bad FROM c),
+z AS (SELECT *, sqrt(greatest(0, (round_even(s * s * (n - 1) + t * t / n, 0) - t * t / n) / (n - 1))) AS near FROM q)
+SELECT k AS l_orderkey, CASE WHEN bad THEN 'not_applicable' WHEN abs(near - s) > 0.005 + 1e-9 THEN 'finding' ELSE 'ok' END AS grimmer FROM z""")
+def grimmer_order_lines(spark, sf_dir):
+    g = t.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg("l_linenumber").alias("m"), F.stddev_samp("l_linenumber").alias("s")).where("n >= 2")
+    g = g.withColumn("mean", F.format_string("%.2f", F.col("m") + 1e-6)).withColumn("sd", F.format_string("%.2f", F.col("s") + 1e-6 + F.when(F.col("l_orderkey") % 20 == 0, 0.13).otherwise(0.0)))
+    return reported.grimmer(g, F.col("mean"), F.col("sd"), F.col("n")).select("l_orderkey", "grimmer")
+
+
 GRIMMER = [("3.00", "1.58", 5, "ok"), ("3.00", "1.60", 5, "finding"), ("3.45", "1.20", 7, "not_applicable"), ("3", "1.58", 5, "ok"), ("2.50", "0.71", 2, "ok"), ("2.50", "1", 2, "not_applicable"), ("2.50", "0.71", 1, "not_applicable")]
 
 
@@ -289,6 +344,17 @@ def terminal_digit_price(spark, sf_dir):
     return reported.terminal_digits(df, ["l_returnflag"], "raw").select("l_returnflag", "n", r("chi2", 3), "status")
 
 
+@query("""
+WITH d AS (SELECT l_orderkey AS k, max(l_linenumber) AS n, 0.5 + (l_orderkey % 30) / 10.0 AS z FROM lineitem GROUP BY 1),
+s AS (SELECT k, 'z = ' || printf('%.2f', z) || ', p < .05' AS string, z FROM d)
+SELECT k AS l_orderkey, string, CASE WHEN z < 1.88 THEN 'finding' ELSE 'ok' END AS status, CASE WHEN z < 1.88 THEN 'high' END AS severity FROM s WHERE abs(z - 1.88) > 0.03""")
+def statcheck_order_texts(spark, sf_dir):
+    """p < .05 is claimed for every z; it is wrong beyond the tolerance where p exceeds .06, below z = 1.881."""
+    g = t.read(spark, sf_dir, "lineitem").select("l_orderkey").distinct().withColumn("z", 0.5 + (F.col("l_orderkey") % 30) / 10.0)
+    docs = g.select("l_orderkey", F.concat(F.lit("In order "), F.col("l_orderkey").cast("string"), F.lit(" we saw "), F.format_string("z = %.2f, p < .05", "z"), F.lit(" again.")).alias("text"))
+    return reported.statcheck(reported.extract_tests(docs)).where("abs(statistic - 1.88) > 0.03").select("l_orderkey", "string", "status", "severity")
+
+
 STATS = [("t(38) = 2.10, p = .03", "t", "ok"), ("t(20) = .5, p < .001", "t", "finding"), ("χ²(2, N = 120) = 5.99, p = .05", "chi2", "ok"), ("z = 1.96, p = .05", "z", "ok"), ("r(20) = 1, p < .001", "r", "ok"), ("F(2, 27) = 3.35, p = .05", "F", "ok"), ("r(20) = 1.2, p < .001", "r", "not_applicable"), ("z = 1.2, p = .01", "z", "finding")]
 
 
@@ -330,6 +396,152 @@ def melt_wide(spark, sf_dir):
     return w.withColumnRenamed("n_regionkey", "region").unpivot(["region"], ["customers", "n"], "method", "value")
 
 
+@query(f"""
+WITH f AS (SELECT 'trend' AS type, fixed_key, r2 AS s, spearman FROM ({_trend_sql(t.CUMULATIVE)}) WHERE flagged UNION ALL SELECT 'trend', fixed_key, r2, spearman FROM ({_trend_sql(t.QUANTITY)}) WHERE flagged)
+SELECT type, fixed_key, w.w AS support, CASE WHEN w >= 0.9 AND greatest(s, abs(spearman)) >= 0.8 THEN 'HIGH' WHEN w >= 0.9 AND greatest(s, abs(spearman)) >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM f, (VALUES (0.3::DOUBLE), (1.0::DOUBLE)) w(w)""")
+def trend_priorities(spark, sf_dir):
+    both = [d.where("flagged") for s in (t.cumulative_events(spark, sf_dir), t.quantity_price(spark, sf_dir)) for d in (detectors.trends(s), detectors.trends(s, expect_flat=("day", "quantity")))]
+    df = both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3])
+    rows = df.select(F.lit("trend").alias("type"), "fixed_key", "strength", "support", "spearman", F.lit(False).alias("endpoint"), F.lit(False).alias("column_scale"))
+    return across.priority(rows).select("type", "fixed_key", "support", "priority")
+
+
+def _captioned(spark, sf_dir):
+    """Trends of two summaries as flags with their captions' clauses, in columns."""
+    from . import analyze as plan
+
+    s = t.cumulative_events(spark, sf_dir).unionByName(t.quantity_price(spark, sf_dir))
+    found = detectors.trends(s).withColumn("fixed_key", F.to_json(F.array(F.struct(F.lit("group").alias("key"), F.col("fixed_key").alias("value")))))
+    flags = plan.flags_of(found, "trend", 11, [*plan.rounded(3, "slope", "r2", "pearson", "spearman"), "direction", *plan.rounded(2, "start_value", "end_value")], F.col("support"), spearman=F.col("spearman"))
+    axes = [("cumulative_events", "events", "day"), ("quantity_price", "price", "quantity")]
+    rows = [(k, k, m, "group", "group", True, [(0, a, "numeric", []), (1, "group", "unordered_cat", [])]) for k, m, a in axes]
+    meta = spark.createDataFrame(rows, "table_id string, name string, metric string, entity string, who string, lower_is_better boolean, axes array<struct<pos:int,axis:string,kind:string,ord:array<string>>>")
+    full = meta.select("*", F.lit(None).cast("string").alias("note"), F.col("table_id").alias("grid_id"), F.lit(0).alias("table_pos"))
+    return full, across.ranked(across.priority(flags))
+
+
+@query(f"""
+WITH f AS (SELECT 'cumulative_events' AS t, 'events' AS m, 'day' AS a, * FROM ({_trend_sql(t.CUMULATIVE)}) UNION ALL SELECT 'quantity_price', 'price', 'quantity', * FROM ({_trend_sql(t.QUANTITY)})),
+o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r2 DESC, fixed_key) AS i, m || ' ' || CASE direction WHEN 'non_decreasing' THEN 'is non-decreasing' WHEN 'non_increasing' THEN 'is non-increasing' ELSE CASE WHEN direction = 'decreasing' OR slope < 0 THEN 'decreases' ELSE 'increases' END END || ' as ' || a || ' increases' || CASE WHEN direction LIKE 'non_%creasing' THEN ' (ties present)' ELSE '' END AS p FROM f WHERE flagged)
+SELECT v.t AS table_id, v.m || ' for each group across ' || v.a || '.' AS opening, coalesce(p, '') AS clause, coalesce('group=' || fixed_key, '') AS scope FROM (VALUES ('cumulative_events', 'events', 'day'), ('quantity_price', 'price', 'quantity')) v(t, m, a) LEFT JOIN o ON o.t = v.t AND i = 1""")
+def generated_captions(spark, sf_dir):
+    from . import text
+
+    c = F.col("caption")
+    told = text.captions(*_captioned(spark, sf_dir))
+    clause = F.regexp_extract(c, r"\. (.*?increases(?: \(ties present\))?) \(", 1)
+    return told.select("table_id", F.regexp_extract(c, r"^([^.]*\.)", 1).alias("opening"), clause.alias("clause"), F.regexp_extract(c, r"\((group=[^()]*)\)\.$", 1).alias("scope"))
+
+
+@query(f"""
+WITH f AS (SELECT 'cumulative_events' AS t, 'events' AS m, 'day' AS a, * FROM ({_trend_sql(t.CUMULATIVE)}) UNION ALL SELECT 'quantity_price', 'price', 'quantity', * FROM ({_trend_sql(t.QUANTITY)})),
+o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r2 DESC, fixed_key) AS i FROM f WHERE flagged)
+SELECT t AS grid_id, m || CASE WHEN slope < 0 THEN ' falls as ' ELSE ' rises as ' END || a || ' goes up' AS takeaway FROM o WHERE i = 1""")
+def takeaway_sentences(spark, sf_dir):
+    from ..functions import sentences
+    from . import text
+
+    tables, flags = _captioned(spark, sf_dir)
+
+    @F.udf("string")
+    def first(metric: str, entity: str, packed: str) -> str:
+        return sentences.what_matters({"metric": metric, "entity": entity}, text.unpacked(packed)).split(", from")[0]
+
+    return tables.join(text._facts(flags, None), "table_id").select("grid_id", first("metric", "entity", "flags").alias("takeaway"))
+
+
+@query(None)
+def trend_ci(spark, sf_dir):
+    return detectors.trend_intervals(t.cumulative_events(spark, sf_dir).unionByName(t.quantity_price(spark, sf_dir)))
+
+
+@query(f"""
+WITH p AS ({t.QUANTITY}), s AS (SELECT k, x, CASE WHEN k = 'R' THEN v * 1e300 ELSE v END AS v FROM p)
+SELECT k AS fixed_key, 'fit quality not determinable: the values'' spread is not finite' AS note FROM s GROUP BY k HAVING k = 'R' AND count(*) >= 5""")
+def honesty_notes(spark, sf_dir):
+    s = t.quantity_price(spark, sf_dir)
+    return detectors.fit_notes(s.withColumn("value", F.when(F.col("fixed_key") == "R", F.col("value") * 1e300).otherwise(F.col("value")))).select("fixed_key", "note")
+
+
+@query("""
+WITH c AS (SELECT n_name || ' ' || CASE WHEN n_nationkey % 2 = 0 THEN 'dev loss' ELSE 'test loss' END AS lab, n_regionkey AS t, n_nationkey AS k FROM nation),
+d AS (SELECT t, 'all' AS axis, lab FROM c UNION ALL SELECT t, 'mixed', CASE WHEN k < 8 THEN 'plain' ELSE lab END FROM c)
+SELECT CAST(t AS VARCHAR) AS table_id, axis FROM d GROUP BY t, axis HAVING count(DISTINCT lab) >= 2 AND bool_and(lab LIKE '% loss')""")
+def sideways_axes(spark, sf_dir):
+    n = t.read(spark, sf_dir, "nation").withColumn("lab", F.concat_ws(" ", "n_name", F.when(F.col("n_nationkey") % 2 == 0, "dev loss").otherwise("test loss")))
+    row = lambda axis, lab: n.select(F.col("n_regionkey").cast("string").alias("table_id"), F.lit(axis).alias("axis"), lab.alias("x_lab"))
+    return detectors.sideways_axes(row("all", F.col("lab")).unionByName(row("mixed", F.when(F.col("n_nationkey") < 8, "plain").otherwise(F.col("lab")))))
+
+
+@query("""
+WITH c AS (SELECT 's' || n_regionkey AS source, 't' || n_nationkey AS table_id, CAST(n_nationkey AS INT) AS pos, 'balance' AS metric, CASE WHEN n_nationkey % 3 = 0 THEN 'a' ELSE 'b' END AS axes FROM nation)
+SELECT a.table_id, 'not compared with ' || b.table_id || ': the same metric ''balance'' over other axes' AS reason FROM c a JOIN c b USING (source, metric) WHERE a.pos < b.pos AND a.axes <> b.axes""")
+def shape_mismatch_notes(spark, sf_dir):
+    from .analyze import shape_notes
+
+    n = t.read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    return shape_notes(n.select(F.concat(F.lit("s"), F.col("n_regionkey").cast("string")).alias("source"), F.concat(F.lit("t"), key.cast("string")).alias("table_id"), key.cast("int").alias("table_pos"), F.lit(" Balance ").alias("metric"), F.when(key % 3 == 0, "a").otherwise("b").alias("axes")))
+
+
+@query(f"""
+WITH f AS (SELECT fixed_key, flagged, ratio, trend_dev FROM (
+WITH p AS ({t.MONTHLY}),
+s AS (SELECT *, lead(x) OVER w AS x_to, lead(v) OVER w AS v_to FROM p WINDOW w AS (PARTITION BY k ORDER BY x)),
+q AS (SELECT *, abs(v_to - v) AS step, v_to - v AS sg FROM s WHERE x_to IS NOT NULL),
+a AS (SELECT *, median(step) OVER (PARTITION BY k) AS ms, median(sg) OVER (PARTITION BY k) AS mg FROM q),
+b AS (SELECT *, median(abs(step - ms)) OVER (PARTITION BY k) AS ds, median(abs(sg - mg)) OVER (PARTITION BY k) AS dg FROM a),
+c AS (SELECT *, coalesce(nullif(ds, 0), ms) AS typ FROM b),
+d AS (SELECT *, coalesce(nullif(dg, 0), typ) AS sp, greatest(v, v_to) / least(v, v_to) AS ratio FROM c)
+SELECT k AS fixed_key, ratio, abs(sg - mg) / sp AS trend_dev, abs(sg - mg) / sp > 4 AND ratio >= 3 AS flagged FROM d))
+SELECT 'monthly_revenue' AS table_id, count(*) FILTER (ratio >= 10) AS high, count(*) FILTER (ratio < 10) AS medium, CAST(0 AS BIGINT) AS low FROM f WHERE flagged HAVING count(*) > 0""")
+def priority_counts(spark, sf_dir):
+    from . import analyze as plan
+    from . import report
+
+    jumps = detectors.numeric_jumps(t.monthly_revenue(spark, sf_dir)).where("not endpoint_of_climb")
+    return report.priority_counts(across.ranked(across.priority(plan.flags_of(jumps, "numeric_jump", 1, ["ratio"]))))
+
+
+@query(None)
+def planted_recall(spark, sf_dir):
+    from . import evaluate
+
+    return evaluate.recall(t.monthly_revenue(spark, sf_dir).unionByName(t.quantity_price(spark, sf_dir)))
+
+
+def _texts(spark, sf_dir):
+    """Regions' and nations' balances as small CSV files, which are then read, inferred and checked like any others."""
+    c, n = t.read(spark, sf_dir, "customer"), t.read(spark, sf_dir, "nation")
+    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_regionkey", "n_name").agg(F.floor(F.avg("c_acctbal")).cast("double").alias("v"))
+
+
+@query("""
+SELECT 'region' || n_regionkey || '.csv' AS name, n_name AS level, CAST(floor(avg(c_acctbal)) AS DOUBLE) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_name""")
+def files_read_back(spark, sf_dir):
+    from ..sources import readers
+
+    rows = _texts(spark, sf_dir).groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.format_string("%s,%.2f", "n_name", "v"))).alias("lines"))
+    files = {f"region{r['n_regionkey']}.csv": "nation,mean balance value\n" + "\n".join(r["lines"]) for r in rows.collect()}  # a file a region
+    return readers.cells(readers.from_text(spark, files)).select("name", F.col("coords")["nation"].alias("level"), "value")
+
+
+@query("""
+WITH c AS (SELECT 'region' || n_regionkey || '.csv' AS f, n_name AS who, floor(avg(c_acctbal)) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_name),
+o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY v DESC, who) AS i FROM c)
+SELECT f || '#grid0' AS grid_id, max(who) FILTER (i = 1) || ' has the highest mean balance value (' AS takeaway, max(who) FILTER (i = 2) AS second FROM o GROUP BY f""")
+def takeaways(spark, sf_dir):
+    from ..sources import readers
+    from . import text
+
+    rows = _texts(spark, sf_dir).groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.format_string("%s,%.2f", "n_name", "v"))).alias("lines"))
+    files = {f"region{r['n_regionkey']}.csv": "nation,mean balance value\n" + "\n".join(r["lines"]) for r in rows.collect()}  # a file a region
+    tables = readers.from_text(spark, files)
+    flags = spark.createDataFrame([], "table_id string, rank int, type string, axis string, fixed_key string, detail string, strength double, priority string")
+    said = text.takeaways(tables, flags).select("grid_id", F.get("takeaway", F.lit(0)).alias("s"))
+    return said.select("grid_id", F.regexp_extract("s", r"^([^(]*\()", 1).alias("takeaway"), F.regexp_extract("s", r"ahead of ([^(]*) \(", 1).alias("second"))
+
+
 SCORES = [("numeric_jump", 12.0, 1.0, False, "HIGH"), ("numeric_jump", 12.0, 1.0, True, "LOW"), ("numeric_jump", 3.0, 1.0, False, "MEDIUM"), ("cat_exception", 0.9, 0.9, False, "HIGH"), ("trend", 0.95, 0.3, False, "LOW"), ("trend", 0.85, 1.0, False, "HIGH"), ("level_shift", 4.0, 1.0, False, "MEDIUM"), ("flatness", 1.0, 1.0, False, "MEDIUM"), ("point_outlier", 8.0, 1.0, False, "HIGH"), ("point_outlier", 9.0, 1.0, True, "LOW"), ("cross_table_inconsistency", 6.0, 0.4, False, "MEDIUM"), ("duplicate", 2.0, 1.0, False, "MEDIUM"), ("win_reversal", 3.0, 1.0, False, "HIGH")]
 
 

@@ -12,32 +12,23 @@ import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from ..functions.numbers import HIGHER_PARTS, HIGHER_WORDS, LEXICONS, LOWER_WORDS, METRIC_WORDS, MISSING
+from ..functions.numbers import CELL, HIGHER_PARTS, HIGHER_WORDS, LEXICONS, LOWER_WORDS, MAGNITUDES, METRIC_WORDS, MISSING
 
-_NUMBER = r"[+-]?(?:\d+(?:_\d+)*(?:\.\d*)?|\.\d+)"
-_POWER = re.compile(rf"({_NUMBER})\s*(?:[×x]|\\times)?\s*10\s*\^\s*\{{?\s*([+-]?\d+)\s*\}}?", re.I)
-_UNIT = re.compile(rf"({_NUMBER})\s?([kKMB])")
-_CENTRE = re.compile(rf"({_NUMBER}(?:e[+-]?\d+)?)\s*(?:\[[^\]]+\]|\([^)]*\))", re.I)
-_PLAIN = re.compile(rf"{_NUMBER}(?:e[+-]?\d+)?", re.I)
-_UNITS = {"k": 1e3, "K": 1e3, "M": 1e6, "B": 1e9}
+_CELL = re.compile(CELL)
 
 
 def number(cell: str | None) -> float | None:
-    """The finite number a cell prints, or None."""
+    """The finite number a cell prints, or None; as functions.numbers.parse_number reads it."""
     text = (cell or "").strip()
     if text.lower() in MISSING:
         return None
-    text = text.replace(",", "").replace("%", "").replace("−", "-").strip()
-    if m := _POWER.fullmatch(text):
-        value = float(f"{m[1].replace('_', '')}e{m[2]}")
-    elif m := _UNIT.fullmatch(text):
-        value = float(m[1]) * _UNITS[m[2]]
-    else:
-        m = _CENTRE.fullmatch(text)
-        text = m[1] if m else text
-        if not _PLAIN.fullmatch(text):
-            return None
-        value = float(text)
+    m = _CELL.match(text.translate({ord(","): None, ord("%"): None, ord("−"): "-"}).strip())
+    if m is None:
+        return None
+    digits, exponent, power, unit = m.groups()
+    if exponent and (power or unit):
+        return None
+    value = float(f"{digits.replace('_', '')}{exponent or f'e{power or MAGNITUDES.get(unit, 0)}'}")
     return value if math.isfinite(value) else None
 
 
@@ -239,3 +230,20 @@ def all_tables(g: Grid, name: str, hints: Hints | None = None) -> tuple[list[Tid
             if out:
                 return out, notes
     return [one_table(g, name, hints)], notes
+
+
+_TASKS = re.compile(r"benchmark|dataset|data set|task|corpus|language", re.I)
+
+
+def competitors(t: Tidy) -> str | None:
+    """The axis whose levels compete within each combination of the others. In a wide table that is the one text axis of its rows, unless
+    they are tasks; None where it is unclear."""
+    names = [a for a, *_ in t.axes]
+    if t.entity not in names:
+        return None
+    if (t.entity, t.metric) != ("method", "value"):
+        return t.entity
+    rows = [a for a, kind, _ in t.axes if a != t.entity and kind != "numeric"]
+    if not rows:
+        return t.entity
+    return rows[0] if len(rows) == 1 and not _TASKS.search(rows[0]) else None

@@ -19,7 +19,8 @@ JUMP = "p1,method,RMSE\n" + "\n".join(f"{p},{m},{v}" for m, vs in {"A": (1.6, 19
 FLAT = "p1,method,error\n" + "\n".join(f"{p},{m},{v}" for m, vs in {"X": (12.34, 379.18, 379.18), "Z": (5, 5, 5)}.items() for p, v in zip((1, 2.5, 4), vs, strict=True))
 SHIFT = "X,value\n" + "\n".join(f"{x * 2 + 7},{100 + (x % 3) if x < 10 else 200 + (x % 2)}" for x in range(20))
 SPIKE = "X,value\n" + "\n".join(f"{x + 10},{15 if x == 5 else 1}" for x in range(12))
-SERIAL = "measurement,deviation\n" + "\n".join(f"{i + 1},{v}" for i, v in enumerate([28, 26, 33, 24, 34, -44, 27, 16, 40, -2, 29, 22, 24, 21, 25, 30, 23, 29, 31, 19, 24, 20, 36, 32, 36, 28, 25, 21, 28, 29]))
+# Newcomb's 66 passage times of light.
+SERIAL = "measurement,deviation\n" + "\n".join(f"{i + 1},{v}" for i, v in enumerate([28, 26, 33, 24, 34, -44, 27, 16, 40, -2, 29, 22, 24, 21, 25, 30, 23, 29, 31, 19, 24, 20, 36, 32, 36, 28, 25, 21, 28, 29, 37, 25, 28, 26, 30, 32, 36, 26, 30, 22, 36, 23, 27, 27, 28, 27, 31, 27, 26, 33, 26, 32, 32, 24, 39, 28, 24, 25, 32, 25, 29, 27, 28, 29, 16, 23]))
 
 
 @pytest.mark.parametrize("cell, want", [("0.91 [0.88, 0.94]", 0.91), ("8×10^{-3}", 0.008), (r"8 \times 10^3", 8000.0), ("inf", None), ("1e999", None), ("300K", 300000.0), ("5m", None), ("1,234.5", 1234.5), ("45%", 45.0), ("--", None), ("1d", None)])
