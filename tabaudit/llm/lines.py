@@ -46,7 +46,7 @@ SIMILARITY, MINS = 0.8, 14
 #: Lines of so many words have keys of words, those below FEW have keys of runs of bytes; between the two they have both.
 LEAST, FEW, GRAM = 16, 22, 5
 #: By the number of equal minimal hashes, the bits in which the SimHashes of candidates may differ, of words and of runs of bytes.
-DISTANCE = np.array([[-1, -1, -1, 11, 16, *[20] * 10], [-1, -1, -1, 17, 22, *[26] * 10]])
+DISTANCE = np.array([[-1, -1, -1, -1, 14, 17, *[20] * 9], [-1, -1, -1, -1, 20, 23, *[26] * 9]])
 #: Numbers of the minimal hashes that make a key, of neighbouring words and then of runs of bytes; keys are known by their place here.
 KEYS = [[(i, (i + 1) % 14) for i in range(14)]] * 2
 _PARTS = [np.array(numbers) for numbers in KEYS]
@@ -218,6 +218,11 @@ def _unmatched(a: str, b: str) -> int:
     return max((x - y).total(), (y - x).total())
 
 
+def _bits(x: int, n: int) -> np.ndarray:
+    """The lowest n bits, from the lowest up."""
+    return np.unpackbits(np.frombuffer(x.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little").astype(np.int32)
+
+
 def levenshtein(a: str, b: str, enough: int | None = None) -> int:
     """Bit-parallel distance (Myers, 1999; Hyyro, 2003), with the longer word's bits in one integer; some number above `enough`
     as soon as the distance must be."""
@@ -230,18 +235,30 @@ def levenshtein(a: str, b: str, enough: int | None = None) -> int:
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
     enough = m if enough is None else enough
-    for left_over, ch in zip(range(len(b) - 1, -1, -1), b, strict=True):
+    look = left_over = len(b)
+    for ch in b:
+        left_over -= 1
         eq = where.get(ch, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
         right = down | ~(xh | up) & full
         left = up & xh
-        score += bool(right & top) - bool(left & top)
-        if score - left_over > enough:
-            return score - left_over
+        if right & top:
+            score += 1
+        elif left & top:
+            score -= 1
         right = (right << 1 | 1) & full
         left = left << 1 & full
         up, down = left | ~(xv | right) & full, right & xv
+        if score - left_over > enough:
+            return score - left_over
+        if look - left_over >= 96 and enough < m:
+            look = left_over
+            # The whole column, each with what the rest of both texts differs in length, bounds the distance from below.
+            column = len(b) - left_over + np.cumsum(_bits(up, m) - _bits(down, m))
+            least = min(int((column + np.abs(np.arange(m - 1, -1, -1) - left_over)).min()), len(b) - left_over + abs(m - left_over))
+            if least > enough:
+                return least
     return score
 
 
