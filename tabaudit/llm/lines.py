@@ -91,7 +91,7 @@ def line_hashes(w: Words, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def simhash(distinct: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Majority bits of rows of hashes, given by number among distinct ones; `first` says where each row's begin. Ones
     are counted in bytes, eight at once, over up to 255 hashes, and those counts are added."""
-    ones = np.unpackbits(distinct.view(np.uint8).reshape(len(distinct), -1), axis=1).view(np.uint64)
+    ones = np.unpackbits(np.ascontiguousarray(distinct).view(np.uint8).reshape(len(distinct), 8), axis=1).view(np.uint64)
     out = np.empty(len(first) - 1, np.uint64)
     for i, j in _pieces(first, 1 << 15):
         start = first[i:j] - first[i]

@@ -299,3 +299,11 @@ def test_probabilities_sum_to_one_with_empty_shards():
             p = np.exp(quality.log_probabilities(iter(shards), t, f))
             total += p[-1] if w is None else p[-2]
         assert abs(total - 1) < 1e-6, context
+
+
+def test_lines_of_many_words_alone_or_few_alone():
+    """Slices in which no line has few words, or none has many, or there is none at all."""
+    for texts in (["w" + " word" * 30], ["one two"], ["", "..."]):
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        rows = [r for b in lines._sketch(3)(iter([batch])) for r in b.to_pylist()]
+        assert bool(rows) == (texts[0] != "")
