@@ -8,12 +8,12 @@ all documents, different ones stay different, and only the key's holder can go b
   iban      passes modulo 97; its two check digits are computed anew
   phone     '+' and 8 to 15 digits, or ten digits in the groups 3-3-4; the country code stays
   ssn       ddd-dd-dddd with an area, group and serial that are issued
-  ip        four octets of 0 to 255; permuted as a 32-bit number
+  ip        four octets of 0 to 255, all or none padded to three digits; permuted as a 32-bit number
   date      a calendar date, as yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or, if that is none, mm/dd/yyyy; permuted among the days of 1900 to 2099
   email     the part before the '@' and the host's labels but for the last
   secret    access keys, and values after 'password', 'token', 'secret' or 'api key' with '=' or ':'
 
-A card or IBAN that isn't valid with all its groups is tried without the last ones, and the search goes on after its first group.
+Cards of one repeated digit, dates outside 1900 to 2099 and octets padded in part are no findings. A card or IBAN that isn't valid with all its groups is tried without the last ones, and the search goes on after its first group.
 
 Defined results: null stays null; a text without findings is returned as it is; every row is kept, repeated ones each; an
 empty table gives no rows; other columns pass through unread in pseudonymise().
@@ -163,11 +163,19 @@ def replacement(kind: str, s: str, cipher: Cipher, back: bool = False) -> str |
         x, serial = divmod(cipher.number(x, len(areas) * 99 * 9999, b"ssn", back), 9999)
         return f"{areas[x // 99]:03d}-{x % 99 + 1:02d}-{serial + 1:04d}"
     if kind == "ip":
-        octets = [int(o) for o in s.split(".")]
-        if max(octets) > 255:
+        parts = s.split(".")
+        octets = [int(o) for o in parts]
+        # Octets with leading zeros are a format of their own if all have three digits, and no address else.
+        padded = any(len(o) > 1 and o[0] == "0" for o in parts)
+        if max(octets) > 255 or (padded and {len(o) for o in parts} != {3}):
             return None
-        x = cipher.permute(int.from_bytes(bytes(octets), "big"), 1 << 16, 1 << 16, b"ip", back)
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        new = bytes(octets)
+        while new == bytes(octets) or (padded and min(new) > 99):
+            # A padded address stays one that shows it, so that it goes back.
+            new = cipher.permute(int.from_bytes(new, "big"), 1 << 16, 1 << 16, b"ip", back).to_bytes(4, "big")
+            if new == bytes(octets):
+                break
+        return ".".join(f"{o:03d}" if padded else str(o) for o in new)
     if kind == "date":
         form = "%Y-%m-%d" if s[4] == "-" else f"%d{s[2]}%m{s[2]}%Y"
         day_first = _day(s, form)
