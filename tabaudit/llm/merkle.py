@@ -6,8 +6,8 @@ roots are equal if and only if the texts are (up to collisions of SHA-256), and
 sections and paragraphs that were edited. Below the paragraphs stand marks: 32-bit hashes of up to four words that end at
 punctuation; likeness is the Dice coefficient of two fingerprints' distinct marks, so it also grades edits of a single paragraph.
 
-The printed form is root ':' sections ':' marks, with a section as its digest, '[', its paragraphs' digests, ']', each 16
-hexadecimal digits, and 8 digits a mark.
+Nodes are built from whole digests. The printed form is root ':' sections ':' marks, with a section as its digest, '[', its
+paragraphs' digests, ']', each cut to 16 hexadecimal digits, the root whole, and 8 digits a mark.
 
 Defined results: null is the empty text, which has one empty paragraph and no marks; two texts without marks are alike 1 if
 their roots are equal, else 0; rows with the same doc_id are ordered by text; a null doc_id comes last, and where all are null the last row counts as its own next; an empty table gives
@@ -27,7 +27,11 @@ PIECE = r"\s+|(?:[^\s]+\s+){0,3}?[^\s]*[.,;!?|](?=\s|$)|(?:[^\s]+\s+){0,3}[^\s]+
 
 
 def _digest(x: Column) -> Column:
-    return F.substring(F.sha2(x, 256), 1, 16)
+    return F.sha2(x, 256)
+
+
+def _short(digest: Column) -> Column:
+    return F.substring(digest, 1, 16)
 
 
 def marks(text: Column) -> Column:
@@ -50,7 +54,7 @@ def root(tree: Column) -> Column:
 
 
 def printed(root_: Column, tree: Column, marks_: Column) -> Column:
-    inner = F.transform(tree, lambda s: F.concat(s["digest"], F.lit("["), F.concat_ws("", s["paragraphs"]), F.lit("]")))
+    inner = F.transform(tree, lambda s: F.concat(_short(s["digest"]), F.lit("["), F.concat_ws("", F.transform(s["paragraphs"], _short)), F.lit("]")))
     return F.concat(root_, F.lit(":"), F.concat_ws("", inner), F.lit(":"), F.concat_ws("", F.transform(marks_, lambda m: F.lpad(F.hex(m.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))
 
 
@@ -60,10 +64,12 @@ def likeness(root_a: Column, marks_a: Column, root_b: Column, marks_b: Column) -
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds root, tree, marks and fingerprint to the rows."""
+    """Adds tree, marks, root and fingerprint to the rows; names that are taken get the prefix merkle_."""
+    names = {n: n if n not in docs.columns else f"merkle_{n}" for n in ("tree", "marks", "root", "fingerprint")}
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("tree", sections(t)).withColumn("marks", marks(t))
-    return df.withColumn("root", root(F.col("tree"))).withColumn("fingerprint", printed(F.col("root"), F.col("tree"), F.col("marks")))
+    df = docs.withColumn(names["tree"], sections(t)).withColumn(names["marks"], marks(t))
+    df = df.withColumn(names["root"], root(F.col(names["tree"])))
+    return df.withColumn(names["fingerprint"], printed(F.col(names["root"]), F.col(names["tree"]), F.col(names["marks"])))
 
 
 def differing_paragraphs(tree_a: Column, tree_b: Column) -> Column:
