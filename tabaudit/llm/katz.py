@@ -156,6 +156,8 @@ def vocabulary(docs: DataFrame, folder: str) -> str:
             words, c = table.column("word").to_numpy().view(np.uint64), table.column("c").to_numpy()
             order = np.lexsort((words, -c))
             words, c = words[order], c[order]
+            if len(words) * n + part >= int(START):
+                raise OverflowError("more words than 32-bit ids; use fewer partitions of the vocabulary or wider ids")
             ids = (np.arange(len(words)) * n + part).astype(np.uint32)
             by_hash = np.argsort(words)
             counts = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
