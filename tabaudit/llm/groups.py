@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import drop, save
 
 BLOCK = 256
 
@@ -66,6 +66,7 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         step += 1
         e = save(canonical(small), folder, f"{name}-{step}")
         before, now = now, state(e)
+        drop(edges.sparkSession, folder, f"{name}-{step - 1}")
         if before == now:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -13,17 +13,25 @@ SETTING = "spark.checkpoint.dir"
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder that is set there."""
+    """A new folder name below spark.checkpoint.dir. Where that is unset, a local master, as in tests, gets a temporary folder; on a
+    cluster, whose executors couldn't see it, that is an error."""
     base = spark.conf.get(SETTING, None)
     if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = tempfile.mkdtemp(dir="/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set(SETTING, base)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, folder: str, name: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes a table and gives it back as a scan: the lineage ends there, and what is lost is read again."""
     path = f"{folder}/{name}"
