@@ -154,14 +154,19 @@ def finish(flags: DataFrame, c: Context, sizes: DataFrame | None = None) -> Data
     return across.ranked(across.priority(flags))
 
 
-def analyze(tables: DataFrame, expected: dict[str, str] | None = None, expect_flat: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
-    """Flags of all tables that aren't pathological. `expected` maps axes to 'increasing' or 'decreasing'; `only` names the detectors."""
-    c = context(tables, expected, expect_flat)
-    found = [staged(f(c), "flags") for name, f in DETECTORS.items() if only is None or name in only]
+def together(found: list[DataFrame]) -> DataFrame:
+    """All detectors' flags, written by one job, in which they run side by side."""
     flags = found[0]
     for more in found[1:]:
         flags = flags.unionByName(more)
-    return finish(flags, c, tables.where("sizes").select("table_id").distinct())
+    return staged(flags, "flags")
+
+
+def analyze(tables: DataFrame, expected: dict[str, str] | None = None, expect_flat: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
+    """Flags of all tables that aren't pathological. `expected` maps axes to 'increasing' or 'decreasing'; `only` names the detectors."""
+    c = context(tables, expected, expect_flat)
+    found = [f(c) for name, f in DETECTORS.items() if only is None or name in only]
+    return finish(together(found), c, tables.where("sizes").select("table_id").distinct())
 
 
 def not_checked(tables: DataFrame) -> DataFrame:
@@ -247,12 +252,8 @@ def analyze_article(tables: DataFrame, expected: dict[str, str] | None = None, e
     tables = staged(tables, "tables")
     c = context(tables, expected, expect_flat)
     coords = staged(coordinate_cells(tables), "coordinates")
-    found = [staged(f(c), "flags") for name, f in DETECTORS.items() if only is None or name in only]
-    found += [unit_flags(tables), cross_flags(coords)]
-    flags = found[0]
-    for more in found[1:]:
-        flags = flags.unionByName(more)
-    flags = staged(finish(flags, c, tables.where("sizes").select("table_id").distinct()), "ranked")
+    found = [f(c) for name, f in DETECTORS.items() if only is None or name in only]
+    flags = staged(finish(together([*found, unit_flags(tables), cross_flags(coords)]), c, tables.where("sizes").select("table_id").distinct()), "ranked")
     findings = staged(stat_findings(tables), "findings")
     notes = not_checked(tables).unionByName(shape_notes(coords)).unionByName(detectors.fit_notes(c.ordered).select("table_id", F.concat("axis", F.lit(": "), "note").alias("reason")))
     notes = notes.unionByName(findings.where("status = 'not_applicable'").select(F.col("source").alias("table_id"), F.concat_ws(": ", "kind", "item", "reason").alias("reason")))
