@@ -406,6 +406,11 @@ def trend_priorities(spark, sf_dir):
     return across.priority(rows).select("type", "fixed_key", "support", "priority")
 
 
+def _exact(sql: str) -> str:
+    """With r2 as it is, since what is strongest is decided by it."""
+    return sql.replace("round(r2, 4) AS r2", "r2")
+
+
 def _captioned(spark, sf_dir):
     """Trends of two summaries as flags with their captions' clauses, in columns."""
     from . import analyze as plan
@@ -421,7 +426,7 @@ def _captioned(spark, sf_dir):
 
 
 @query(f"""
-WITH f AS (SELECT 'cumulative_events' AS t, 'events' AS m, 'day' AS a, * FROM ({_trend_sql(t.CUMULATIVE)}) UNION ALL SELECT 'quantity_price', 'price', 'quantity', * FROM ({_trend_sql(t.QUANTITY)})),
+WITH f AS (SELECT 'cumulative_events' AS t, 'events' AS m, 'day' AS a, * FROM ({_exact(_trend_sql(t.CUMULATIVE))}) UNION ALL SELECT 'quantity_price', 'price', 'quantity', * FROM ({_exact(_trend_sql(t.QUANTITY))})),
 o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r2 DESC, fixed_key) AS i, m || ' ' || CASE direction WHEN 'non_decreasing' THEN 'is non-decreasing' WHEN 'non_increasing' THEN 'is non-increasing' ELSE CASE WHEN direction = 'decreasing' OR slope < 0 THEN 'decreases' ELSE 'increases' END END || ' as ' || a || ' increases' || CASE WHEN direction LIKE 'non_%creasing' THEN ' (ties present)' ELSE '' END AS p FROM f WHERE flagged)
 SELECT v.t AS table_id, v.m || ' for each group across ' || v.a || '.' AS opening, coalesce(p, '') AS clause, coalesce('group=' || fixed_key, '') AS scope FROM (VALUES ('cumulative_events', 'events', 'day'), ('quantity_price', 'price', 'quantity')) v(t, m, a) LEFT JOIN o ON o.t = v.t AND i = 1""")
 def generated_captions(spark, sf_dir):
@@ -434,7 +439,7 @@ def generated_captions(spark, sf_dir):
 
 
 @query(f"""
-WITH f AS (SELECT 'cumulative_events' AS t, 'events' AS m, 'day' AS a, * FROM ({_trend_sql(t.CUMULATIVE)}) UNION ALL SELECT 'quantity_price', 'price', 'quantity', * FROM ({_trend_sql(t.QUANTITY)})),
+WITH f AS (SELECT 'cumulative_events' AS t, 'events' AS m, 'day' AS a, * FROM ({_exact(_trend_sql(t.CUMULATIVE))}) UNION ALL SELECT 'quantity_price', 'price', 'quantity', * FROM ({_exact(_trend_sql(t.QUANTITY))})),
 o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r2 DESC, fixed_key) AS i FROM f WHERE flagged)
 SELECT t AS grid_id, m || CASE WHEN slope < 0 THEN ' falls as ' ELSE ' rises as ' END || a || ' goes up' AS takeaway FROM o WHERE i = 1""")
 def takeaway_sentences(spark, sf_dir):
