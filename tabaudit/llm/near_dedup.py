@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import Union, blocks, connected_components, solve
-from .store import partitions, save, small_side, work_dir
+from .store import partitions, save, small_side, trimmed, work_dir
 from .words import batch_words, mix64, run_hashes, shingle_sets, utf8
 
 K = 128
@@ -59,7 +59,7 @@ def _sets(docs: DataFrame, width: int):
                 ids = [None if not len(s) else hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.record_batch([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary()), pa.array(np.array([signature(s) for s in sets], np.uint64).view(np.int64))], names=["doc_id", "n_shingles", "set_id", "sketch", "sign"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, set_id binary, sketch binary, sign long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(task), "doc_id long, n_shingles long, set_id binary, sketch binary, sign long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -70,7 +70,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(batch_words(*utf8(part.column(1))), width)
                 yield pa.record_batch([part.column(0), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "component", "members"])
 
-    return docs.mapInArrow(task, "node long, component long, members binary")
+    return docs.mapInArrow(trimmed(task), "node long, component long, members binary")
 
 
 def signature(s: np.ndarray) -> int:
@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             flat = np.concatenate(got) if got else np.empty(0, np.uint64)
             yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(node), pa.array(sign)], names=["key", "node", "sign"])
 
-    lists = classes.select("node", "sketch", "sign").mapInArrow(keys, "key long, node long, sign long")
-    coarse = lists.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_coarse_links(percent), "a long, b long")
+    lists = classes.select("node", "sketch", "sign").mapInArrow(trimmed(keys), "key long, node long, sign long")
+    coarse = lists.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_coarse_links(percent)), "a long, b long")
     groups = connected_components(coarse, folder, "coarse")
     tasks = blocks(classes.select("node", "n_shingles", "sketch").join(groups, "node"), "component", "node")
     fine = connected_components(solve(tasks, _estimated(percent), n), folder, "fine")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import partitions, save
+from .store import partitions, save, trimmed
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -177,7 +177,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     crc.append(zlib.crc32(part.tobytes()))
             yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(task), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
@@ -203,4 +203,4 @@ def pack(cut: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
             bin_, slot = np.divmod(rank - row[:, 1], row[:, 2])
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(row[:, 3] + bin_), pa.array(row[:, 4] + slot * w)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

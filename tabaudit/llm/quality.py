@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .katz import _read_rows, _slices, pack, unpack
 from .lines import FOLD
-from .store import save, small_side, work_dir
+from .store import save, small_side, trimmed, work_dir
 from .tokens import forget
 from .words import batch_words, hash_strings, mix64, utf8
 
@@ -208,7 +208,7 @@ def perplexities(docs: DataFrame, shards_path: str, rejected_path: str, evidence
 
     types = [T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(SCORES, types, strict=True))])
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(trimmed(task), schema)
 
 
 def _fold(key) -> F.Column:
@@ -241,8 +241,8 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantil
                 yield pa.record_batch([pa.array([body], pa.binary())], names=["body"])
 
     half = sample.where(_fold("doc_id") == 0).select("text")
-    save(half.coalesce(1).mapInArrow(fit, "body binary"), folder, "shards")
-    save(worse.select("text").coalesce(1).mapInArrow(fit, "body binary"), folder, "rejected")
+    save(half.coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "shards")
+    save(worse.select("text").coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "rejected")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bool, list[np.ndarray]] = {True: [np.empty(0, np.uint64)], False: [np.empty(0, np.uint64)]}
@@ -257,7 +257,7 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantil
         yield pa.record_batch([pa.array([evidence(np.concatenate(words[True]), n[True], np.concatenate(words[False]), n[False])], pa.binary())], names=["body"])
 
     both = worse.where("toxic").unionByName(half.withColumn("toxic", F.lit(False)))
-    save(both.coalesce(1).mapInArrow(weigh, "body binary"), folder, "evidence")
+    save(both.coalesce(1).mapInArrow(trimmed(weigh), "body binary"), folder, "evidence")
     path = f"{folder}/shards"
     models = (path, f"{folder}/rejected", f"{folder}/evidence")
     names = {n: n if n not in docs.columns else f"quality_{n}" for n in ("n_tokens", "perplexity", "threshold", "contrast", "toxicity", "accepted")}
