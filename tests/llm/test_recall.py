@@ -59,3 +59,21 @@ def test_lines_against_brute_force(spark):
     # Nothing goes that brute force keeps; the sketches may lose a pair that letters changed all over.
     assert kept >= stays
     assert len(kept - stays) <= 0.03 * (len(text) - len(stays))
+
+
+def test_words_dropped_and_added_are_decided_without_distances(monkeypatch):
+    r = random.Random(8)
+    pairs = []
+    for n in [6, 10, 25] * 20:
+        a = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 7))) for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(b))
+            b[k : k + r.randint(0, 1)] = [r.choice(("x", "yz yz", "long"))] * r.randint(0, 2)
+            b = b or ["x"]
+        pairs.append((a, b))
+    assert all(lines.aligned(a, b, 10**6) >= plain_distance(" ".join(a), " ".join(b)) for a, b in pairs)
+    assert [lines.within(" ".join(a), " ".join(b)) for a, b in pairs] == [plain_distance(" ".join(a), " ".join(b)) <= int(0.2 * max(len(" ".join(a)), len(" ".join(b))) + 1e-9) for a, b in pairs]
+    monkeypatch.setattr(lines, "levenshtein", None)  # is not called
+    text = " ".join(f"word{i}" for i in range(40))
+    assert lines.within(text, text.replace("word7 ", "").replace("word20", "word20 more"))
