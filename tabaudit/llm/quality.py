@@ -1,9 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and thresholds by language.
 
-Trusted are rows of `labels` with quality 1 that aren't toxic. A bounded sample of them, TRUSTED documents by a hash of doc_id, is
-split in two: one half trains the model, the other gives, by language, the quantile of its perplexities above which a document is
-rejected. A document's perplexity is taken with PRIOR tokens of the language's mean added, so that a few odd words don't condemn a
-short text; languages with fewer than ENOUGH trusted documents use the quantile of all. Nothing else is sampled: every document
+Trusted are rows of `labels` with quality 1 that aren't toxic, split in two by a hash of doc_id. Of one half, those among the first TRUSTED
+documents by another hash train the model, which is its bound; all of the other give, by language, the quantile of perplexities above which a
+document is rejected. A document's perplexity is taken with PRIOR tokens of the language's mean added, so that a few odd words don't condemn a
+short text; languages with fewer than ENOUGH trusted documents use the quantile of all. Every document
 is scored over its whole text.
 
 Two more scores, with limits from the same held-out trusted texts, tell rejected text that has an ordinary perplexity; each is a sum over
@@ -11,7 +11,7 @@ the text, divided by its length and PRIOR:
   contrast  how much likelier the text is under a model of rejected rows (quality 0 or toxic) than under that of trusted ones;
   toxicity  the evidence of words, without case and marks, that stand in LEAST toxic training documents at least: a lower bound of the
             logarithm of the ratio of their shares of toxic and of trusted documents.
-The rejected rows are sampled and split like the trusted ones.
+The rejected rows that train are bounded and split like the trusted ones.
 
 Tokens are the words with their case and marks, so that capitals or symbols count, and one end. The model holds, for each seen
 n-gram, its discounted probability and, for each context, its interpolation weight (Chen and Goodman, 1998; discounts D1, D2 and D3+ by order,
@@ -220,13 +220,13 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantil
     spark = docs.sparkSession
     folder = work_dir(spark, "quality")
     known = labels.where("doc_id is not null").select("doc_id", (F.coalesce("toxic", F.lit(0)) != 0).alias("toxic"), "quality")
-    good = known.where("quality = 1 and not toxic").select("doc_id").distinct()
+    good = save(known.where("quality = 1 and not toxic").select("doc_id").distinct(), folder, "good")
     bad = known.where("quality = 0 or toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
     chosen = save(good.orderBy(*by).limit(trusted), folder, "chosen")
-    against = save(bad.join(chosen, "doc_id", "left_anti").orderBy(*by).limit(trusted), folder, "against")
+    against = save(bad.join(good, "doc_id", "left_anti").orderBy(*by).limit(trusted), folder, "against")
     texts = docs.select("doc_id", "text", "lang")
-    sample = save(texts.join(small_side(chosen), "doc_id"), folder, "sample")
+    half = save(texts.join(small_side(chosen), "doc_id").where(_fold("doc_id") == 0).select("text"), folder, "sample")
     worse = save(texts.join(small_side(against), "doc_id").where(_fold("doc_id") == 0).select("text", "toxic"), folder, "worse")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,6 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantil
             for body in train(np.concatenate(streams), first):
                 yield pa.record_batch([pa.array([body], pa.binary())], names=["body"])
 
-    half = sample.where(_fold("doc_id") == 0).select("text")
     save(half.coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "shards")
     save(worse.select("text").coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "rejected")
 
@@ -263,7 +262,7 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantil
     names = {n: n if n not in docs.columns else f"quality_{n}" for n in ("n_tokens", "perplexity", "threshold", "contrast", "toxicity", "accepted")}
     if spark.read.schema("body binary").parquet(path).limit(1).count() == 0:
         return docs.select("*", F.lit(None).cast("long").alias(names["n_tokens"]), *(F.lit(None).cast("double").alias(names[n]) for n in ("perplexity", "threshold", "contrast", "toxicity")), F.lit(True).alias(names["accepted"]))
-    held = perplexities(sample.where(_fold("doc_id") == 1).select("lang", "text"), *models).drop("text")
+    held = perplexities(texts.join(small_side(good), "doc_id").where(_fold("doc_id") == 1).select("lang", "text"), *models).drop("text")
     held = save(held, folder, "held")
     means = held.groupBy("lang").agg(F.sum(F.col("log_loss") * F.col("n_tokens")).alias("s"), F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
     rows = means.collect()  # a row a language of the sample

@@ -25,3 +25,13 @@ def test_toxic_prose_and_junk_are_rejected(spark):
     new = [row for row in got.collect() if row["doc_id"] >= 400]  # without labels
     share = {k: sum(row["accepted"] for row in new if row["kind"] == k) / sum(row["kind"] == k for row in new) for k in ("toxic", "junk", "trusted")}
     assert share["trusted"] >= 0.9 and share["toxic"] <= 0.05 and share["junk"] <= 0.05, share
+
+
+def test_limits_come_from_all_held_out_rows(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 9))) for _ in range(60)]
+    docs = [(i, " ".join(r.choice(vocabulary[30 * (i % 2) :]) for _ in range(30)), ("en", "de")[i % 2]) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels, trusted=40).collect()
+    # Of 40 rows no language has enough for a limit of its own, of all held-out ones both have.
+    assert len(rows) == 400 and len({row["threshold"] for row in rows}) == 2
