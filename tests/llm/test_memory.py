@@ -4,7 +4,10 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tabaudit.llm import tokens
+from tabaudit.llm.queries import vocabulary_path
 from tabaudit.llm.store import trimmed
 
 
@@ -27,3 +30,37 @@ def test_freed_memory_goes_back():
     assert len(list(task(iter([batch])))) == 1 and resident() - before > 200e6
     assert len(list(trimmed(task)(iter([batch])))) == 1
     assert resident() - before < 100e6
+
+
+def test_remembered_cuts_are_small():
+    path = vocabulary_path("word_bpe_49k.json")
+    column = pa.array([" ".join(f"{i:x}z" for i in range(a, a + 1000)) for a in range(0, 500_000, 1000)])
+    own = tokens.Encoder(path)
+    list(own.column(column.slice(0, 1)))  # the tokenizer is loaded
+
+    def task(batches):
+        for _ in own.column(column):
+            pass
+        yield from batches
+
+    batch = pa.record_batch([pa.array([1])], names=["x"])
+    list(trimmed(task)(iter([batch])))
+    with_cuts = resident()
+    own._reset()
+    list(trimmed(lambda batches: batches)(iter([batch])))
+    assert with_cuts - resident() < 60e6  # strings and numbers of a dictionary took more than 200 bytes each
+
+
+@pytest.mark.parametrize("limit", [0, 40, 10**6])
+def test_cuts_of_one_hash_and_forgotten_ones(monkeypatch, limit):
+    path = vocabulary_path("word_bpe_49k.json")
+    texts = [f"word{i % 37} of {i % 5}  lines\n{i}" for i in range(300)] + [None, "", " odd   space"]
+    expected = tokens.encode_whole(path, [t or "" for t in texts])
+    monkeypatch.setattr(tokens, "REMEMBERED", limit)
+    monkeypatch.setattr(tokens, "TOGETHER", 700)
+    monkeypatch.setattr(tokens, "GATHERED", 7)
+    for hashes in (tokens.hash_strings, lambda a: np.zeros(len(a), np.uint64)):
+        monkeypatch.setattr(tokens, "hash_strings", hashes)
+        own = tokens.Encoder(path)
+        for _ in range(2):
+            assert [x.tolist() for x in own.column(pa.array(texts))] == expected
