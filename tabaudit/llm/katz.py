@@ -134,8 +134,12 @@ def _read_rows(path: str, kind: int | None = None) -> Iterator[bytes]:
             continue
         if kind is not None and f"/kind={kind}/" not in info.path:
             continue
-        for batch in pq.ParquetFile(files.open_input_file(info.path)).iter_batches(batch_size=1, columns=["body"]):
-            yield from batch.column(0).to_pylist()
+        # Without a buffer the reader takes the whole column into memory first.
+        for batch in pq.ParquetFile(files.open_input_file(info.path), buffer_size=1 << 20).iter_batches(batch_size=1, columns=["body"], use_threads=False):
+            rows = batch.column(0).to_pylist()
+            del batch
+            while rows:
+                yield rows.pop(0)
 
 
 def vocabulary(docs: DataFrame, folder: str) -> str:

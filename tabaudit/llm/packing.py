@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import partitions, save, trimmed
-from .tokens import encoder
+from .tokens import encoder, forget_idle
 
 CAPACITY = 4096
 END_ID = 1
@@ -176,6 +176,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
             yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget_idle()
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(task), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

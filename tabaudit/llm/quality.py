@@ -240,8 +240,8 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantil
             for body in train(np.concatenate(streams), first):
                 yield pa.record_batch([pa.array([body], pa.binary())], names=["body"])
 
-    save(half.coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "shards")
-    save(worse.select("text").coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "rejected")
+    save(half.coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "shards", rows=1)
+    save(worse.select("text").coalesce(1).mapInArrow(trimmed(fit), "body binary"), folder, "rejected", rows=1)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bool, list[np.ndarray]] = {True: [np.empty(0, np.uint64)], False: [np.empty(0, np.uint64)]}

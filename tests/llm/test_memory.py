@@ -1,12 +1,13 @@
 """Workers give memory back after a task."""
 
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabaudit.llm import tokens
+from tabaudit.llm import katz, store, tokens
 from tabaudit.llm.queries import vocabulary_path
 from tabaudit.llm.store import trimmed
 
@@ -64,3 +65,22 @@ def test_cuts_of_one_hash_and_forgotten_ones(monkeypatch, limit):
         own = tokens.Encoder(path)
         for _ in range(2):
             assert [x.tolist() for x in own.column(pa.array(texts))] == expected
+
+
+def test_idle_workers_forget():
+    path = vocabulary_path("word_bpe_49k.json")
+    list(tokens.encoder(path).column(pa.array(["some words"])))
+    tokens.forget_idle(0.2)
+    assert tokens.encoder(path).words.to_pylist()  # a task came: nothing is forgotten
+    time.sleep(0.4)
+    assert tokens.encoder(path).words.to_pylist()
+    tokens.forget_idle(0.05)
+    time.sleep(0.5)
+    assert not tokens.encoder(path).words.to_pylist()
+
+
+def test_model_shards_are_files_of_their_own(spark, tmp_path):
+    made = spark.range(0, 1, 1, 1).selectExpr("explode(sequence(1, 5)) AS n").selectExpr("encode(cast(n AS string), 'UTF-8') AS body")
+    store.save(made, f"file://{tmp_path}", "rows", rows=1)
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) == 5
+    assert sorted(katz._read_rows(f"file://{tmp_path}/rows")) == [b"1", b"2", b"3", b"4", b"5"]
