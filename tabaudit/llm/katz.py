@@ -64,15 +64,17 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+def unpack(data: bytes, wanted: tuple[int, ...] | None = None) -> list[np.ndarray]:
+    """The packed arrays, or those of some numbers alone, in their order."""
+    out, at, number = [], 0, 0
     d = zstandard.ZstdDecompressor()
     while at < len(data):
         n, size = np.frombuffer(data, np.int64, 2, at)
-        kind = np.dtype(data[at + 16 : at + 24].decode().strip())
-        raw = d.decompress(data[at + 24 : at + 24 + size], max_output_size=int(n) * kind.itemsize or 1) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
-        at += 24 + int(size)
+        if wanted is None or number in wanted:
+            kind = np.dtype(data[at + 16 : at + 24].decode().strip())
+            raw = d.decompress(data[at + 24 : at + 24 + size], max_output_size=int(n) * kind.itemsize or 1) if n else b""
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
+        at, number = at + 24 + int(size), number + 1
     return out
 
 
@@ -193,14 +195,19 @@ class Totals:
         return np.where(c > 0, self.d[np.minimum(c, K)] ** (c <= K) * c / self.n * self.scale, self.unknown)
 
 
-def _look_up(path: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of words, part by part."""
+def _look_up(path: str, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of words, each looked for in its own part."""
     ids, counts = np.full(len(hashes), UNKNOWN, np.uint32), np.zeros(len(hashes), np.int64)
+    part = hashes.view(np.int64) % n  # as vocabulary() deals them
+    order = np.lexsort((hashes, part))
+    edges = np.searchsorted(part[order], np.arange(n + 1))
     for body in _read_rows(path):
-        words, own, c, _ = unpack(body)
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        hit = words[at] == hashes
-        ids[hit], counts[hit] = own[at[hit]], c[at[hit]]
+        words, own, c = unpack(body, (0, 1, 2))
+        p = int(own[0] % np.uint32(n))
+        mine = order[edges[p] : edges[p + 1]]
+        at = np.minimum(np.searchsorted(words, hashes[mine]), len(words) - 1)
+        hit = words[at] == hashes[mine]
+        ids[mine[hit]], counts[mine[hit]] = own[at[hit]], c[at[hit]]
     return ids, counts
 
 
@@ -211,7 +218,7 @@ def _counts_by_id(path: str, ids: np.ndarray, n: int) -> np.ndarray:
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(n + 1))
     for body in _read_rows(path):
-        _, own, _, by_rank = unpack(body)
+        own, by_rank = unpack(body, (1, 3))
         p = int(own[0] % np.uint32(n))
         at = order[edges[p] : edges[p + 1]]
         at = at[ids[at] < UNKNOWN]
@@ -219,8 +226,13 @@ def _counts_by_id(path: str, ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _hot(totals: Totals, n: int) -> float:
+    """Contexts of a higher count are dealt by both words."""
+    return (totals.n / n) / HOT
+
+
 def _send(n: int, words_path: str, totals: Totals, train_docs: int):
-    limit = (totals.n / n) / HOT
+    limit = _hot(totals, n)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,7 +241,7 @@ def _send(n: int, words_path: str, totals: Totals, train_docs: int):
         for number, part in enumerate(_slices(batches)):
             docs = part.num_rows
             hashes, codes, first = _tokens(part)
-            ids, counts = _look_up(words_path, hashes)
+            ids, counts = _look_up(words_path, hashes, n)
             train = in_training(part.column(0).to_pylist())
             length = np.diff(first)
             row = np.repeat(np.arange(docs), length)
@@ -282,6 +294,7 @@ def _shard(n: int, words_path: str, totals: Totals):
                 rows, values = np.concatenate((g[1], g[3][hit])), np.concatenate((own, c[place[hit]] if len(keys) else own[:0]))
                 by_row = np.argsort(rows, kind="stable")
                 answers.append((2, a, pack(rows[by_row], values[by_row].astype(np.uint32), g[2][~hit], g[3][~hit]), []))
+            shard = np.array([table.column("key")[0].as_py()], np.int64)
             low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             p = totals.p(_counts_by_id(words_path, low, n))
             context, first = np.unique((keys >> np.uint64(32)).astype(np.uint32), return_index=True)
@@ -291,7 +304,7 @@ def _shard(n: int, words_path: str, totals: Totals):
                 mass = np.add.reduceat(p, first)
                 counts = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
                 answers.append((0, at[0], pack(keys, c.astype(np.uint32)), counts[1 : K + 2].tolist()))
-                answers.append((1, at[0], pack(context, *sums, large, mass), []))
+                answers.append((1, at[0], pack(shard, context, *sums, large, mass), []))
             for i in range(0, len(answers), 64):
                 kind, where, body, m = zip(*answers[i : i + 64], strict=True)
                 yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(where, pa.int64()), pa.array(body, pa.binary()), pa.array(m, pa.list_(pa.int64()))], schema=_ARROW)
@@ -299,14 +312,19 @@ def _shard(n: int, words_path: str, totals: Totals):
     return task
 
 
-def _weights(path: str, contexts: np.ndarray, counts: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """log10 of a(h) c(h) / (1 - r) for ascending context ids: what an unseen token has in place of its share above."""
+def _weights(path: str, contexts: np.ndarray, counts: np.ndarray, d: np.ndarray, n: int, limit: float) -> np.ndarray:
+    """log10 of a(h) c(h) / (1 - r) for ascending context ids: what an unseen token has in place of its share above. A context is
+    looked for in its own shard, or if its count is above the limit in all."""
     seen, mass = np.zeros(len(contexts)), np.zeros(len(contexts))
+    where = np.where(counts > limit, -1, (mix64(contexts.astype(np.uint64)) % np.uint64(n)).astype(np.int64))
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(n + 1))
     for body in _read_rows(path, 1):
-        own, *sums, large, m = unpack(body)
-        at = np.minimum(np.searchsorted(own, contexts), len(own) - 1)
-        hit = own[at] == contexts
-        at = at[hit]
+        (shard,), own, *sums, large, m = unpack(body)
+        hit = np.concatenate((order[: edges[0]], order[edges[shard] : edges[shard + 1]]))
+        at = np.minimum(np.searchsorted(own, contexts[hit]), len(own) - 1)
+        same = own[at] == contexts[hit]
+        at, hit = at[same], hit[same]
         seen[hit] += large[at] + sum(d[r] * r * sums[r - 1][at].astype(np.float64) for r in range(1, K + 1))
         mass[hit] += m[at]
     left = 1 - (1 - RESERVE) * seen / np.maximum(counts, 1)
@@ -333,7 +351,7 @@ def _sum_up(n: int, words_path: str, shards_path: str, totals: Totals, d: np.nda
                 counts[contexts == START] = train_docs
                 low, back = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
                 p = np.log10(totals.p(_counts_by_id(words_path, low, n)))
-                score = score + np.bincount(rows, _weights(shards_path, contexts, counts, d)[which] + p[back], docs)
+                score = score + np.bincount(rows, _weights(shards_path, contexts, counts, d, n, _hot(totals, n))[which] + p[back], docs)
             yield pa.record_batch([pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(length), pa.array(known), pa.array(np.full(docs, totals.n)), pa.array(plain), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return task

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabaudit.llm import audio, katz, lines, packing, pieces, pii, quality, tokens, words
+from tabaudit.llm import audio, katz, lines, packing, pieces, pii, quality, store, tokens, words
 from tabaudit.llm.groups import Union, runs
 from tabaudit.llm.near_dedup import link_sets, sketch_keys
 
@@ -271,6 +271,24 @@ def test_kneser_ney_sums_to_one():
         assert abs(total - 1) < 1e-6
 
 
+def test_words_are_looked_for_in_their_own_part_alone(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    drawn = [f"w{r.randrange(300)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(0, " ".join(drawn))], "doc_id long, text string")
+    assert katz.in_training([0]).all()
+    path, n = katz.vocabulary(docs, f"file://{tmp_path}"), store.partitions(spark)
+    asked = sorted(set(drawn)) + [f"unseen{i}" for i in range(200)]
+    hashes = words.hash_strings(pa.array([x.encode() for x in asked], pa.binary()))
+    sought, plain = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: sought.append(np.size(v)) or plain(a, v, *rest))
+    ids, counts = katz._look_up(path, hashes, n)
+    # Each word once, and the edges of the parts; every part was searched for every word before.
+    assert sum(sought) <= len(hashes) + n + 1
+    assert counts.tolist() == [drawn.count(x) for x in asked]
+    assert len(set(ids[counts > 0].tolist())) == len(set(drawn)) and (ids[counts == 0] == katz.UNKNOWN).all()
+    assert katz._counts_by_id(path, ids, n).tolist() == counts.tolist()
+
+
 def test_katz_packing_and_discounts():
     for a in (np.array([], np.uint64), np.arange(1000, dtype=np.uint32), np.array([0.5, -1.0])):
         assert (katz.unpack(katz.pack(a))[0] == a).all()
