@@ -114,7 +114,7 @@ f AS (SELECT e FROM c GROUP BY e HAVING count(*) >= 2 AND count(DISTINCT v) = 1)
 d AS (SELECT * FROM c WHERE e NOT IN (SELECT e FROM f) AND length(regexp_extract(CAST(v AS VARCHAR), '\\.(\\d+)$', 1)) >= 2)
 SELECT CAST(e AS VARCHAR) AS entity, v AS value, count(*) AS levels FROM d GROUP BY 1, 2 HAVING count(*) >= 2""")
 def duplicate_rounded_means(spark, sf_dir):
-    g = t.read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.round(F.avg("l_discount"), 3).alias("v"))
+    g = t.means_in_order(t.read(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate")), ["l_suppkey", "y"], "l_discount", 3)
     cells = t.series(g.withColumn("z", F.lit("")), "discounts", "year", F.col("z"), F.col("y"), F.col("v"), F.col("l_suppkey").cast("string")).withColumn("entity", F.col("x_lab"))
     return detectors.duplicates(cells).select("entity", "value", "levels")
 

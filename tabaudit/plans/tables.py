@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def means_in_order(df: DataFrame, keys: list[str], value: str, places: int) -> DataFrame:
+    """Rounded means (v) of the groups of a table as it was read, each added up row after row as files and their rows stand: where the exact
+    mean lies halfway, the last bit decides, and that of sums by split would change with the splits."""
+    df = df.select(*keys, value, F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_mean", F.avg(value).over(upto)).groupBy(*keys).agg(F.round(F.max_by("_mean", "_at"), places).alias("v"))
+
+
 def series(df: DataFrame, table: str, axis: str, fixed: Column, x: Column, value: Column, label: Column | None = None) -> DataFrame:
     """Grouped rows of a summary as series rows."""
     return df.select(F.lit(table).alias("table_id"), F.lit(axis).alias("axis"), fixed.cast("string").alias("fixed_key"), x.cast("double").alias("x"), (label if label is not None else x.cast("string")).alias("x_lab"), F.lit(0).cast("long").alias("row_id"), value.cast("double").alias("value"))
